@@ -1,7 +1,8 @@
 """Similarity join of documents by the Jaccard index of their word shingles, over R-trees of count vectors.
 
-A document is the set of its hashed shingles. Its count vector has the number of its shingles in each of GROUPS groups
-of hashes; two sets have no more in common than the summed coordinate-wise minima of their vectors. An R-tree of count
+A document is the set of its hashed shingles. Its count vector has the number of its shingles in each group of hashes
+(GROUPS groups at least, and one for each eight shingles, as larger groups of larger sets would bound nothing); two
+sets have no more in common than the summed coordinate-wise minima of their vectors, the longer one folded. An R-tree of count
 vectors holds the coordinate-wise maxima of each node, which bound all below it; pairs that pass are verified.
 
 An R-tree of the whole corpus can't be dealt out: in so many dimensions the boxes of any partition meet nearly all
@@ -23,40 +24,38 @@ from .components import components
 from .suffixes import mixed
 
 WORDS, SHARE = 5, 80
-#: Groups of the count vectors; points of a leaf and children of a node.
+#: Least groups of the count vectors; points of a leaf and children of a node.
 GROUPS, FAN = 64, 32
 #: Shingles that are counted together; a shingle is frequent from this share of the documents on, and this many.
 COUNTED, FREQUENT, LEAST = 2_000_000, 2_000, 30
 #: Sets of a cell that one task holds: cells of more are dealt to pairs of parts.
 CELL = 8_192
-TOP = 65_535
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8")])
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, as bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 500_000:
+            self.clear()
+        x = self[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+        return x
+
+
 class Shingles:
     """Sorted distinct 64-bit hashes of the shingles of texts; words are hashed once."""
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words, self.memo = words, {}
-
-    def hashed(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        found = list(map(memo.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = memo[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(found, np.uint64)
+        self.words, self.memo = words, _Hashes()
 
     def of(self, text: str) -> np.ndarray:
         """Bytes lower-cases A-Z and splits at the six white-space characters of ASCII, no more."""
         words = text.encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        h, k = self.hashed(words), self.words
+        h, k = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u8"), self.words
         with np.errstate(over="ignore"):
             if len(h) < k:
                 out = np.array([len(h)], np.uint64)
@@ -69,10 +68,15 @@ class Shingles:
             return np.unique(mixed(out))
 
 
+def groups_of(size: int) -> int:
+    """Groups of a set of that size: a power of two, so that a vector can be folded to the half."""
+    return max(GROUPS, 1 << (max(1, -(-size // 8)) - 1).bit_length())
+
+
 def counts(shingles: np.ndarray) -> np.ndarray:
-    """The count vector; one with a count above TOP has TOP throughout, which bounds nothing."""
-    v = np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    return np.full(GROUPS, TOP, np.uint16) if v.max(initial=0) > TOP else v.astype(np.uint16)
+    """The count vector of a set."""
+    g = groups_of(len(shingles))
+    return np.bincount((shingles % np.uint64(g)).astype(np.int64), minlength=g).astype(np.uint32)
 
 
 def needed(a, b, share: int = SHARE):  # noqa: ANN001, ANN201
@@ -81,39 +85,68 @@ def needed(a, b, share: int = SHARE):  # noqa: ANN001, ANN201
 
 
 class CountTree:
-    """A packed R-tree of count vectors. Points are sorted by size, then in slabs by their widest coordinates; each
-    node holds the maxima of its points' coordinates and their least size."""
+    """A packed R-tree of count vectors of one length. Points are sorted by size, then in slabs by their widest
+    coordinate; a node holds the maxima of its points' coordinates and their least size."""
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray) -> None:
-        spread = np.argsort(-vectors.astype(np.float64).var(0))[:2] if len(vectors) else np.array([0, 1])
+        wide = int(vectors.astype(np.float64).var(0).argmax())
         slab = np.argsort(np.argsort(sizes, kind="stable")) // (FAN * FAN)
-        self.order = np.lexsort((vectors[:, spread[1]], vectors[:, spread[0]] // 2, slab))
-        self.sizes, self.vectors = sizes[self.order].astype(np.int64), vectors[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        top, least = self.vectors, self.sizes
-        while len(top) > FAN:
+        self.order = np.lexsort((vectors[:, wide], slab))
+        self.levels = [(vectors[self.order], sizes[self.order].astype(np.int64))]  # points first, the root's children last
+        while len(self.levels[-1][0]) > FAN:
+            top, least = self.levels[-1]
             at = np.arange(0, len(top), FAN)
-            top, least = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(least, at)
-            self.levels.append((top, least))
+            self.levels.append((np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(least, at)))
 
     def search(self, size: int, vector: np.ndarray, share: int = SHARE) -> np.ndarray:
         """Points (by their original index) whose overlap with the query can reach what is needed."""
-        at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.sizes))
-        for top, least in reversed(self.levels):
-            near = np.minimum(top[at], vector).sum(1, dtype=np.int64) >= needed(size, least[at], share)
-            at = at[near]
-            at = (at[:, None] * FAN + np.arange(FAN)).ravel()
-            at = at[at < self._width(top)]
-        bound = np.minimum(self.vectors[at], vector).sum(1, dtype=np.int64)
-        near = (bound >= needed(size, self.sizes[at], share)) | ((vector[0] == TOP) & (self.vectors[at, 0] == TOP))
-        return self.order[at[near]]
-
-    def _width(self, top: np.ndarray) -> int:
-        """Entries of the level below."""
-        for i, (t, _) in enumerate(self.levels):
-            if t is top:
-                return len(self.levels[i - 1][0]) if i else len(self.sizes)
-        return 0
+        at = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            top, least = self.levels[depth]
+            at = at[size * 100 >= share * least[at]]
+            at = at[np.minimum(top[at], vector).sum(1, dtype=np.int64) >= needed(size, least[at], share)]
+            if depth:
+                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
+                at = at[at < len(self.levels[depth - 1][0])]
+        return self.order[at]
+
+
+class Points:
+    """Sets by size and count vector. Linked sets differ by less than two in size, so their vectors are of one length
+    or one is to be folded once: for each length, the vectors of that length and folded ones of the next."""
+
+    def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray]) -> None:
+        self.sizes, self.length = sizes.astype(np.int64), np.array([len(v) for v in vectors])
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for g in np.unique(self.length).tolist():
+            own, more = np.flatnonzero(self.length == g), np.flatnonzero(self.length == 2 * g)
+            row = np.full(len(sizes), -1)
+            row[own], row[more] = np.arange(len(own)), len(own) + np.arange(len(more))
+            stack = [np.stack([vectors[i] for i in own])]
+            if len(more):
+                folded = np.stack([vectors[i] for i in more])
+                stack.append(folded[:, :g] + folded[:, g:])
+            self.rows[g] = np.concatenate(stack), row
+
+    def possible(self, a: np.ndarray, b: np.ndarray, share: int = SHARE) -> np.ndarray:
+        """Whether the bound leaves each pair."""
+        out = np.zeros(len(a), bool)
+        for g, (v, row) in self.rows.items():
+            at = np.flatnonzero((np.minimum(self.length[a], self.length[b]) == g) & (row[a] >= 0) & (row[b] >= 0))
+            for i in range(0, len(at), 20_000):
+                k = at[i : i + 20_000]
+                x, y = a[k], b[k]
+                out[k] = np.minimum(v[row[x]], v[row[y]]).sum(1, dtype=np.int64) >= needed(self.sizes[x], self.sizes[y], share)
+        return out
+
+    def partners(self, members: np.ndarray, share: int = SHARE) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with those that the trees leave; a pair comes up with one of its two members at least."""
+        for g in np.unique(self.length[members]).tolist():
+            v, row = self.rows[g]
+            inside = members[row[members] >= 0]
+            tree = CountTree(self.sizes[inside], v[row[inside]])
+            for i in inside[self.length[inside] == g].tolist():
+                yield i, inside[tree.search(int(self.sizes[i]), v[row[i]], share)]
 
 
 class Union:
@@ -144,18 +177,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def linked(sets: list[np.ndarray], share: int = SHARE) -> np.ndarray:
-    """Labels of the components that links make: pairs that the tree can't rule out are verified in order of their
-    bound, unless they are in one component already."""
-    n = len(sets)
-    sizes, vectors = np.array([len(s) for s in sets], np.int64), np.stack([counts(s) for s in sets])
-    tree, union = CountTree(sizes, vectors), Union(n)
-    for i in range(n):
-        near = tree.search(int(sizes[i]), vectors[i], share)
-        near = near[(near != i) & (union.label[near] != union.label[i])]
-        if not len(near):
-            continue
-        near = near[np.argsort(-np.minimum(vectors[near], vectors[i]).sum(1, dtype=np.int64), kind="stable")]
-        for j in near.tolist():
+    """Labels of the components that links make: pairs that the trees can't rule out are verified, unless they are in
+    one component already."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    union = Union(len(sets))
+    for i, near in Points(sizes, [counts(s) for s in sets]).partners(np.arange(len(sets)), share):
+        for j in near[union.label[near] != union.label[i]].tolist():
             if union.label[j] != union.label[i] and 100 * (o := overlap(sets[i], sets[j])) >= share * (sizes[i] + sizes[j] - o):
                 union.join(i, j)
     return union.label
@@ -272,8 +299,7 @@ def _bounded(share: int):  # noqa: ANN202
     def run(t):  # noqa: ANN001, ANN202
         node, where = np.unique(t["node"].to_numpy(), return_inverse=True)
         first = np.unique(where, return_index=True)[1]
-        sizes = t["n_shingles"].to_numpy()[first]
-        vectors = np.frombuffer(b"".join(t["counts"].take(pa.array(first)).to_pylist()), "<u2").reshape(-1, GROUPS)
+        points = Points(t["n_shingles"].to_numpy()[first], [np.frombuffer(v, "<u4") for v in t["counts"].take(pa.array(first)).to_pylist()])
         cell = np.unique(t["cell"].to_numpy(), return_inverse=True)[1]
         order = np.lexsort((where, cell))
         cell, where = cell[order], where[order]
@@ -286,20 +312,16 @@ def _bounded(share: int):  # noqa: ANN202
                 m = where[own[:, None] + np.arange(k)]
                 i, j = np.triu_indices(k, 1)
                 pairs = np.unique(np.stack([m[:, i].ravel(), m[:, j].ravel()], axis=1), axis=0)
-                for s in range(0, len(pairs), 50_000):
-                    a, b = pairs[s : s + 50_000].T
-                    ok = (np.minimum(vectors[a], vectors[b]).sum(1, dtype=np.int64) >= needed(sizes[a], sizes[b], share)) | ((vectors[a, 0] == TOP) & (vectors[b, 0] == TOP))
-                    for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-                        union.join(x, y)
+                ok = points.possible(pairs[:, 0], pairs[:, 1], share)
+                for x, y in pairs[ok].tolist():
+                    union.join(x, y)
         for a, n in zip(at[length > 8].tolist(), length[length > 8].tolist(), strict=True):
             m = where[a : a + n]
             if (union.label[m] == union.label[m[0]]).all():
                 continue
-            tree = CountTree(sizes[m], vectors[m])
-            for i in range(n):
-                near = m[tree.search(int(sizes[m[i]]), vectors[m[i]], share)]
-                for y in near[union.label[near] != union.label[m[i]]].tolist():
-                    union.join(int(m[i]), y)
+            for x, near in points.partners(m, share):
+                for y in near[union.label[near] != union.label[x]].tolist():
+                    union.join(x, y)
         root = node[union.label]
         ok = root != node
         return pa.table([pa.array(node[ok]), pa.array(root[ok])], names=["a", "b"])
