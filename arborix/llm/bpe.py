@@ -21,6 +21,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SPACE = frozenset(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Entries of a memo before it is emptied; memos only save time.
 MEMO = 400_000
+#: Bits of an id, and of a place in a word, in packed numbers.
+ID, PLACE = 24, 40
 
 
 def byte_letters() -> list[str]:
@@ -44,10 +46,10 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
         raw = lambda token: bytes(back[c] for c in token)
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # two ids in one number: rank and new id in one number
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (merge if isinstance(merge, list) else merge.split(" ")))
-            self.pairs[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
+            self.pairs[self.ids[a] << ID | self.ids[b]] = rank << ID | self.ids[a + b]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN)
 
@@ -59,33 +61,37 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
 
 def merged(vocab: Vocabulary, word: bytes) -> tuple[list[int], int]:
     """ids of a word's tokens, and how many merges made them. The symbols are a linked list; a heap holds the adjacent
-    pairs by rank, then place; a pair whose symbols have changed since is skipped when it is popped."""
+    pairs by rank, then place, each packed in a number; one that isn't its place's pair any more is skipped."""
     ids = [vocab.byte_id[b] for b in word]
     n = len(ids)
     if n < 2:
         return ids, 0
+    find, push, pop = vocab.pairs.get, heapq.heappush, heapq.heappop
     right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-    pairs, heap = vocab.pairs, []
-    for i in range(n - 1):
-        if (p := pairs.get((ids[i], ids[i + 1]))) is not None:
-            heap.append((p[0], i, ids[i], ids[i + 1], p[1]))
+    now = [find(a << ID | b, -1) for a, b in zip(ids, ids[1:], strict=False)] + [-1]
+    heap = [v << PLACE | i for i, v in enumerate(now) if v >= 0]
     heapq.heapify(heap)
-    merges = 0
+    merges, place, low = 0, (1 << PLACE) - 1, (1 << ID) - 1
     while heap:
-        _, i, a, b, new = heapq.heappop(heap)
-        j = right[i]
-        if ids[i] != a or j >= n or ids[j] != b:
+        x = pop(heap)
+        i, v = x & place, x >> PLACE
+        if now[i] != v:
             continue
-        ids[i], ids[j] = new, -1
-        merges += 1
+        j = right[i]
         k = right[i] = right[j]
+        new = ids[i] = v & low
+        ids[j] = now[j] = now[i] = -1
+        merges += 1
         if k < n:
             left[k] = i
-            if (p := pairs.get((new, ids[k]))) is not None:
-                heapq.heappush(heap, (p[0], i, new, ids[k], p[1]))
+            if (w := find(new << ID | ids[k])) is not None:
+                now[i] = w
+                push(heap, w << PLACE | i)
         h = left[i]
-        if h >= 0 and (p := pairs.get((ids[h], new))) is not None:
-            heapq.heappush(heap, (p[0], h, ids[h], new, p[1]))
+        if h >= 0:
+            w = now[h] = find(ids[h] << ID | new, -1)
+            if w >= 0:
+                push(heap, w << PLACE | h)
     return [x for x in ids if x >= 0], merges
 
 
@@ -141,21 +147,6 @@ class Pieces:
         return self.join(out)
 
 
-class Merger:
-    """ids of words as little-endian 32-bit bytes, with a memo."""
-
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab = vocab
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, word: str) -> bytes:
-        if (x := self.memo.get(word)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            x = self.memo[word] = np.array(merged(self.vocab, word.encode())[0], "<u4").tobytes()
-        return x
-
-
 # ---------------------------------------------------------------- lexicon
 
 

@@ -237,6 +237,8 @@ def _cells(docs: DataFrame, frequent, n_buckets: int, share: int) -> DataFrame:
             x = np.concatenate(held) if held else np.empty(0, ENTRY)
             held.clear()
             size = 0
+            if not len(x):
+                return {"bucket": [], "blob": []}
             bucket = (x["key"] % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, VOCABULARY, Lexicon, Pieces, merged, numbers, vocabulary
+from .bpe import ID, MEMO, SPACE, VOCABULARY, Lexicon, Pieces, merged, numbers, vocabulary
 from .common import by_batch, documents
 
 #: The longest of windows that a document is held against, in tokens.
@@ -19,6 +22,25 @@ LIMIT = 1024
 LEXICON, LEAST = 50_000, 20
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> Pieces:
+    """Counts tokens; its memos serve all tasks of a worker process."""
+    vocab, memo = vocabulary(path), {}
+
+    def count(words: list[str]) -> int:
+        total = 0
+        for w in words:
+            if (n := memo.get(w)) is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                raw = w.encode()
+                n = memo[w] = len(raw) - merged(vocab, raw)[1]
+            total += n
+        return total
+
+    return Pieces(vocab, count, sum)
+
+
 def token_counts(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each document, without making any ids.
 
@@ -27,21 +49,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT) ->
     rows; other columns are not read."""
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
-        vocab = vocabulary(path)
-        memo: dict[str, int] = {}
-
-        def count(words: list[str]) -> int:
-            total = 0
-            for w in words:
-                if (n := memo.get(w)) is None:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    raw = w.encode()
-                    n = memo[w] = 1 if raw in vocab.ids and len(raw) < 3 else len(raw) - merged(vocab, raw)[1]
-                total += n
-            return total
-
-        pieces = Pieces(vocab, count, sum)
+        pieces = _counter(path)
         for part in parts:
             n = [pieces.of(t, lambda _: 1) for t in part["text"]]
             yield {"doc_id": part["doc_id"], "n_bytes": [len(t.encode()) for t in part["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]}
@@ -84,12 +92,37 @@ def lexicon(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> byt
     return Lexicon.compile({(raw := w.encode()): merged(vocab, raw)[0] for w in frequent_words(docs, path, size)})
 
 
+@lru_cache(maxsize=1)
+def ranked(path: str):  # noqa: ANN201
+    """The vocabulary for tiktoken, whose merges go by the ids of the merged tokens: so they do in a file whose ids are
+    its merges' order, which is checked."""
+    import tiktoken
+
+    vocab = vocabulary(path)
+    order = [v & ((1 << ID) - 1) for v in vocab.pairs.values()]
+    if order != sorted(order):
+        raise ValueError("the ids of the merged tokens don't follow their ranks")
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ids, special_tokens={})
+
+
+#: The encoder of a worker process, by lexicon and vocabulary: its memos serve all of the process's tasks.
+_ENCODERS: dict = {}
+
+
+def encoder_of(compiled: bytes, path: str) -> Encoder:
+    key = hashlib.sha256(compiled).digest(), path
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(compiled, path)
+    return _ENCODERS[key]
+
+
 class Encoder:
     """ids of texts: words of the lexicon are looked up, others merged. Values are pairs of packed ids and decimal ids,
     each followed by a comma."""
 
     def __init__(self, compiled: bytes, path: str) -> None:
-        self.vocab, self.lexicon = vocabulary(path), Lexicon(compiled)
+        self.vocab, self.lexicon, self.ranks = vocabulary(path), Lexicon(compiled), ranked(path)
         self.known: dict[str, tuple[bytes, str]] = {}
         self.pieces = Pieces(self.vocab, self._words, lambda xs: (b"".join([x[0] for x in xs]), "".join([x[1] for x in xs])))
 
@@ -108,20 +141,25 @@ class Encoder:
         return out[0] if len(out) == 1 else (b"".join([x[0] for x in out]), "".join([x[1] for x in out]))
 
     def learn(self, words: list[str]) -> None:
+        """Of words that the lexicon doesn't have, the library merges the bytes by rank."""
         raw = [w.encode() for w in words]
+        merge, ids = self.ranks._encode_single_piece, self.vocab.ids
         for w, r, place in zip(words, raw, self.lexicon.places(raw).tolist(), strict=True):
-            packed = self.lexicon.ids_of(place) if place >= 0 else np.array(merged(self.vocab, r)[0], "<u4").tobytes()
-            self.known[w] = self._value(packed)
+            self.known[w] = self._value(self.lexicon.ids_of(place) if place >= 0 else array("I", [ids[r]] if r in ids else merge(r)).tobytes())
 
     def prepare(self, texts: list[str]) -> None:
-        """Looks the words of many texts up at once."""
-        if len(self.known) > MEMO:
-            self.known.clear()
-        memo, find = self.pieces.memo, self.vocab.words.findall
-        new = {p for t in texts for p in set(t.split(" ")) if p not in memo}
-        words = {w for p in new for w in find(" " + p)} - self.known.keys()
+        """Looks the words of many texts up at once, and encodes the pieces that come up first in them."""
+        memo, known, find = self.pieces.memo, self.known, self.vocab.words.findall
+        if len(known) > MEMO or len(memo) > MEMO:
+            known.clear()
+            memo.clear()
+        new = {p for t in texts for p in t.split(" ") if p not in memo}
+        split = {p: find(" " + p) for p in new if p and p[0] not in SPACE and p[-1] not in SPACE}
+        words = {w for ws in split.values() for w in ws} - known.keys()
         if words:
             self.learn(list(words))
+        for p, ws in split.items():
+            memo[p] = self._words(ws)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         return self.pieces.of(text, lambda i: self._value(np.array([i], "<u4").tobytes()))
@@ -138,7 +176,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, path, size))
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(shared.value, path)
+        encoder = encoder_of(shared.value, path)
         for part in parts:
             encoder.prepare(part["text"])
             pairs = [encoder.encode(t) for t in part["text"]]
@@ -153,7 +191,7 @@ def encoding_digests(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICO
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
-        encoder = Encoder(shared.value, path)
+        encoder = encoder_of(shared.value, path)
         for part in parts:
             encoder.prepare(part["text"])
             pairs = [encoder.encode(t) for t in part["text"]]
