@@ -113,11 +113,11 @@ class Pieces:
             return None
         return self.work(self.vocab.words.findall(" " + piece))
 
-    def plain(self, text: str) -> list:
-        """Values of a text without special strings; they are to be joined."""
+    def plain(self, text: str, parts: list[str] | None = None) -> list:
+        """Values of a text without special strings (parts: it, split at spaces); they are to be joined."""
         if not text:
             return []
-        first, *rest = text.split(" ")
+        first, *rest = parts or text.split(" ")
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -137,10 +137,10 @@ class Pieces:
             return [self.work(self.vocab.words.findall(text))]
         return [self.work(self.vocab.words.findall(first)), *found]
 
-    def of(self, text: str, special) -> object:
+    def of(self, text: str, special, parts: list[str] | None = None) -> object:
         """special: value of a special string's id."""
         if self.vocab.cut is None or not any(s in text for s in self.vocab.special):
-            return self.join(self.plain(text))
+            return self.join(self.plain(text, parts))
         out: list = []
         for part in self.vocab.cut.split(text):
             out += [special(self.vocab.special[part])] if part in self.vocab.special else self.plain(part)

@@ -147,22 +147,24 @@ class Encoder:
         for w, r, place in zip(words, raw, self.lexicon.places(raw).tolist(), strict=True):
             self.known[w] = self._value(self.lexicon.ids_of(place) if place >= 0 else array("I", [ids[r]] if r in ids else merge(r)).tobytes())
 
-    def prepare(self, texts: list[str]) -> None:
-        """Looks the words of many texts up at once, and encodes the pieces that come up first in them."""
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Looks the words of many texts up at once, encodes the pieces that come up first in them, then joins."""
         memo, known, find = self.pieces.memo, self.known, self.vocab.words.findall
         if len(known) > MEMO or len(memo) > MEMO:
             known.clear()
             memo.clear()
-        new = {p for t in texts for p in t.split(" ") if p not in memo}
+        parts = [t.split(" ") for t in texts]
+        new = set().union(*parts) - memo.keys()
         split = {p: find(" " + p) for p in new if p and p[0] not in SPACE and p[-1] not in SPACE}
         words = {w for ws in split.values() for w in ws} - known.keys()
         if words:
             self.learn(list(words))
         for p, ws in split.items():
             memo[p] = self._words(ws)
+        return [self.encode(t, p) for t, p in zip(texts, parts, strict=True)]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        return self.pieces.of(text, lambda i: self._value(np.array([i], "<u4").tobytes()))
+    def encode(self, text: str, parts: list[str] | None = None) -> tuple[bytes, str]:
+        return self.pieces.of(text, lambda i: self._value(np.array([i], "<u4").tobytes()), parts)
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.vocab.bytes_of.__getitem__, numbers(packed))).decode("utf-8", "replace")
@@ -178,8 +180,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> Dat
     def work(parts: Iterator[dict]) -> Iterator[dict]:
         encoder = encoder_of(shared.value, path)
         for part in parts:
-            encoder.prepare(part["text"])
-            pairs = [encoder.encode(t) for t in part["text"]]
+            pairs = encoder.encode_all(part["text"])
             yield {"doc_id": part["doc_id"], "ids": [p for p, _ in pairs], "id_text": [s[:-1] for _, s in pairs], "decoded": [encoder.decode(p) for p, _ in pairs]}
 
     return by_batch(documents(docs), "doc_id long, ids binary, id_text string, decoded string", work)
@@ -193,8 +194,7 @@ def encoding_digests(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICO
     def work(parts: Iterator[dict]) -> Iterator[dict]:
         encoder = encoder_of(shared.value, path)
         for part in parts:
-            encoder.prepare(part["text"])
-            pairs = [encoder.encode(t) for t in part["text"]]
+            pairs = encoder.encode_all(part["text"])
             yield {"doc_id": part["doc_id"], "n_tokens": [len(p) // 4 for p, _ in pairs], "ids_sha256": [sha(s[:-1]) for _, s in pairs], "decoded_sha256": [sha(encoder.decode(p)) for p, _ in pairs]}
 
     return by_batch(documents(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
