@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, by_batch, documents
-from .training import SAMPLE, held_out, labelled_sample
+from .training import held_out, labelled_sample
 
 #: Lengths of n-grams, in characters of a word with a space before and behind it, and the places they are hashed to.
 LENGTHS, PLACES = (3, 4, 5), 1 << 20
 #: Smoothing of counts; least documents and least z of a kept n-gram; L2 weight; fitting steps.
 ALPHA, LEAST, Z, L2, STEPS = 1.0, 4, 4.0, 0.3, 150
 THRESHOLD = 0.7
+#: Labelled documents that the model is fitted on, at most; their n-grams' places come to the driver.
+SAMPLE = 5_000
 MEMO = 300_000
 
 
@@ -80,14 +82,14 @@ def fit(table: pa.Table) -> Model:
         return Model({}, 0.0 if not len(y) else (20.0 if y[0] else -20.0))
     lists = table["places"].combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-    rows = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0))
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends, prepend=0))
     toxic, every = np.bincount(flat, y[rows], PLACES), np.bincount(flat, minlength=PLACES)
     rate = y.mean()
     z = (toxic - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
     clean = every - toxic
     r = np.log((toxic + ALPHA) / (y.sum() + 2 * ALPHA)) - np.log((clean + ALPHA) / (len(y) - y.sum() + 2 * ALPHA))
     kept = np.flatnonzero((every >= LEAST) & (np.abs(z) >= Z))
-    number = np.full(PLACES, -1)
+    number = np.full(PLACES, -1, np.int32)
     number[kept] = np.arange(len(kept))
     own = number[flat]
     ok = own >= 0
