@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-STRATEGIES = ("current_positive_additive", "finite_activation_budget", "query_conditioned_transmission", "lateral_inhibition")
+STRATEGIES = (
+    "current_positive_additive",
+    "finite_activation_budget",
+    "query_conditioned_transmission",
+    "lateral_inhibition",
+    "recurrent_competition",
+    "local_neighbor_competition",
+    "local_neighbor_query_competition",
+    "local_neighbor_path_competition",
+    "local_neighbor_query_path_competition",
+    "anchored_local_competition",
+    "anchored_local_query_competition",
+)
 
 
 @dataclass(frozen=True)
@@ -31,6 +43,19 @@ class EngineConfig:
     final_fusion_strategy: str = "linear"
     rrf_k: int = 60
     activation_strategy: str = STRATEGIES[0]
+    sibling_feedback_normalization: float = 0.0
+    max_paths_per_node: int = 4
+    max_propagation_expansions: int = 10_000
+    recurrent_steps: int = 3
+    recurrent_decay: float = 0.5
+    convergence_tolerance: float = 1e-9
+    max_active_paths_per_node: int = 4
+    relation_feedback_evidence_quorum: int = 1
+    confirmed_outcome_reinforcement: bool = False
+    confirmation_decay_ratio: float | None = None
+    soft_start_feedback_reinforcement: bool = False
+    soft_start_feedback_ratio: float | None = None
+    outcome_driven_feedback_deactivation: bool = False
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:
@@ -47,3 +72,19 @@ class EngineConfig:
         need(self.graph_normalization in ("max", "none", "l1_mass"), "unknown normalisation")
         need(self.final_fusion_strategy in ("linear", "rrf"), "unknown fusion")
         need(self.activation_strategy in STRATEGIES, "unknown strategy")
+        need(self.recurrent_steps >= 1 and self.max_active_paths_per_node >= 1, "recurrent settings out of range")
+        need(0 <= self.recurrent_decay <= 1 and self.convergence_tolerance >= 0 and 0 <= self.sibling_feedback_normalization <= 1, "ratios out of range")
+        need(type(self.relation_feedback_evidence_quorum) is int and self.relation_feedback_evidence_quorum >= 1, "the quorum must be a positive integer")
+        soft, late = self.soft_start_feedback_reinforcement, self.confirmed_outcome_reinforcement
+        need(not (soft and late), "soft start excludes reinforcement by outcomes alone")
+        need(not soft or self.relation_feedback_evidence_quorum == 1, "soft start needs a quorum of 1")
+        need(soft or not self.outcome_driven_feedback_deactivation, "deactivation needs soft start")
+        for ratio, wanted in ((self.confirmation_decay_ratio, soft or late), (self.soft_start_feedback_ratio, soft)):
+            need((ratio is not None) == wanted, "a ratio is needed with its policy and only then")
+            need(ratio is None or 0 < ratio < 1, "ratios of policies lie between 0 and 1")
+
+    @property
+    def surface(self) -> str:
+        """Which search the feedback belongs to."""
+        outcomes = self.soft_start_feedback_reinforcement or self.confirmed_outcome_reinforcement
+        return "relation" if outcomes or self.sibling_feedback_normalization > 0 else "combined"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import query_gate
+from ..functions.text import query_gate, tokens
+
+HOP_BY_HOP = ("current_positive_additive", "finite_activation_budget", "query_conditioned_transmission", "lateral_inhibition")
+PARTS = 64
 
 
 def visible_edges(edges: DataFrame, inactive: DataFrame | None = None, dormant: DataFrame | None = None) -> DataFrame:
@@ -18,36 +23,82 @@ def visible_edges(edges: DataFrame, inactive: DataFrame | None = None, dormant:
     return edges
 
 
+def first_rows(df: DataFrame, order: Sequence[str], n: int, turn: str) -> DataFrame:
+    """The first n rows of each query. Parts of a query are cut to n first, so no task sees more than PARTS * n rows of one
+    in the last sort."""
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64(*order), F.lit(PARTS))).orderBy(*order)
+    whole = Window.partitionBy("query_id").orderBy(*order)
+    return df.withColumn(turn, F.row_number().over(part)).where(F.col(turn) <= n).withColumn(turn, F.row_number().over(whole)).where(F.col(turn) <= n)
+
+
 def paths(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None) -> DataFrame:
-    """query_id, seed_id, node_id, hop, contribution, path of all simple paths from the seeds: one join for each hop.
+    """query_id, node_id, seed_id, contribution, steps, step, generation, path of all simple paths from the seeds: one join
+    for each hop.
 
     A finite budget scales the proposals of a hop, for each query, to its sum; a gate weighs each step by how the
-    query's tokens meet those of the target and the edge's type."""
-    at = seeds.select("query_id", F.col("node_id").alias("seed_id"), "node_id", F.lit(0).alias("hop"), F.col("entry").alias("contribution"), F.array("node_id").alias("path"))
+    query's tokens meet those of the target and the edge's type. Expansions of a query end at their maximum, in the order
+    in which a breadth-first walk from the best seed on meets them."""
+    kind = "array<struct<source_id:string,target_id:string,edge_type:string,weight:double,factuality:double>>"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("entry"), "node_id"))
+    at = seeds.select("query_id", "node_id", F.col("node_id").alias("seed_id"), F.col("entry").cast("double").alias("contribution"), F.array().cast(kind).alias("steps"), F.lit(0).alias("step"), F.lpad(rank.cast("string"), 9, "0").alias("generation"), F.array("node_id").alias("path"), F.lit(0).cast("long").alias("before"))
     out = at
     for hop in range(1, config.max_hops + 1 if config.use_graph_propagation else 1):
         step = at.join(edges.withColumnRenamed("source_id", "node_id"), "node_id").where(~F.array_contains("path", F.col("target_id")))
         c = F.col("contribution") * F.col("weight") * F.col("factuality") * config.hop_decay
         if config.activation_strategy == "query_conditioned_transmission":
-            step = step.join(query_tokens, "query_id").join(target_tokens, "target_id", "left")
-            seen = F.concat(F.coalesce("target_tokens", F.array().cast("array<string>")), F.split("edge_type", "_"))
-            c = c * query_gate(F.col("query_tokens"), seen, config.query_transmission_floor, config.query_transmission_power)
+            none = F.array().cast("array<string>")
+            step = step.join(query_tokens, "query_id", "left").join(target_tokens, "target_id", "left")
+            seen = F.concat(F.coalesce("target_tokens", none), tokens(F.col("edge_type")))
+            c = c * query_gate(F.coalesce("query_tokens", none), seen, config.query_transmission_floor, config.query_transmission_power)
+        line = F.struct(F.col("node_id").alias("source_id"), "target_id", "edge_type", F.col("weight").cast("double").alias("weight"), F.col("factuality").cast("double").alias("factuality"))
         step = step.withColumn("contribution", c).where("contribution > 0")
+        step = step.withColumn("generation", F.concat_ws("\0", "generation", "target_id", "edge_type")).withColumn("steps", F.concat("steps", F.array(line)))
+        step = first_rows(step, ("generation",), config.max_propagation_expansions, "turn").where(F.col("before") + F.col("turn") <= config.max_propagation_expansions)
         if config.activation_strategy == "finite_activation_budget":
             total = F.sum("contribution").over(Window.partitionBy("query_id"))
             step = step.withColumn("contribution", F.col("contribution") * F.least(F.lit(1.0), config.activation_budget / total))
-        at = step.select("query_id", "seed_id", F.col("target_id").alias("node_id"), F.lit(hop).alias("hop"), "contribution", F.concat("path", F.array("target_id")).alias("path"))
+        made = F.max(F.col("before") + F.col("turn")).over(Window.partitionBy("query_id"))
+        at = step.select("query_id", F.col("target_id").alias("node_id"), "seed_id", "contribution", "steps", F.lit(hop).alias("step"), "generation", F.concat("path", F.array("target_id")).alias("path"), made.alias("before"))
         out = out.unionByName(at)
-    return out
+    return out.drop("before")
+
+
+def inhibited(sums: DataFrame, config: EngineConfig) -> DataFrame:
+    """A share of the greatest activation off all; the strongest few stay, if so set."""
+    top = sums.groupBy("query_id").agg(F.max("activation").alias("top"))
+    sums = sums.join(F.broadcast(top), "query_id").withColumn("activation", F.col("activation") - config.inhibition_ratio * F.col("top")).where("activation > 0").drop("top")
+    if config.inhibition_top_k:
+        w = Window.partitionBy("query_id").orderBy(F.desc("activation"), "node_id")
+        sums = sums.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.inhibition_top_k).drop("r")
+    return sums
 
 
 def activation(found: DataFrame, config: EngineConfig) -> DataFrame:
     """query_id, node_id, activation, n_paths: sums over paths; lateral inhibition takes a share of the greatest off."""
     sums = found.groupBy("query_id", "node_id").agg(F.sum("contribution").alias("activation"), F.count("*").alias("n_paths"))
-    if config.activation_strategy == "lateral_inhibition":
-        top = F.max("activation").over(Window.partitionBy("query_id"))
-        sums = sums.withColumn("activation", F.col("activation") - config.inhibition_ratio * top).where("activation > 0")
-        if config.inhibition_top_k:
-            w = Window.partitionBy("query_id").orderBy(F.desc("activation"), "node_id")
-            sums = sums.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.inhibition_top_k).drop("r")
-    return sums
+    return inhibited(sums, config) if config.activation_strategy == "lateral_inhibition" else sums
+
+
+def diagnostics(found: DataFrame, act: DataFrame, config: EngineConfig) -> DataFrame:
+    """Hops, expansions, total and why each query ended."""
+    n = found.groupBy("query_id").agg(F.max("step").alias("steps"), F.sum((F.col("step") > 0).cast("long")).alias("expansions"), F.count("*").alias("active_path_count"))
+    total = act.groupBy("query_id").agg(F.sum("activation").alias("activation_total"))
+    why = F.when(F.col("expansions") >= config.max_propagation_expansions, "max_expansions").when(F.col("steps") >= config.max_hops, "max_hops").otherwise("frontier_exhausted")
+    return n.join(total, "query_id").select("query_id", "steps", "expansions", "activation_total", F.lit(True).alias("converged"), why.alias("stop_reason"), "active_path_count")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, component: the least node that edges reach in either direction, by labels that jump along labels."""
+    from ..sources.lineage import cut
+
+    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(nodes.select("node_id", F.col("node_id").alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("near"))
+        new = labels.join(near, "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
+        jump = new.select(F.col("node_id").alias("next"), F.col("next").alias("far"))
+        new = cut(new.join(jump, "next", "left").select("node_id", "component", F.least("next", F.coalesce("far", "next")).alias("next")))
+        labels = new.select("node_id", F.col("next").alias("component"))
+        if new.where("component <> next").isEmpty():
+            return labels

@@ -44,3 +44,78 @@ def majority(votes: DataFrame, judges: int = 3) -> DataFrame:
     n = votes.groupBy("case_id", "choice").agg(F.count("*").alias("n"))
     first = n.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "choice"))).where("r = 1")
     return first.select("case_id", F.when(F.col("n") * 3 >= 2 * judges, F.col("choice")).alias("choice"), "n")
+
+
+def selected(variants: DataFrame) -> DataFrame:
+    """The variant to keep: of those that pass and that none beats, by worst cohort, expansions, complexity and id."""
+    front = pareto(variants.where("passed"), ("relation_mrr", "negative_mrr"))
+    return front.orderBy(F.desc("worst_mrr"), "expansions", "complexity", "variant_id").limit(1)
+
+
+def histogram(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, counts: how often each value stands with a key."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("n"))
+    return n.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "n")))).alias("counts"))
+
+
+def rank_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """case_id, node_id, baseline_rank, current_rank, delta, top_k_status; who isn't in a list stands behind the longer one."""
+    a, b = (x.select("case_id", "node_id", F.col("rank").alias(n)) for x, n in ((before, "baseline_rank"), (after, "current_rank")))
+    longest = before.groupBy("case_id", F.lit(0).alias("s")).count().unionByName(after.groupBy("case_id", F.lit(1).alias("s")).count())
+    behind = longest.groupBy("case_id").agg((F.max("count") + 1).alias("behind"))
+    both = a.join(b, ["case_id", "node_id"], "full").join(behind, "case_id")
+    status = F.when(F.col("baseline_rank").isNull(), "entered").when(F.col("current_rank").isNull(), "left").otherwise("retained")
+    return both.select("case_id", "node_id", "baseline_rank", "current_rank", (F.coalesce("baseline_rank", "behind") - F.coalesce("current_rank", "behind")).alias("delta"), status.alias("top_k_status"))
+
+
+def elasticity(records: DataFrame) -> DataFrame:
+    """What feedback did to each case of records(case_id, feedback_count, rank, normalised, final, changed_edges): a
+    regression, else a flip at a checkpoint, else changed edges without effect, else nothing."""
+    w = Window.partitionBy("case_id").orderBy("feedback_count").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = records.select("*", *(F.first(c).over(w).alias(f"{c}_0") for c in ("rank", "normalised", "final", "feedback_count")))
+    later = F.col("feedback_count") > F.col("feedback_count_0")
+    near = lambda c: F.bool_and(F.abs(F.col(c) - F.col(f"{c}_0")) <= 1e-12)
+    first = lambda cond: F.min(F.when(later & cond, F.col("feedback_count")))
+    out = base.groupBy("case_id").agg(
+        first(F.col("rank") < F.col("rank_0")).alias("flip"),
+        first(F.col("rank") > F.col("rank_0")).alias("regression"),
+        F.coalesce(F.bool_or(F.when(later, F.col("changed_edges") > 0)), F.lit(False)).alias("changed"),
+        F.bool_and(F.col("rank") == F.col("rank_0")).alias("stable"),
+        (near("normalised") & near("final")).alias("same"),
+    )
+    still = F.col("changed") & F.col("stable")
+    kind = F.when(F.col("regression").isNotNull(), "rank_regression").when(F.col("flip").isNotNull(), "rank_flip_threshold").when(still, "edge_changed_but_rank_unchanged").otherwise("rank_stable_through_schedule")
+    return out.select("case_id", kind.alias("classification"), F.col("flip").alias("rank_flip_threshold"), F.col("regression").alias("rank_regression_first_checkpoint"), F.col("stable").alias("rank_stable_through_schedule"), (still & F.col("same")).alias("fusion_side_ceiling"))
+
+
+def trajectory(points: DataFrame) -> DataFrame:
+    """arm, role, non_decreasing, gain of points(arm, role, checkpoint, mrr)."""
+    w = Window.partitionBy("arm", "role").orderBy("checkpoint")
+    step = points.withColumn("step", F.col("mrr") - F.lag("mrr").over(w))
+    return step.groupBy("arm", "role").agg(F.coalesce(F.min("step") >= 0, F.lit(True)).alias("non_decreasing"), (F.max_by("mrr", "checkpoint") - F.min_by("mrr", "checkpoint")).alias("gain"))
+
+
+def channel_metrics(ranks: DataFrame) -> DataFrame:
+    """Intended MRR and Hit@1, relation against lexical MRR, and coverage of ranks(query_id, intended, lexical, relation),
+    in which a rank is null if the expected node isn't in the channel's list."""
+    own = F.when(F.col("intended") == "lexical", F.col("lexical")).otherwise(F.col("relation"))
+    mrr = lambda c: F.avg(F.coalesce(1 / c, F.lit(0.0)))
+    any_ = F.col("lexical").isNotNull() | F.col("relation").isNotNull()
+    rel = F.col("intended") == "relation"
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return ranks.agg(mrr(own).alias("intended_mrr"), share(own == 1).alias("intended_hit_1"), F.avg(F.when(rel, F.coalesce(1 / F.col("lexical"), F.lit(0.0)))).alias("relation_cases_lexical_mrr"), F.avg(F.when(rel, F.coalesce(1 / F.col("relation"), F.lit(0.0)))).alias("relation_cases_relation_mrr"), share(any_).alias("union_coverage"))
+
+
+def failed_gates(gates: DataFrame, wanted: list[str]) -> DataFrame:
+    """position, name, reason of gates(position, name, passed) that are missing, misplaced, repeated or not true."""
+    w = gates.sparkSession.createDataFrame(list(enumerate(wanted)), "position int, wanted string")
+    both = gates.join(w, "position", "full")
+    reason = F.when(F.col("name").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("name") != F.col("wanted"), "out_of_order").when(~F.coalesce("passed", F.lit(False)), "failed")
+    return both.select("position", F.coalesce("name", "wanted").alias("name"), reason.alias("reason")).where("reason is not null")
+
+
+def formula_audit(rows: DataFrame, entry_weight: float, graph_weight: float) -> DataFrame:
+    """query_id, holds: whether stored finals are what entry and graph give, and stand in their order."""
+    due = (F.col("entry") * entry_weight + F.col("graph") * graph_weight) / (entry_weight + graph_weight)
+    w = Window.partitionBy("query_id").orderBy(F.desc("final"), "node_id")
+    return rows.withColumn("turn", F.row_number().over(w)).groupBy("query_id").agg(F.bool_and((F.abs(F.col("final") - due) <= 1e-12) & (F.col("turn") == F.col("rank"))).alias("holds"))
