@@ -14,15 +14,15 @@ from . import dynamics, ranking, retrieval
 
 
 def entries(nodes: DataFrame, queries: DataFrame, config: EngineConfig) -> DataFrame:
-    """query_id, node_id, sparse, dense, entry of every node and query: a stated set of queries against all nodes, so the
-    queries are the side that is sent around."""
+    """query_id, node_id, sparse, dense, entry. With dense retrieval every node is scored for every query: the queries are a
+    stated set, the side that is sent around. Without it, nodes that hold no term of a query have no row."""
     sparse = retrieval.bm25(nodes, queries).withColumnRenamed("score", "sparse")
-    vectors, n = nodes.select("node_id"), queries.select("query_id")
-    dense = F.lit(0.0)
-    if config.use_dense_retrieval:
-        vectors = nodes.select("node_id", encoded(F.col("text")).alias("v"))
-        n = queries.select("query_id", encoded(F.col("text")).alias("q"))
-        dense = retrieval.cosine(F.col("v"), F.col("q"))
+    if not config.use_dense_retrieval:
+        lone = retrieval.entry_scores(sparse.withColumnRenamed("sparse", "score"), None, config)
+        return sparse.join(lone, ["query_id", "node_id"]).select("query_id", "node_id", "sparse", F.lit(0.0).alias("dense"), "entry")
+    vectors = nodes.select("node_id", encoded(F.col("text")).alias("v"))
+    n = queries.select("query_id", encoded(F.col("text")).alias("q"))
+    dense = retrieval.cosine(F.col("v"), F.col("q"))
     both = vectors.join(n).select("query_id", "node_id", dense.alias("dense")).join(sparse, ["query_id", "node_id"], "left").fillna(0.0, ["sparse"])
     top = both.groupBy("query_id").agg(F.max("sparse").alias("ms"), F.max("dense").alias("md"))
     part = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(0.0)

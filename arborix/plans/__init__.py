@@ -1,0 +1,3 @@
+"""Importing the package registers all queries."""
+
+from . import audits, searches  # noqa: F401
