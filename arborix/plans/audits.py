@@ -112,11 +112,11 @@ def top_k_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT user_id AS case_id, event_id AS t, event_id % 5 AS rank, value FROM events WHERE value IS NOT NULL), b AS (SELECT *, first_value(rank) OVER w AS r0, first_value(t) OVER w AS a0 FROM r WINDOW w AS (PARTITION BY case_id ORDER BY t)),
 g AS (SELECT case_id, min(CASE WHEN t > a0 AND rank < r0 THEN t END) AS flip, min(CASE WHEN t > a0 AND rank > r0 THEN t END) AS reg, coalesce(bool_or(CASE WHEN t > a0 THEN value > 50 END), false) AS changed FROM b GROUP BY case_id)
-SELECT case_id, CASE WHEN reg IS NOT NULL THEN 'rank_regression' WHEN flip IS NOT NULL THEN 'rank_flip_threshold' WHEN changed THEN 'edge_changed_but_rank_unchanged' ELSE 'rank_stable_through_schedule' END AS classification, flip AS rank_flip_threshold, reg AS rank_regression_first_checkpoint FROM g""")
+SELECT case_id, CASE WHEN reg IS NOT NULL THEN 'rank_regression' WHEN flip IS NOT NULL THEN 'rank_flip_threshold' WHEN changed THEN 'edge_changed_but_rank_unchanged' ELSE 'rank_stable_through_schedule' END AS classification, coalesce(flip, -1) AS rank_flip_threshold, coalesce(reg, -1) AS rank_regression_first_checkpoint FROM g""")
 def rank_elasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a schedule of feedback did to each case."""
     e = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("feedback_count"), (F.col("event_id") % 5).alias("rank"), F.lit(1.0).alias("normalised"), F.lit(1.0).alias("final"), (F.col("value") > 50).cast("int").alias("changed_edges"))
-    return metrics.elasticity(e).select("case_id", "classification", "rank_flip_threshold", "rank_regression_first_checkpoint")
+    return metrics.elasticity(e).select("case_id", "classification", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("rank_flip_threshold", "rank_regression_first_checkpoint")))
 
 
 @query("""WITH p AS (SELECT event_type AS role, event_id % 4 AS checkpoint, round(avg(value), 6) AS mrr FROM events GROUP BY ALL), s AS (SELECT *, mrr - lag(mrr) OVER (PARTITION BY role ORDER BY checkpoint) AS d FROM p)

@@ -113,12 +113,12 @@ def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.lit(0).cast("long").alias("query_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node_id"), (F.lit(0.5) + F.col("p_partkey") % 2 / 2.0).alias("entry"))
 
 
-@query(EDGES + HOPS + "SELECT node_id, round(activation, 6) AS activation, n_paths FROM act")
+@query(EDGES + HOPS + "SELECT node_id, round(activation, 10) AS activation, n_paths FROM act")
 def additive_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: activation along all simple paths of two hops."""
     c = EngineConfig()
     found = graph.paths(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c)
-    return graph.activation(found, c).select("node_id", F.round("activation", 6).alias("activation"), "n_paths")
+    return graph.activation(found, c).select("node_id", F.round("activation", 10).alias("activation"), "n_paths")
 
 
 @query(EDGES + """
@@ -134,12 +134,12 @@ def budget_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.activation(found, c).select("node_id", F.round("activation", 6).alias("activation"), "n_paths")
 
 
-@query(EDGES + HOPS + """SELECT node_id, round(a, 6) AS activation FROM (SELECT node_id, activation - 0.1 * max(activation) OVER () AS a FROM act) WHERE a > 0""")
+@query(EDGES + HOPS + """SELECT node_id, round(a, 10) AS activation FROM (SELECT node_id, activation - 0.1 * max(activation) OVER () AS a FROM act) WHERE a > 0""")
 def lateral_inhibition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the greatest activation off all."""
     c = EngineConfig(activation_strategy="lateral_inhibition", inhibition_ratio=0.1)
     found = graph.paths(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c)
-    return graph.activation(found, c).select("node_id", F.round("activation", 6).alias("activation"))
+    return graph.activation(found, c).select("node_id", F.round("activation", 10).alias("activation"))
 
 
 FUSED = EDGES + HOPS + """, both_ AS (SELECT coalesce(a.node_id, s.node_id) AS node_id, coalesce(entry, 0) AS entry, greatest(coalesce(activation, 0), 0) AS g FROM act a FULL JOIN seeds s ON a.node_id = s.node_id),

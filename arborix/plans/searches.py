@@ -13,13 +13,13 @@ from .queries import EDGES, TOKENS, part_seeds, query, table, text_nodes, typed_
 ASKED = "supplied located"
 
 
-def spread(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+def spread(spark: SparkSession, sf_dir: str, strategy: str, digits: int = 6) -> DataFrame:
     """Two steps of a strategy from the parts; targets have no text, so the gate sees the edges' types alone."""
     c = EngineConfig(activation_strategy=strategy, inhibition_ratio=0.1, recurrent_steps=2)
     q = spark.range(1).select(F.col("id").alias("query_id"), F.split(F.lit(ASKED), " ").alias("query_tokens"))
     none = table(spark, sf_dir, "nation").select(F.lit("").alias("target_id"), F.array().cast("array<string>").alias("target_tokens")).limit(0)
     out = dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c, q, none)
-    return out.activation.select("node_id", F.round("activation", 6).alias("activation"))
+    return out.activation.select("node_id", F.round("activation", digits).alias("activation"))
 
 
 GATE = "(0.4 + 0.6 * len(list_intersect(string_split(edge_type, '_'), ['supplied', 'located'])) / 2.0)"
@@ -92,10 +92,10 @@ def anchored_local_query_competition(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query(EDGES + f"""h1 AS (SELECT s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 * {GATE} AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
 h2 AS (SELECT h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 * {GATE} AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE h.c > 0)
-SELECT node_id, round(sum(c), 6) AS activation FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT node_id, c FROM h1 WHERE c > 0 UNION ALL SELECT node_id, c FROM h2 WHERE c > 0) GROUP BY node_id""")
+SELECT node_id, round(sum(c), 11) AS activation FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT node_id, c FROM h1 WHERE c > 0 UNION ALL SELECT node_id, c FROM h2 WHERE c > 0) GROUP BY node_id""")
 def query_conditioned_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G3, P6."""
-    return spread(spark, sf_dir, "query_conditioned_transmission")
+    """G3, P6. All products have ten decimals at most, so eleven are kept: none is then rounded at a half."""
+    return spread(spark, sf_dir, "query_conditioned_transmission", 11)
 
 
 @query(EDGES + """h1 AS (SELECT s.node_id AS seed, e.target_id AS t FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE weight * factuality > 0)

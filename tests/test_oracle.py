@@ -21,11 +21,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, con, name):
-    got, want = QUERIES[name](spark, FOLDER).toPandas(), con.execute(ORACLE_SQL[name]).df()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    rows = lambda x: sorted(tuple(map(str, r)) for r in x[columns].values.tolist())
-    assert rows(got) == rows(want)
+    got, want = QUERIES[name](spark, FOLDER), con.execute(ORACLE_SQL[name])
+    columns, there = sorted(got.columns), [d[0] for d in want.description]
+    assert columns == sorted(there)
+    rows = lambda x, names: sorted(tuple(str(r[names.index(c)]) for c in columns) for r in x)
+    assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), there)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
