@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,15 +18,21 @@ from .text import tokens
 PERSON, SIZES, DIMENSIONS = b"ngrag-v1", (3, 4), 192
 
 
+@lru_cache(maxsize=1 << 18)
+def _place(name: str) -> tuple[int, float]:
+    h = hashlib.blake2b(name.encode(), digest_size=8, person=PERSON).digest()
+    return int.from_bytes(h[:4], "big"), 1.0 if h[4] % 2 else -1.0
+
+
 def hashed(words: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Signed counts of the words and of the n-grams of the words joined by "_", of length 1 (or 0 without words)."""
     if dimensions < 8:
         raise ValueError("at least 8 dimensions")
     joined, v = "_".join(words), np.zeros(dimensions)
     names = [f"w:{w}" for w in words] + [f"c{n}:{joined[i : i + n]}" for n in SIZES for i in range(len(joined) - n + 1)]
-    for name in names:
-        h = hashlib.blake2b(name.encode(), digest_size=8, person=PERSON).digest()
-        v[int.from_bytes(h[:4], "big") % dimensions] += 1.0 if h[4] % 2 else -1.0
+    for name, n in Counter(names).items():
+        at, sign = _place(name)
+        v[at % dimensions] += sign * n
     size = float(np.sqrt((v * v).sum()))
     return v / size if size else v
 
