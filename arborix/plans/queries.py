@@ -73,13 +73,15 @@ def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(retrieval.bm25(text_nodes(spark, sf_dir), asked(spark)), "score", 10).select("node_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)
-SELECT vec_id AS node_id, round(greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v)), 6) AS score FROM embeddings, q""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS node_id, round(greatest(0, list_cosine_similarity(v.v, q.v)), 9) AS score FROM v, v q WHERE q.vec_id % 20 = 0)
+SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
 def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of a stored vector with all others."""
+    """The ten nearest by cosine of every twentieth vector. The queries are a stated set; each task keeps its ten best
+    of each before they are ranked."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("v"))
-    q = v.where("node_id = 0").select(F.col("v").alias("q"))
-    return v.join(F.broadcast(q)).select("node_id", F.round(retrieval.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    q = v.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), F.col("v").alias("q"))
+    scored = v.join(q).select("query_id", "node_id", F.round(retrieval.cosine(F.col("v"), F.col("q")), 9).alias("score"))
+    return ranking.top(scored, "score", 10).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,71 +101,72 @@ WITH RECURSIVE edges AS (
   FROM lineitem GROUP BY l_partkey, l_suppkey
   UNION ALL
   SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', 0.8, 1.0 FROM supplier),
-seeds AS (SELECT 'part:' || p_partkey AS node_id, CAST(0.5 AS DOUBLE) + (p_partkey % 2) / 2.0 AS entry FROM part WHERE p_partkey <= 50),
+seeds AS (SELECT p_partkey // 20 AS query_id, 'part:' || p_partkey AS node_id, CAST(0.5 AS DOUBLE) + (p_partkey % 2) / 2.0 AS entry FROM part),
 """
 HOPS = """
-h1 AS (SELECT s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE s.entry * weight * factuality * 0.7 > 0),
-h2 AS (SELECT h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE e.target_id <> h.seed AND h.c * weight * factuality * 0.7 > 0),
-act AS (SELECT node_id, sum(c) AS activation, count(*) AS n_paths FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT node_id, c FROM h1 UNION ALL SELECT node_id, c FROM h2) GROUP BY node_id)
+h1 AS (SELECT query_id, s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE s.entry * weight * factuality * 0.7 > 0),
+h2 AS (SELECT query_id, h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE e.target_id <> h.seed AND h.c * weight * factuality * 0.7 > 0),
+act AS (SELECT query_id, node_id, sum(c) AS activation, count(*) AS n_paths FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT query_id, node_id, c FROM h1 UNION ALL SELECT query_id, node_id, c FROM h2) GROUP BY ALL)
 """
 
 
 def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 50")
-    return p.select(F.lit(0).cast("long").alias("query_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node_id"), (F.lit(0.5) + F.col("p_partkey") % 2 / 2.0).alias("entry"))
+    """All parts, twenty to a query."""
+    p = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.floor(p / 20).cast("long").alias("query_id"), F.concat(F.lit("part:"), p.cast("string")).alias("node_id"), (F.lit(0.5) + p % 2 / 2.0).alias("entry"))
 
 
-@query(EDGES + HOPS + "SELECT node_id, round(activation, 10) AS activation, n_paths FROM act")
+@query(EDGES + HOPS + "SELECT query_id, node_id, round(activation, 10) AS activation, n_paths FROM act")
 def additive_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: activation along all simple paths of two hops."""
     c = EngineConfig()
     found = graph.paths(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c)
-    return graph.activation(found, c).select("node_id", F.round("activation", 10).alias("activation"), "n_paths")
+    return graph.activation(found, c).select("query_id", "node_id", F.round("activation", 10).alias("activation"), "n_paths")
 
 
 @query(EDGES + """
-h1 AS (SELECT s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE s.entry * weight * factuality * 0.7 > 0),
-b1 AS (SELECT seed, node_id, c * least(1.0, 1.0 / sum(c) OVER ()) AS c FROM h1),
-h2 AS (SELECT h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM b1 h JOIN edges e ON e.source_id = h.node_id WHERE e.target_id <> h.seed AND h.c * weight * factuality * 0.7 > 0),
-b2 AS (SELECT seed, node_id, c * least(1.0, 1.0 / sum(c) OVER ()) AS c FROM h2)
-SELECT node_id, round(sum(c), 6) AS activation, count(*) AS n_paths FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT node_id, c FROM b1 UNION ALL SELECT node_id, c FROM b2) GROUP BY node_id""")
+h1 AS (SELECT query_id, s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE s.entry * weight * factuality * 0.7 > 0),
+b1 AS (SELECT query_id, seed, node_id, c * least(1.0, 1.0 / sum(c) OVER (PARTITION BY query_id)) AS c FROM h1),
+h2 AS (SELECT query_id, h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM b1 h JOIN edges e ON e.source_id = h.node_id WHERE e.target_id <> h.seed AND h.c * weight * factuality * 0.7 > 0),
+b2 AS (SELECT query_id, seed, node_id, c * least(1.0, 1.0 / sum(c) OVER (PARTITION BY query_id)) AS c FROM h2)
+SELECT query_id, node_id, round(sum(c), 6) AS activation, count(*) AS n_paths FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT query_id, node_id, c FROM b1 UNION ALL SELECT query_id, node_id, c FROM b2) GROUP BY ALL""")
 def budget_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As G1, each hop scaled to a budget of 1."""
     c = EngineConfig(activation_strategy="finite_activation_budget")
     found = graph.paths(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c)
-    return graph.activation(found, c).select("node_id", F.round("activation", 6).alias("activation"), "n_paths")
+    return graph.activation(found, c).select("query_id", "node_id", F.round("activation", 6).alias("activation"), "n_paths")
 
 
-@query(EDGES + HOPS + """SELECT node_id, round(a, 10) AS activation FROM (SELECT node_id, activation - 0.1 * max(activation) OVER () AS a FROM act) WHERE a > 0""")
+@query(EDGES + HOPS + """SELECT query_id, node_id, round(a, 10) AS activation FROM (SELECT query_id, node_id, activation - 0.1 * max(activation) OVER (PARTITION BY query_id) AS a FROM act) WHERE a > 0""")
 def lateral_inhibition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the greatest activation off all."""
     c = EngineConfig(activation_strategy="lateral_inhibition", inhibition_ratio=0.1)
     found = graph.paths(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c)
-    return graph.activation(found, c).select("node_id", F.round("activation", 10).alias("activation"))
+    return graph.activation(found, c).select("query_id", "node_id", F.round("activation", 10).alias("activation"))
 
 
-FUSED = EDGES + HOPS + """, both_ AS (SELECT coalesce(a.node_id, s.node_id) AS node_id, coalesce(entry, 0) AS entry, greatest(coalesce(activation, 0), 0) AS g FROM act a FULL JOIN seeds s ON a.node_id = s.node_id),
-norm AS (SELECT node_id, entry, g / max(g) OVER () AS graph FROM both_)
+FUSED = EDGES + HOPS + """, both_ AS (SELECT query_id, node_id, coalesce(entry, 0) AS entry, greatest(coalesce(activation, 0), 0) AS g FROM act FULL JOIN seeds USING (query_id, node_id)),
+norm AS (SELECT query_id, node_id, entry, g / max(g) OVER (PARTITION BY query_id) AS graph FROM both_)
 """
 
 
-@query(FUSED + "SELECT node_id, round(entry * 0.55 + graph * 0.45, 6) AS final FROM norm")
+@query(FUSED + "SELECT query_id, node_id, round(entry * 0.55 + graph * 0.45, 6) AS final FROM norm")
 def linear_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, K3, K6: entry and max-normalised graph scores, blended."""
     c, s = EngineConfig(), part_seeds(spark, sf_dir)
     act = graph.activation(graph.paths(s, typed_edges(spark, sf_dir), c), c)
-    return ranking.fused(s, act, c).select("node_id", F.round("final", 6).alias("final"))
+    return ranking.fused(s, act, c).select("query_id", "node_id", F.round("final", 6).alias("final"))
 
 
-@query(FUSED + """, r AS (SELECT node_id, row_number() OVER (ORDER BY round(entry, 9) DESC, node_id) AS re, CASE WHEN graph > 0 THEN row_number() OVER (ORDER BY round(graph, 9) DESC, node_id) END AS rg FROM norm)
-SELECT node_id, round(0.55 / (60 + re) + 0.45 * coalesce(1.0 / (60 + rg) - 1.0 / (60 + count(rg) OVER () + 1), 0), 6) AS final FROM r""")
+@query(FUSED + """, r AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(entry, 9) DESC, node_id) AS re, CASE WHEN graph > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY round(graph, 9) DESC, node_id) END AS rg FROM norm)
+SELECT query_id, node_id, round(0.55 / (60 + re) + 0.45 * coalesce(1.0 / (60 + rg) - 1.0 / (60 + count(rg) OVER (PARTITION BY query_id) + 1), 0), 6) AS final FROM r""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2, K4: reciprocal ranks, with the last graph rank worth nothing; sums are rounded before they are ranked."""
     c, s = EngineConfig(final_fusion_strategy="rrf"), part_seeds(spark, sf_dir)
     act = graph.activation(graph.paths(s, typed_edges(spark, sf_dir), c), c)
     top = F.max("activation").over(ranking.Window.partitionBy("query_id"))
     act = act.withColumn("activation", F.round(F.col("activation") / top, 9))
-    return ranking.fused(s, act, c).select("node_id", F.round("final", 6).alias("final"))
+    return ranking.fused(s, act, c).select("query_id", "node_id", F.round("final", 6).alias("final"))
 
 
 @query("""WITH t AS (SELECT max(epoch(ts)) AS now FROM events)

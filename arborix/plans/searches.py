@@ -16,10 +16,10 @@ ASKED = "supplied located"
 def spread(spark: SparkSession, sf_dir: str, strategy: str, digits: int = 6) -> DataFrame:
     """Two steps of a strategy from the parts; targets have no text, so the gate sees the edges' types alone."""
     c = EngineConfig(activation_strategy=strategy, inhibition_ratio=0.1, recurrent_steps=2)
-    q = spark.range(1).select(F.col("id").alias("query_id"), F.split(F.lit(ASKED), " ").alias("query_tokens"))
+    q = part_seeds(spark, sf_dir).select("query_id").distinct().withColumn("query_tokens", F.split(F.lit(ASKED), " "))
     none = table(spark, sf_dir, "nation").select(F.lit("").alias("target_id"), F.array().cast("array<string>").alias("target_tokens")).limit(0)
     out = dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c, q, none)
-    return out.activation.select("node_id", F.round("activation", digits).alias("activation"))
+    return out.activation.select("query_id", "node_id", F.round("activation", digits).alias("activation"))
 
 
 GATE = "(0.4 + 0.6 * len(list_intersect(string_split(edge_type, '_'), ['supplied', 'located'])) / 2.0)"
@@ -27,25 +27,25 @@ GATE = "(0.4 + 0.6 * len(list_intersect(string_split(edge_type, '_'), ['supplied
 
 def steps_sql(gated: bool = False, by_path: bool = False, anchored: bool = False, overall: bool = False) -> str:
     """Two steps in SQL. Edges lead from parts to suppliers to nations, so no walk meets itself."""
-    gate, sql = GATE if gated else "1.0", EDGES + "s0 AS (SELECT node_id, entry AS a, node_id AS path FROM seeds),\n"
+    gate, sql = GATE if gated else "1.0", EDGES + "s0 AS (SELECT query_id, node_id, entry AS a, node_id AS path FROM seeds),\n"
     for i in (1, 2):
-        last, key = f"s{i - 1}", "node_id, path" if by_path else "node_id"
-        sql += f"p{i} AS (SELECT s.node_id, s.path, s.a, e.target_id AS t, s.a * weight * factuality * 0.7 * {gate} AS c FROM {last} s JOIN edges e ON e.source_id = s.node_id),\n"
+        last, key = f"s{i - 1}", "query_id, node_id, path" if by_path else "query_id, node_id"
+        sql += f"p{i} AS (SELECT query_id, s.node_id, s.path, s.a, e.target_id AS t, s.a * weight * factuality * 0.7 * {gate} AS c FROM {last} s JOIN edges e ON e.source_id = s.node_id),\n"
         if overall:
-            sql += f"m{i} AS (SELECT t, path, c * least(1.0, 1.0 / sum(c) OVER ()) AS c FROM p{i} WHERE c > 0),\n"
+            sql += f"m{i} AS (SELECT query_id, t, path, c * least(1.0, 1.0 / sum(c) OVER (PARTITION BY query_id)) AS c FROM p{i} WHERE c > 0),\n"
         else:
             sql += f"i{i} AS (SELECT *, c - CASE WHEN count(*) OVER (PARTITION BY {key}) > 1 THEN 0.1 * max(c) OVER (PARTITION BY {key}) ELSE 0 END AS d FROM p{i} WHERE c > 0),\n"
-            sql += f"m{i} AS (SELECT t, path, d * least(1.0, a / sum(d) OVER (PARTITION BY {key})) AS c FROM i{i} WHERE d > 0),\n"
-        both = f"SELECT node_id, a * 0.5 AS a, path FROM {last} UNION ALL SELECT t, c, path || '>' || t FROM m{i}"
+            sql += f"m{i} AS (SELECT query_id, t, path, d * least(1.0, a / sum(d) OVER (PARTITION BY {key})) AS c FROM i{i} WHERE d > 0),\n"
+        both = f"SELECT query_id, node_id, a * 0.5 AS a, path FROM {last} UNION ALL SELECT query_id, t, c, path || '>' || t FROM m{i}"
         if by_path:
-            sql += f"s{i} AS (SELECT node_id, a, path FROM ({both}) WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY a DESC, path) <= 4),\n"
+            sql += f"s{i} AS (SELECT query_id, node_id, a, path FROM ({both}) WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY a DESC, path) <= 4),\n"
         else:
-            less = "- 0.1 * max(sum(a)) OVER ()" if overall else ""
-            sql += f"s{i} AS (SELECT node_id, a, '' AS path FROM (SELECT node_id, sum(a) {less} AS a FROM ({both}) GROUP BY node_id) WHERE a > 0),\n"
-    sql += "f AS (SELECT node_id, sum(a) AS a FROM s2 GROUP BY node_id)\n"
+            less = "- 0.1 * max(sum(a)) OVER (PARTITION BY query_id)" if overall else ""
+            sql += f"s{i} AS (SELECT query_id, node_id, a, '' AS path FROM (SELECT query_id, node_id, sum(a) {less} AS a FROM ({both}) GROUP BY query_id, node_id) WHERE a > 0),\n"
+    sql += "f AS (SELECT query_id, node_id, sum(a) AS a FROM s2 GROUP BY ALL)\n"
     if anchored:
-        return sql + "SELECT node_id, round(a - coalesce(entry, 0) * 0.25, 6) AS activation FROM f LEFT JOIN seeds USING (node_id) WHERE entry IS NULL OR a - entry * 0.25 > 1e-15"
-    return sql + "SELECT node_id, round(a, 6) AS activation FROM f"
+        return sql + "SELECT query_id, node_id, round(a - coalesce(entry, 0) * 0.25, 6) AS activation FROM f LEFT JOIN seeds USING (query_id, node_id) WHERE entry IS NULL OR a - entry * 0.25 > 1e-15"
+    return sql + "SELECT query_id, node_id, round(a, 6) AS activation FROM f"
 
 
 @query(steps_sql(gated=True, overall=True))
@@ -90,19 +90,20 @@ def anchored_local_query_competition(spark: SparkSession, sf_dir: str) -> DataFr
     return spread(spark, sf_dir, "anchored_local_query_competition")
 
 
-@query(EDGES + f"""h1 AS (SELECT s.node_id AS seed, e.target_id AS node_id, s.entry * weight * factuality * 0.7 * {GATE} AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
-h2 AS (SELECT h.seed, e.target_id AS node_id, h.c * weight * factuality * 0.7 * {GATE} AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE h.c > 0)
-SELECT node_id, round(sum(c), 11) AS activation FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT node_id, c FROM h1 WHERE c > 0 UNION ALL SELECT node_id, c FROM h2 WHERE c > 0) GROUP BY node_id""")
+@query(EDGES + f"""h1 AS (SELECT query_id, e.target_id AS node_id, s.entry * weight * factuality * 0.7 * {GATE} AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
+h2 AS (SELECT query_id, e.target_id AS node_id, h.c * weight * factuality * 0.7 * {GATE} AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE h.c > 0)
+SELECT query_id, node_id, round(sum(c), 11) AS activation FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT * FROM h1 WHERE c > 0 UNION ALL SELECT * FROM h2 WHERE c > 0) GROUP BY query_id, node_id""")
 def query_conditioned_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3, P6. All products have ten decimals at most, so eleven are kept: none is then rounded at a half."""
     return spread(spark, sf_dir, "query_conditioned_transmission", 11)
 
 
-@query(EDGES + """h1 AS (SELECT s.node_id AS seed, e.target_id AS t FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE weight * factuality > 0)
-SELECT 2 AS steps, count(*) + (SELECT count(*) FROM h1) AS expansions, 'max_hops' AS stop_reason FROM h1 JOIN edges e ON e.source_id = t""")
+@query(EDGES + """h1 AS (SELECT query_id, e.target_id AS t FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE weight * factuality > 0),
+n AS (SELECT query_id, 1 AS hop FROM h1 UNION ALL SELECT query_id, 2 FROM h1 JOIN edges e ON e.source_id = t)
+SELECT query_id, max(hop) AS steps, count(*) AS expansions, CASE WHEN max(hop) = 2 THEN 'max_hops' ELSE 'frontier_exhausted' END AS stop_reason FROM n GROUP BY query_id""")
 def propagation_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G13."""
-    return dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), EngineConfig()).diagnostics.select("steps", "expansions", "stop_reason")
+    return dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), EngineConfig()).diagnostics.select("query_id", "steps", "expansions", "stop_reason")
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,32 +114,36 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEARCH = EDGES.split("seeds AS")[0] + f"""
 nodes AS (SELECT 'part:' || p_partkey AS node_id, p_name AS text FROM part UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation),
 dl AS (SELECT node_id, {TOKENS.format("text")} AS t FROM nodes), stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dl),
-q AS (SELECT DISTINCT unnest((SELECT {TOKENS.format("p_name")} FROM part WHERE p_partkey = 1)) AS term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT p_name AS query_id, unnest({TOKENS.format("p_name")}) AS term FROM (SELECT DISTINCT p_name FROM part)) GROUP BY ALL),
 post AS (SELECT node_id, term, dl, count(*) AS tf FROM (SELECT node_id, len(t) AS dl, unnest(t) AS term FROM dl) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-bm AS (SELECT node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS s FROM post JOIN df USING (term), stats GROUP BY node_id),
-entry AS (SELECT node_id, s / max(s) OVER () AS entry FROM bm),
-seeds AS (SELECT node_id, entry FROM entry QUALIFY row_number() OVER (ORDER BY round(entry, 9) DESC, node_id) <= 3),
+bm AS (SELECT query_id, node_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) AS s FROM post JOIN df USING (term) JOIN q USING (term), stats GROUP BY ALL),
+entry AS (SELECT query_id, node_id, s / max(s) OVER (PARTITION BY query_id) AS entry FROM bm),
+seeds AS (SELECT query_id, node_id, entry FROM entry QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(entry, 9) DESC, node_id) <= 3),
 """
 
 
-@query(SEARCH + """h1 AS (SELECT e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
-h2 AS (SELECT e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id),
-act AS (SELECT node_id, sum(c) AS activation FROM (SELECT node_id, entry AS c FROM seeds UNION ALL SELECT * FROM h1 WHERE c > 0 UNION ALL SELECT * FROM h2 WHERE c > 0) GROUP BY node_id),
-final AS (SELECT node_id, coalesce(entry, 0) * 0.55 + coalesce(activation, 0) / max(activation) OVER () * 0.45 AS final FROM entry FULL JOIN act USING (node_id))
-SELECT node_id, CAST(row_number() OVER (ORDER BY round(final, 9) DESC, node_id) AS INTEGER) AS rank, round(final, 6) AS final FROM final QUALIFY rank <= 10""")
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a part, as a query."""
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
+
+
+@query(SEARCH + """h1 AS (SELECT query_id, e.target_id AS node_id, s.entry * weight * factuality * 0.7 AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
+h2 AS (SELECT query_id, e.target_id AS node_id, h.c * weight * factuality * 0.7 AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id),
+act AS (SELECT query_id, node_id, sum(c) AS activation FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT * FROM h1 WHERE c > 0 UNION ALL SELECT * FROM h2 WHERE c > 0) GROUP BY ALL),
+final AS (SELECT query_id, node_id, coalesce(entry, 0) * 0.55 + coalesce(activation, 0) / max(activation) OVER (PARTITION BY query_id) * 0.45 AS final FROM entry FULL JOIN act USING (query_id, node_id))
+SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, node_id) AS INTEGER) AS rank, round(final, 6) AS final FROM final QUALIFY rank <= 10""")
 def combined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part's name, without dense retrieval: BM25, seeds, two hops, linear fusion, the ten best."""
+    """parts' names, without dense retrieval: BM25, seeds, two hops, linear fusion, the ten best."""
     c = EngineConfig(use_dense_retrieval=False, dense_weight=0)
-    q = table(spark, sf_dir, "part").where("p_partkey = 1").select(F.lit(1).cast("long").alias("query_id"), F.col("p_name").alias("text"))
-    return channels.search(part_nodes(spark, sf_dir), typed_edges(spark, sf_dir), q, c, 10).select("node_id", "rank", F.round("final", 6).alias("final"))
+    return channels.search(part_nodes(spark, sf_dir), typed_edges(spark, sf_dir), name_queries(spark, sf_dir), c, 10).select("query_id", "node_id", "rank", F.round("final", 6).alias("final"))
 
 
 @query(None)
 def relation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relation channel for a part's name, with the paths that explain it."""
-    q = table(spark, sf_dir, "part").where("p_partkey = 1").select(F.lit(1).cast("long").alias("query_id"), F.col("p_name").alias("text"))
-    return channels.relation_channel(part_nodes(spark, sf_dir), typed_edges(spark, sf_dir), q, EngineConfig(), 10).select("node_id", "rank", F.round("score", 6).alias("score"), F.to_json("paths").alias("paths"))
+    """The relation channel for parts' names, with the paths that explain it."""
+    found = channels.relation_channel(part_nodes(spark, sf_dir), typed_edges(spark, sf_dir), name_queries(spark, sf_dir), EngineConfig(), 10)
+    return found.select("query_id", "node_id", "rank", F.round("score", 6).alias("score"), F.to_json("paths").alias("paths"))
 
 
 @query(None)
@@ -199,11 +204,11 @@ def confirmation_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.confirmations(e, 0.5, 2.0).select("edge_type", "n", F.round("new_weight", 6).alias("new_weight"))
 
 
-@query("""WITH e AS (SELECT user_id AS edge_type, value / 100 - 0.5 AS delta, event_id % 3 <> 0 AS active FROM events WHERE value IS NOT NULL)
+@query("""WITH e AS (SELECT user_id AS edge_type, value / 100 - 0.5 AS delta, event_type <> 'error' AS active FROM events WHERE value IS NOT NULL)
 SELECT edge_type, round(greatest(0, least(2.0, 0.5 + sum(CASE WHEN active THEN delta ELSE 0 END))), 6) AS new_weight FROM e GROUP BY edge_type""")
 def exact_reversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights rebuilt from the deltas that are still active."""
-    e = table(spark, sf_dir, "events").where("value is not null").select(F.lit("s").alias("source_id"), F.lit("t").alias("target_id"), F.col("user_id").alias("edge_type"), F.lit(0.5).alias("baseline"), F.lit(2.0).alias("maximum"), (F.col("value") / 100 - 0.5).alias("delta"), (F.col("event_id") % 3 != 0).alias("active"))
+    e = table(spark, sf_dir, "events").where("value is not null").select(F.lit("s").alias("source_id"), F.lit("t").alias("target_id"), F.col("user_id").alias("edge_type"), F.lit(0.5).alias("baseline"), F.lit(2.0).alias("maximum"), (F.col("value") / 100 - 0.5).alias("delta"), (F.col("event_type") != "error").alias("active"))
     return feedback.reversed_weights(e).select("edge_type", F.round("new_weight", 6).alias("new_weight"))
 
 
