@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
-KINDS = ("success", "used", "confirmed", "corrected", "rolled_back", "superseded")
+#: "plain" is a success that leaves siblings alone.
+KINDS = ("success", "plain", "used", "confirmed", "corrected", "rolled_back", "superseded")
 JOURNAL = "source_id string, line long, seq long, trace_id string, kind string, role string, target_id string, edge_type string, old_weight double, new_weight double, reinforced_count long, dormant boolean"
 COLUMNS = [c.split()[0] for c in JOURNAL.split(", ")]
 
@@ -64,7 +65,7 @@ class Source:
     def rise(self, kind: str, trace: str, key: tuple, increment: float) -> float | None:
         """The new weight that an event gives an edge; None if it does nothing."""
         c, e = self.config, self.edges[key]
-        if kind == "success":
+        if kind in ("success", "plain"):
             return max(e.weight, min(c.maximum_edge_weight, e.weight + increment))
         if kind == "used":
             if not c.soft_start_feedback_reinforcement or ("used", key, trace) in self.seen:
@@ -107,7 +108,7 @@ class Source:
             e.weight, e.count = new, e.count + 1
             yield ("credited", key, old[0], new)
         total, lost = sum(gains.values()), {}
-        if c.sibling_feedback_normalization > 0 and total > 0 and kind != "used":
+        if c.sibling_feedback_normalization > 0 and total > 0 and kind not in ("used", "plain"):
             keys = {k for k, _ in credits}
             spared = (lambda k: any(x.active for x in self.touching.get(k, ()))) if c.outcome_driven_feedback_deactivation else (lambda k: False)
             siblings = sorted(k for k, e in self.edges.items() if k not in keys and not e.dormant and not spared(k))
@@ -118,7 +119,7 @@ class Source:
                     before[k], lost[k] = (e.weight, e.count), e.weight - new
                     yield ("sibling", k, e.weight, new)
                     e.weight = new
-        if kind != "success" and c.soft_start_feedback_reinforcement:
+        if kind not in ("success", "plain") and c.soft_start_feedback_reinforcement:
             for key, gain in gains.items():
                 share = gain / total if total > 0 else 0.0
                 self.enter(trace, key, {key: gain} | {k: -d * share for k, d in lost.items()}, before)
@@ -181,7 +182,7 @@ def fold(edges: DataFrame, events: DataFrame, config: EngineConfig) -> DataFrame
                     request.append(row)
             elif request:
                 first = request[0]
-                if first.kind in KINDS[:3]:
+                if first.kind in KINDS[:4]:
                     moves = source.raised(first.kind, first.trace_id, [((r.target_id, r.edge_type), r.value) for r in request])
                 else:
                     moves = source.undone(first.kind, first.trace_id, [(r.target_id, r.edge_type) for r in request])

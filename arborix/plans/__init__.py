@@ -1,3 +1,3 @@
 """Importing the package registers all queries."""
 
-from . import audits, searches  # noqa: F401
+from . import audits, experiments, searches  # noqa: F401
