@@ -125,15 +125,15 @@ class Engine:
         return Trace(name, self._all("traces", HITS).where(F.col("v") == n).orderBy("rank").collect())
 
     def search(self, query: str, limit: int = 10, now: float | None = None) -> Trace:
-        """The combined search; what it activates is remembered."""
+        """The combined search; all that it activates is remembered."""
         if not 1 <= limit <= 100:
             raise EngineError("invalid_argument", "a limit is 1 to 100")
         nodes, asked = self._asked(query)
         now = time.time() if now is None else now
-        found = channels.search(nodes, self._visible(), asked, self.config, limit)
-        trace = self._traced(found, "combined", "final", query, now)
-        live = self.spark.createDataFrame([(h.node_id, sum(p.contribution for p in h.paths or ()), float(now)) for h in trace.hits], "node_id string, value double, at double")
-        self._add("activations", live.where("value > 0"), "node_id string, value double, at double")
+        entry, found = channels.scored(nodes, self._visible(), asked, self.config)
+        trace = self._traced(channels.best(entry, found, self.config, limit), "combined", "final", query, now)
+        live = found.activation.where("activation > 0").select("node_id", F.col("activation").cast("double").alias("value"), F.lit(float(now)).alias("at"))
+        self._add("activations", live, "")
         return trace
 
     def search_channels(self, query: str, limit: int = 10, now: float | None = None) -> dict[str, Trace]:

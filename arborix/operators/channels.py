@@ -40,13 +40,21 @@ def _terms(nodes: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.select("query_id", tokens(F.col("text")).alias("query_tokens")), nodes.select(F.col("node_id").alias("target_id"), tokens(F.col("text")).alias("target_tokens"))
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: EngineConfig, limit: int) -> DataFrame:
-    """query_id, node_id, rank, entry, graph, activation, final, paths: the best of each query by the fused score."""
+def scored(nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: EngineConfig) -> tuple[DataFrame, dynamics.Propagation]:
+    """Entry scores of a combined search, and what spreads from its seeds."""
     entry = entries(nodes, queries, config)
-    found = dynamics.propagate(seeds(entry, config.seed_count), edges, config, *_terms(nodes, queries))
-    best = ranking.top(ranking.fused(entry, found.activation, config), "final", limit)
+    return entry, dynamics.propagate(seeds(entry, config.seed_count), edges, config, *_terms(nodes, queries))
+
+
+def best(entry: DataFrame, found: dynamics.Propagation, config: EngineConfig, limit: int) -> DataFrame:
+    """query_id, node_id, rank, entry, graph, activation, final, paths: the best of each query by the fused score."""
+    first = ranking.top(ranking.fused(entry, found.activation, config), "final", limit)
     why = dynamics.explained(found.paths, config.max_paths_per_node)
-    return best.select("query_id", "node_id", "rank", "entry", "graph", "activation", "final").join(why, ["query_id", "node_id"], "left")
+    return first.select("query_id", "node_id", "rank", "entry", "graph", "activation", "final").join(why, ["query_id", "node_id"], "left")
+
+
+def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: EngineConfig, limit: int) -> DataFrame:
+    return best(*scored(nodes, edges, queries, config), config, limit)
 
 
 def lexical_channel(nodes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
