@@ -123,12 +123,13 @@ class Encoder:
 
     def __init__(self, compiled: bytes, path: str) -> None:
         self.vocab, self.lexicon, self.ranks = vocabulary(path), Lexicon(compiled), ranked(path)
+        most = 1 + max(self.vocab.bytes_of)
+        self.decimal, self.spelled = [f"{i}," for i in range(most)], [self.vocab.bytes_of.get(i, b"") for i in range(most)]
         self.known: dict[str, tuple[bytes, str]] = {}
         self.pieces = Pieces(self.vocab, self._words, lambda xs: (b"".join([x[0] for x in xs]), "".join([x[1] for x in xs])))
 
-    @staticmethod
-    def _value(packed: bytes) -> tuple[bytes, str]:
-        return packed, "".join(f"{i}," for i in numbers(packed))
+    def _value(self, packed: bytes) -> tuple[bytes, str]:
+        return packed, "".join(map(self.decimal.__getitem__, numbers(packed)))
 
     def _words(self, words: list[str]) -> tuple[bytes, str]:
         known = self.known
@@ -154,20 +155,20 @@ class Encoder:
             known.clear()
             memo.clear()
         parts = [t.split(" ") for t in texts]
-        new = set().union(*parts) - memo.keys()
+        new = set().union(*parts).difference(memo)
         split = {p: find(" " + p) for p in new if p and p[0] not in SPACE and p[-1] not in SPACE}
-        words = {w for ws in split.values() for w in ws} - known.keys()
+        words = {w for ws in split.values() for w in ws}.difference(known)
         if words:
             self.learn(list(words))
         for p, ws in split.items():
-            memo[p] = self._words(ws)
+            memo[p] = known[ws[0]] if len(ws) == 1 else self._words(ws)
         return [self.encode(t, p) for t, p in zip(texts, parts, strict=True)]
 
     def encode(self, text: str, parts: list[str] | None = None) -> tuple[bytes, str]:
         return self.pieces.of(text, lambda i: self._value(np.array([i], "<u4").tobytes()), parts)
 
     def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.vocab.bytes_of.__getitem__, numbers(packed))).decode("utf-8", "replace")
+        return b"".join(map(self.spelled.__getitem__, numbers(packed))).decode("utf-8", "replace")
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> DataFrame:
