@@ -75,9 +75,10 @@ def relation_channel(nodes: DataFrame, edges: DataFrame, queries: DataFrame, con
 
 
 def agreement(lexical: DataFrame, relation: DataFrame) -> DataFrame:
-    """query_id, node_ids: what both channels show, in order."""
-    both = lexical.select("query_id", "node_id").intersect(relation.select("query_id", "node_id"))
-    return both.groupBy("query_id").agg(F.array_sort(F.collect_list("node_id")).alias("node_ids"))
+    """query_id, node_ids: what both channels show, in order; an empty list for a query on which they share nothing."""
+    shown = lexical.select("query_id", "node_id", F.lit("l").alias("by")).unionByName(relation.select("query_id", "node_id", F.lit("r").alias("by")))
+    both = shown.groupBy("query_id", "node_id").agg((F.min("by") != F.max("by")).alias("both"))
+    return both.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("both"), F.col("node_id")))).alias("node_ids"))
 
 
 def credited_paths(hits: DataFrame, used: DataFrame) -> DataFrame:

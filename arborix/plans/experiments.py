@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import checks
 from ..operators import channels, corpus, experiments, feedback, judgments, metrics, retrieval
-from .queries import query, table, text_nodes
+from .queries import query, table, text_nodes, typed_edges
 from .searches import event_edges, name_queries, part_nodes
 
 SIDE = """WITH top AS (SELECT max(event_id) AS m FROM events), c AS (SELECT unnest([0, 10, 30, 100]) AS checkpoint),
@@ -179,10 +179,10 @@ def expected_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def channel_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What both channels show for parts' names."""
+    """K9: what both channels show for parts' names; none of the driver's edges leads to a part, so they seldom share a node."""
     nodes, asked = part_nodes(spark, sf_dir), name_queries(spark, sf_dir)
-    lexical = channels.lexical_channel(nodes, asked, 10)
-    return channels.agreement(lexical, lexical.where("rank <= 5"))
+    relation = channels.relation_channel(nodes, typed_edges(spark, sf_dir), asked, EngineConfig(), 10)
+    return channels.agreement(channels.lexical_channel(nodes, asked, 10), relation)
 
 
 @query(None)

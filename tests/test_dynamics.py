@@ -8,6 +8,7 @@ import pytest
 
 from arborix.config import STRATEGIES, EngineConfig
 from arborix.operators import channels, dynamics, graph, ledger
+from arborix.plans import experiments
 
 EDGE = "source_id string, target_id string, edge_type string, weight double, factuality double"
 RECURRENT = [s for s in STRATEGIES if s not in graph.HOP_BY_HOP]
@@ -128,6 +129,20 @@ def test_channels_agree_and_credit_paths(spark):
     assert [r.node_id for r in hits] == ["a", "c"] and hits[1].paths[0].kind == "graph"
 
 
+def test_registered_agreement_runs_both_channels(spark, tmp_path):
+    """Parts' names are asked of a graph of four nodes, in which one part leads to a supplier and that to a nation."""
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("part", [(1, "red cat"), (2, "blue dog")], "p_partkey long, p_name string")
+    put("supplier", [(7, "red hat", 3)], "s_suppkey long, s_name string, s_nationkey long")
+    put("nation", [(3, "north")], "n_nationkey long, n_name string")
+    put("lineitem", [(1, 7, 0.0, 0.0)], "l_partkey long, l_suppkey long, l_discount double, l_tax double")
+    got = {r.query_id: r.node_ids for r in experiments.channel_agreement(spark, str(tmp_path)).collect()}
+    # all four nodes stand in the lexical channel (those without a term follow with 0); edges lead to two of them
+    assert got == {"red cat": ["nation:3", "supplier:7"], "blue dog": ["nation:3", "supplier:7"]}
+    lone = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, node_id string"), spark.createDataFrame([(1, "a"), (2, "c")], "query_id long, node_id string")
+    assert {r.query_id: r.node_ids for r in channels.agreement(*lone).collect()} == {1: ["a"], 2: []}
+
+
 ROWS = [("s", "t", "x", 0.5, 0), ("s", "u", "x", 0.4, 0)]
 EVENT = "source_id string, target_id string, edge_type string, seq long, trace_id string, kind string, credit double"
 
