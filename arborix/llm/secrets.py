@@ -23,15 +23,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 #: A candidate of the token test: a run of this alphabet, this long at least, with a digit and a letter in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LENGTH = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LENGTH},}}")
 #: Fewer characters per token than this are a random string: prose has 4 and more, names in code 3, base64 below 2.
 RATIO = 2.0
 #: Hex digits of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and UUIDs.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 PLAIN_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-#: Parts of an identifier: lower-case or capitalised words and numbers.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]+)(?:[-_/]?(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]+))*")
+#: Parts of an identifier: lower-case or capitalised words and numbers; none can be split in two, or long runs would backtrack.
+WORD = r"(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}(?![A-Z]{2})|[0-9]++)"
+IDENTIFIER = re.compile(rf"{WORD}(?:[-_/]?{WORD})*")
 #: Subpatterns of an identifier's words may not be this many for its length: random strings fall into short ones.
 WORD_LENGTH = 4
 REPLACEMENT = "[SECRET]"
@@ -67,22 +69,41 @@ def known_form(run: str) -> bool:
     return bool(IDENTIFIER.fullmatch(run)) and len(re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)) * WORD_LENGTH <= len(run)
 
 
-def random_spans(text: str, ranks: str = RANKS, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the runs with few characters per token that aren't of a known form."""
+def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What of start to end lies in none of the sorted spans."""
+    out = []
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
+def _is_random(run: str, ranks: str, ratio: float) -> bool:
+    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or known_form(run):
+        return False
+    return len(run) < ratio * len(_encoding(ranks).encode_ordinary(run))
+
+
+def random_spans(text: str, ranks: str = RANKS, ratio: float = RATIO, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the runs with few characters per token that aren't of a known form; of other runs, what lies
+    outside the spans of base is tested by itself."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or known_form(run):
-            continue
-        if len(run) < ratio * len(_encoding(ranks).encode_ordinary(run)):
+        near = [b for b in base if b[0] < m.end() and m.start() < b[2]]
+        if _is_random(m[0], ranks, ratio):
             out.append((m.start(), 3, m.end()))
+        elif near:
+            out += [(a, 3, b) for a, b in _outside(*m.span(), near) if b - a >= LENGTH and _is_random(text[a:b], ranks, ratio)]
     return out
 
 
 def all_spans(text: str, ranks: str = RANKS, ratio: float = RATIO) -> tuple[list, list]:
-    """The fixed spans, and these with the token test's, which don't overlap them."""
+    """The fixed spans, and these with the token test's, but for those that fixed ones cover fully."""
     base = fixed_spans(text)
-    new = [s for s in random_spans(text, ranks, ratio) if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+    new = [s for s in random_spans(text, ranks, ratio, base) if _outside(s[0], s[2], base)]
     return base, sorted(base + new) if new else base
 
 
