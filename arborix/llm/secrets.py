@@ -29,7 +29,7 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LENGTH},}}")
 RATIO = 2.0
 #: Hex digits of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and UUIDs.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 PLAIN_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Parts of an identifier: lower-case or capitalised words and numbers; none can be split in two, or long runs would backtrack.
 WORD = r"(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,}(?![A-Z]{2})|[0-9]++)"
@@ -61,11 +61,9 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known_form(run: str) -> bool:
-    """Whether a run is a digest, a UUID, or an identifier of words and numbers."""
+    """Whether a run without UUIDs is a digest, or an identifier of words and numbers."""
     if PLAIN_HEX.fullmatch(run):
         return len(run) in DIGESTS
-    if UUID.search(run):
-        return True
     return bool(IDENTIFIER.fullmatch(run)) and len(re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)) * WORD_LENGTH <= len(run)
 
 
@@ -88,15 +86,17 @@ def _is_random(run: str, ranks: str, ratio: float) -> bool:
 
 
 def random_spans(text: str, ranks: str = RANKS, ratio: float = RATIO, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the runs with few characters per token that aren't of a known form; of other runs, what lies
-    outside the spans of base is tested by itself."""
+    """(start, kind, end) of the runs, as UUIDs cut them, with few characters per token that aren't of a known form; of
+    others, what lies outside the spans of base is tested by itself."""
     out = []
     for m in CANDIDATE.finditer(text):
-        near = [b for b in base if b[0] < m.end() and m.start() < b[2]]
-        if _is_random(m[0], ranks, ratio):
-            out.append((m.start(), 3, m.end()))
-        elif near:
-            out += [(a, 3, b) for a, b in _outside(*m.span(), near) if b - a >= LENGTH and _is_random(text[a:b], ranks, ratio)]
+        for start, end in _outside(*m.span(), [(u.start() + m.start(), 3, u.end() + m.start()) for u in UUID.finditer(m[0])]):
+            if end - start < LENGTH:
+                continue
+            if _is_random(text[start:end], ranks, ratio):
+                out.append((start, 3, end))
+            elif near := [b for b in base if b[0] < end and start < b[2]]:
+                out += [(a, 3, b) for a, b in _outside(start, end, near) if b - a >= LENGTH and _is_random(text[a:b], ranks, ratio)]
     return out
 
 

@@ -152,6 +152,15 @@ def test_fixed_spans_leave_the_rest_of_their_run():
         assert secrets.all_spans(t)[0] == secrets.all_spans(t)[1]
 
 
+def test_only_the_uuid_of_a_run_is_left():
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    for t in (f"{uuid}/{KEY}", f"{KEY}_{uuid}", f"{uuid}={KEY}/{uuid}"):
+        got = secrets.redact(f"say {t} now")
+        assert uuid in got and "[SECRET]" in got and not any(x in got for x in KEY.split("/"))
+    for t in (uuid, uuid.upper(), f"/files/{uuid}/edit", f"{uuid}_{uuid}"):
+        assert secrets.redact(t) == t
+
+
 def test_failed_assignments_use_up_their_text():
     for t in ("password:token: abcdefghijklmnop", "TOKEN=short secret = 'abcdefghijkl'", "toKen=abcdefghijklmnop", "paſsword=abcdefghijklmnop"):
         assert [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.fixed_spans(t)] == brute.base_spans(t)
