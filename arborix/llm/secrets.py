@@ -22,9 +22,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
-#: A candidate of the token test: a run of this alphabet, this long at least, with a digit and a letter in it.
+#: A candidate of the token test: a run of this alphabet, this long at least, with a letter in it.
 LENGTH = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LENGTH},}}")
+#: Parts of a run, and what joins them; no token of the vocabulary's pattern reaches over their ends.
+PART = re.compile(r"[A-Za-z0-9]+|[+/_=-]+")
 #: Fewer characters per token than this are a random string: prose has 4 and more, names in code 3, base64 below 2.
 RATIO = 2.0
 #: Hex digits of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and UUIDs.
@@ -64,7 +66,10 @@ def known_form(run: str) -> bool:
     """Whether a run without UUIDs is a digest, or an identifier of words and numbers."""
     if PLAIN_HEX.fullmatch(run):
         return len(run) in DIGESTS
-    return bool(IDENTIFIER.fullmatch(run)) and len(re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)) * WORD_LENGTH <= len(run)
+    if not IDENTIFIER.fullmatch(run):
+        return False
+    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
+    return len(words) * WORD_LENGTH <= len(run) and max(map(len, words)) < LENGTH
 
 
 def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -79,25 +84,56 @@ def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tu
     return [*out, (start, end)] if start < end else out
 
 
-def _is_random(run: str, ranks: str, ratio: float) -> bool:
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or known_form(run):
-        return False
-    return len(run) < ratio * len(_encoding(ranks).encode_ordinary(run))
+def _has_letter(run: str) -> bool:
+    return any(c.isalpha() for c in run)
+
+
+def _random_within(run: str, ranks: str, ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or else each longest row of its parts that readable parts
+    don't thin out: a part gains by its tokens and loses by its characters, and these are the rows of greatest gain."""
+    if len(run) < LENGTH or not _has_letter(run):
+        return []
+    encoding, known = _encoding(ranks), known_form(run)
+    ids = encoding.encode_ordinary(run)
+    if not known and len(run) < ratio * len(ids):
+        return [(0, len(run))]
+    ends = [0]
+    for t in encoding.decode_tokens_bytes(ids):
+        ends.append(ends[-1] + len(t))
+    rows, at, total = [], 0, 0.0  # start, end, gain before, gain after, the last row that begins with less gain
+    for m in PART.finditer(run):
+        before, a = total, at
+        while ends[at] < m.end():
+            at += 1
+        digest = PLAIN_HEX.fullmatch(m[0]) and len(m[0]) in DIGESTS
+        total += -2 * ratio * len(run) if digest else ratio * (at - a) - len(m[0])
+        if total <= before:
+            continue
+        start, low = m.start(), before
+        while True:
+            k = len(rows) - 1
+            while k >= 0 and rows[k][2] >= low:
+                k = rows[k][4]
+            if k < 0 or rows[k][3] >= total:
+                rows.append((start, m.end(), low, total, k))
+                break
+            start, low = rows[k][0], rows[k][2]
+            del rows[k:]
+    return [(a, b) for a, b, *_ in rows if b - a >= LENGTH and _has_letter(run[a:b]) and not known_form(run[a:b])]
 
 
 def random_spans(text: str, ranks: str = RANKS, ratio: float = RATIO, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the runs, as UUIDs cut them, with few characters per token that aren't of a known form; of
-    others, what lies outside the spans of base is tested by itself."""
-    out = []
+    """(start, kind, end) of the runs, as UUIDs cut them, and of parts of runs, with few characters per token that aren't of
+    a known form. What lies outside the spans of base is tested by itself as well, unless the whole run is such a one."""
+    out = set()
     for m in CANDIDATE.finditer(text):
         for start, end in _outside(*m.span(), [(u.start() + m.start(), 3, u.end() + m.start()) for u in UUID.finditer(m[0])]):
-            if end - start < LENGTH:
-                continue
-            if _is_random(text[start:end], ranks, ratio):
-                out.append((start, 3, end))
-            elif near := [b for b in base if b[0] < end and start < b[2]]:
-                out += [(a, 3, b) for a, b in _outside(start, end, near) if b - a >= LENGTH and _is_random(text[a:b], ranks, ratio)]
-    return out
+            found = {(start + a, 3, start + b) for a, b in _random_within(text[start:end], ranks, ratio)}
+            if (start, 3, end) not in found and (near := [b for b in base if b[0] < end and start < b[2]]):
+                rest = {(a + x, 3, a + y) for a, b in _outside(start, end, near) for x, y in _random_within(text[a:b], ranks, ratio)}
+                found |= {r for r in rest if not any(f[0] <= r[0] and r[2] <= f[2] for f in found)}
+            out |= found
+    return sorted(out)
 
 
 def all_spans(text: str, ranks: str = RANKS, ratio: float = RATIO) -> tuple[list, list]:

@@ -161,6 +161,21 @@ def test_only_the_uuid_of_a_run_is_left():
         assert secrets.redact(t) == t
 
 
+def test_readable_parts_do_not_thin_out_random_ones():
+    rng = random.Random(5)
+    letters, low = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fronts = ("customer_session_identifier=", "production_database_connection_credential=", "/download/attachments/customer/documents/")
+    for front in fronts:
+        for key in (KEY, *("".join(rng.choices(letters + "0123456789", k=n)) for n in (20, 32, 40))):
+            got = secrets.redact(f"say {front}{key}/readable/documents now")
+            assert "[SECRET]" in got and not any(x in got for x in key.split("/"))
+    assert secrets.redact(f"say {fronts[1]}{KEY}/readable/documents/of/customers now") == f"say {fronts[1][:-1]}[SECRET]readable/documents/of/customers now"  # with what joins them
+    for key in ("".join(rng.choices(letters, k=32)), "qzxvkwjpyhgtrbnmcfdlsqxzvk", low[::-3] * 3):
+        assert secrets.redact(f"say {key} now") == "say [SECRET] now"
+    for t in ("/download/attachments/customer/documents/", "internationalization", "customer_account_number_2024", "-" * 40, "=" * 30 + "abc", "a" * 3 + "-" * 4000 + "b" * 3, "1/2/3/4/5/6/7/8/9/10/11/12"):
+        assert secrets.redact(t) == t
+
+
 def test_failed_assignments_use_up_their_text():
     for t in ("password:token: abcdefghijklmnop", "TOKEN=short secret = 'abcdefghijkl'", "toKen=abcdefghijklmnop", "paſsword=abcdefghijklmnop"):
         assert [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.fixed_spans(t)] == brute.base_spans(t)
