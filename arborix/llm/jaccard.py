@@ -188,6 +188,10 @@ def linked(sets: list[np.ndarray], share: int = SHARE) -> np.ndarray:
     return union.label
 
 
+def node_of(s: np.ndarray) -> int | None:
+    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0]) if len(s) else None
+
+
 def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of the same pass. doc_id, n_shingles, node (64 bits of a digest of the set; null: no shingles) and
     counts of each document; and how often tasks saw the shingles that are frequent among their documents."""
@@ -209,8 +213,7 @@ def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows: dict[str, list] = {n: [] for n in names}
             for doc, text in zip(part["doc_id"], part["text"], strict=True):
                 s = shingles.of(text)
-                node = int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0]) if len(s) else None
-                for name, x in zip(names, (0, doc, len(s), node, counts(s).tobytes() if len(s) else None), strict=True):
+                for name, x in zip(names, (0, doc, len(s), node_of(s), counts(s).tobytes() if len(s) else None), strict=True):
                     rows[name].append(x)
                 held.append(s)
                 size, docs_held = size + len(s), docs_held + 1
@@ -339,7 +342,7 @@ def _verified(share: int):  # noqa: ANN202
         cells: dict[int, dict[int, np.ndarray]] = {}
         for cell, node, text in zip(*(t[c].to_pylist() for c in ("cell", "node", "text")), strict=True):
             s = shingles.of(text)
-            if len(s) and int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0]) == node:
+            if len(s) and node_of(s) == node:
                 cells.setdefault(cell, {})[node] = s
         a, b = [], []
         for _, members in sorted(cells.items()):
@@ -353,6 +356,18 @@ def _verified(share: int):  # noqa: ANN202
     return run
 
 
+def _node_column():  # noqa: ANN202
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def node(texts):  # noqa: ANN001, ANN202
+        shingles = Shingles()
+        return pd.Series([None if t is None else node_of(shingles.of(t)) for t in texts], dtype="Int64")
+
+    return node("text")
+
+
 def similar(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the smallest doc_id that links lead to. Documents link if
     the Jaccard index of their sets of WORDS-word shingles is share per cent or more.
@@ -363,6 +378,11 @@ def similar(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
     Sets are known by 64 bits of a digest and shingles by 64-bit hashes. The frequent shingles are broadcast; there
     are FREQUENT times the mean set at most, as each stands in one of FREQUENT documents or more."""
+    return _similar(docs, share).drop("node")
+
+
+def _similar(docs: DataFrame, share: int) -> DataFrame:
+    """What similar returns, and the node of each document."""
     spark = docs.sparkSession
     sets, often = signatures(docs)
     rows = sets.count()
@@ -383,14 +403,18 @@ def similar(docs: DataFrame, share: int = SHARE) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda i: F.xxhash64("component", F.least(i, F.coalesce("own", F.lit(0))), F.greatest(i, F.coalesce("own", F.lit(0)))))
     placed = placed.select("node", F.explode(pair).alias("cell"))
     known = placed.join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node", "cell")
-    texts = documents(docs).join(known, "doc_id").withColumn("bucket", F.pmod("cell", F.lit(blocks(spark, rows, 500))))
+    texts = documents(docs).join(known, "doc_id").select("node", "cell", "text")
+    if nodes.where("least IS NULL").limit(1).count():  # sets of rows without doc_id only: their texts are found by the set
+        unnamed = documents(docs).where("doc_id IS NULL").select("text", _node_column().alias("node")).groupBy("node").agg(F.min("text").alias("text"))
+        texts = texts.unionByName(known.where("doc_id IS NULL").drop("doc_id").join(unnamed, "node").select("node", "cell", "text"))
+    texts = texts.withColumn("bucket", F.pmod("cell", F.lit(blocks(spark, rows, 500))))
     links = texts.groupBy("bucket").applyInArrow(_verified(share), "a long, b long")
     links = staged(links, "verified")
     found = components(links) if big.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     owned = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = owned.groupBy("component").agg(F.min("least").alias("component_id"))
     final = owned.join(smallest, "component").select("node", "component_id")
-    return sets.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n_shingles", "node").join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +429,14 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all columns. Of rows that share doc_id and
     text one stays. Rows without doc_id go if a document with one is linked to them, and stay otherwise."""
-    kept = similar(docs, share).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    found = _similar(docs, share)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    named = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    unnamed = docs.where(F.col("doc_id").cast("long").isNull())
+    if not unnamed.limit(1).count():
+        return named
+    gone = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("node").alias("gone_node")).distinct()
+    unnamed = unnamed.withColumn("own_node", _node_column())
+    return named.unionByName(unnamed.join(gone, unnamed["own_node"] == gone["gone_node"], "left_anti").drop("own_node"))

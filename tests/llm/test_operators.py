@@ -141,6 +141,19 @@ def test_secrets(docs, rows):
         assert set(want) <= set(r.spans.split(",")) | {""}
 
 
+def test_rows_without_an_id_link_and_go(spark):
+    w = [f"w{i}" for i in range(200)]
+    text = lambda n, x: " ".join([*w[n:], *(f"{x}{i}" for i in range(n))])
+    a, b, c = text(0, "y"), text(15, "y"), text(30, "y")  # a and c link through b only
+    other = [" ".join(f"v{i}" for i in range(k, 200)) for k in (0, 5)]
+    rows = [(1, a), (2, c), (None, b), (None, other[0]), (None, other[1]), (None, None), (3, "far away from all of them")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    n = {t: r[0] for t, r in ((t, brute.similar([(1, t)])[1]) for _, t in rows)}
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.similar(df).collect())
+    assert got == sorted([(1, n[a], 1), (2, n[c], 1), (0, n[b], 1), (0, n[other[0]], 0), (0, n[other[1]], 0), (0, 0, 0), (3, n[rows[-1][1]], 3)])
+    assert {(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()} == {rows[0], *rows[3:]}
+
+
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXk8Fq2zL"
 
 
