@@ -18,7 +18,7 @@ from .common import by_batch, documents
 
 #: The longest of windows that a document is held against, in tokens.
 LIMIT = 1024
-#: Words of the lexicon at most; a word must stand this often in one task's documents to be counted for it.
+#: Words of the lexicon at most; a word must stand this often in all documents to be taken in.
 LEXICON, LEAST = 50_000, 20
 
 
@@ -58,32 +58,33 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT) ->
 
 
 def frequent_words(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> list[str]:
-    """The size most frequent words of all documents (at most so many come to the driver)."""
+    """The size most frequent words of all documents, of those that stand LEAST times or more in them (at most so many
+    come to the driver). Each task splits its distinct pieces and passes all counts on. Next to a space, other white
+    space is counted as split there."""
 
     def work(parts: Iterator[dict]) -> Iterator[dict]:
-        vocab, seen = vocabulary(path), Counter()
+        find, seen, first = vocabulary(path).words.findall, Counter(), Counter()
 
         def flush() -> dict:
-            kept = [(w, n) for w, n in seen.items() if n >= LEAST and len(w) < 64]
-            seen.clear()
-            return {"word": [w for w, _ in kept], "n": [n for _, n in kept]}
+            count = Counter()
+            for pieces, before in ((seen, " "), (first, "")):
+                for piece, n in pieces.items():
+                    for w in find(before + piece):
+                        count[w] += n
+                pieces.clear()
+            return {"word": list(count), "n": list(count.values())}
 
         for part in parts:
             for t in part["text"]:
                 head, *rest = t.split(" ")
+                first[head] += 1
                 seen.update(rest)
-            if len(seen) > MEMO:
+            if len(seen) + len(first) > MEMO:
                 yield flush()
         yield flush()
 
-    pieces = by_batch(documents(docs).select("text"), "word string, n long", work)
-    top = pieces.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
-    vocab, count = vocabulary(path), Counter()
-    for word, n in top:
-        if word:
-            for w in vocab.words.findall(" " + word):
-                count[w] += n
-    return [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    counts = by_batch(documents(docs).select("text"), "word string, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def lexicon(docs: DataFrame, path: str = VOCABULARY, size: int = LEXICON) -> bytes:

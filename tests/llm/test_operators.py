@@ -102,6 +102,14 @@ def test_lexicon_finds_its_words_only():
     assert len(bpe.minimal_automaton(sorted(words))[0]) > len({*lex.to.tolist()})  # shared ends
 
 
+def test_lexicon_counts_words_over_all_tasks(spark):
+    long = "x" * 70
+    data = [(i, f"Head often, {long}" + (" rare" if i < 19 else "")) for i in range(24)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert tokens.frequent_words(df) == [" often", " " + long, ",", "Head"]
+    assert tokens.frequent_words(df, size=2) == tokens.frequent_words(df)[:2]
+
+
 def test_packing(docs, rows):
     lib = Tokenizer.from_file(bpe.VOCABULARY)
     pieces, windows = defaultdict(list), defaultdict(list)
