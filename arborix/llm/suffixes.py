@@ -6,28 +6,31 @@ with the least hash among all GRAM-byte strings of a window (winnowing). Every w
 windows hold equal anchors at equal places, so windows are equal only if they stand alike around equal anchors.
 
 1. First digit. Each task sorts its anchors by (hash of the gram, hash of all bytes that any window around it can
-   hold). Grams that stand once in the corpus drop out. Of equal surroundings, all but the first go at once.
+   hold). Grams that stand once in the corpus drop out. Of equal surroundings, all but the first are marked at once.
 2. Further digits. What is left are first occurrences whose gram occurs in other surroundings too. Their windows are
    sorted from the most significant digit on, 8 bytes a pass; a window alone in its class drops out after each pass.
-   Classes after the last pass are the repeated windows; in each, all but the first go.
+   Classes after the last pass are the repeated windows; in each, all but the first are marked.
 3. A gram with very many different surroundings (a passage in a large part of the corpus) isn't brought to one task:
-   its windows go by a 128-bit hash of the window instead, and each task sends one row at most for each.
+   its windows are dealt and marked by a 128-bit hash of the window, and each task sends one row at most for each.
+4. What steps 1 and 3 marked by hashes is compared byte by byte with the occurrence before it in its class, which is
+   asked of the task that holds that text; equality being transitive, all equal the first then. Two texts that differ
+   under one hash fail the job rather than lose a byte; another seed then gives other hashes.
 
-Hashes of step 1 only choose what is compared and have 128 bits together."""
+The texts are shuffled once: steps 2 and 4 and the end read the same shuffle again."""
 
 from __future__ import annotations
 
 import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, staged
+from .common import blocks
 
 LENGTH, GRAM = 100, 24
 #: Anchors of a task that are sorted together; different surroundings of a gram in one task, and in all, above which
@@ -38,12 +41,17 @@ BLOCK_DOCS, BUCKET_DOCS = 400, 1_000
 FULL, SORT, HASH = 1, 2, 3
 PART = 1 << 40
 
-_random = np.random.default_rng(20240229)
-TABLES = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
-MARK = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("end", "<i8"), ("kind", "<i4")])
+#: An anchor, and the one before it in its class; a run of bytes and the run that it is to be compared with (at < 0: none).
+MARK = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("before", "<i8"), ("at", "<i8"), ("kind", "<i4")])
+RUN = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("end", "<i8"), ("before", "<i8"), ("at", "<i8")])
+
+
+def tables(seed: int) -> np.ndarray:
+    """Two random odd numbers for each byte: what the hashes are made of."""
+    return np.random.default_rng(20240229 + seed).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,9 +69,9 @@ def slid(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return x[:n] if size == width else f(x[:n], x[width - size : width - size + n])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+def gram_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Of each GRAM bytes (16 + 8), never 0."""
-    h, power, size, kept = TABLES[0][data], BASE, 1, None
+    h, power, size, kept = table[data], BASE, 1, None
     with np.errstate(over="ignore"):
         while size < 16:
             h = h[:-size] * power + h[size:]
@@ -79,20 +87,20 @@ class Ranges:
     powers = np.ones(1, np.uint64)
     backs = np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray, table: int) -> None:
+    def __init__(self, data: np.ndarray, table: np.ndarray) -> None:
         with np.errstate(over="ignore"):
             if len(Ranges.powers) <= len(data):
                 n = max(CHUNK, len(data)) + 1
                 Ranges.powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, BASE))])
                 Ranges.backs = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, BACK))])
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLES[table][data] * Ranges.powers[: len(data)], dtype=np.uint64)])
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(table[data] * Ranges.powers[: len(data)], dtype=np.uint64)])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed((self.sums[b] - self.sums[a]) * Ranges.backs[a] + (b - a).astype(np.uint64))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Index of the text, place in it, hash of the gram and of its surroundings, of each anchor."""
     span = LENGTH - GRAM + 1
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -101,7 +109,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    h = gram_hashes(data)
+    h = gram_hashes(data, table[0])
     least = slid(h, span, np.minimum)
     owner = np.repeat(np.arange(len(texts)), sizes)
     least[owner[: len(least)] != owner[LENGTH - 1 :]] = 0  # windows that cross an end
@@ -110,10 +118,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     own = owner[chosen]
     left, right = np.maximum(begins[own], chosen - (span - 1)), np.minimum(ends[own], chosen + LENGTH)
     with np.errstate(over="ignore"):
-        around = mixed(Ranges(data, 1).of(left, right) + (chosen - left).astype(np.uint64) * BASE)
+        around = mixed(Ranges(data, table[1]).of(left, right) + (chosen - left).astype(np.uint64) * BASE)
     return own, chosen - begins[own], h[chosen], around
 
 
+def pieces(body: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """A text in pieces (first, end, where its bytes begin, bytes): an anchor from first to end has all windows and
+    surroundings in these bytes, so a very long text costs no more memory than others."""
+    margin = 2 * LENGTH
+    for a in range(0, len(body), CHUNK):
+        begin = max(0, a - margin)
+        yield a, min(a + CHUNK, len(body)), begin, body[begin : a + CHUNK + margin]
+
+
 def _blob(x: np.ndarray) -> bytes:
     return x.tobytes()
 
@@ -137,8 +154,28 @@ def _block_column(n: int):  # noqa: ANN202
     return F.crc32(F.col("doc").cast("string").cast("binary")) % n
 
 
-def _first_digit(n_buckets: int):  # noqa: ANN202
-    """Task side of step 1: rows (bucket, kind, blob); kind 0: entries, 1: hot gram hashes, 2: marks."""
+def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order; whether each begins a gram, begins a class, and is the entry before it once more."""
+    x = x[np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))]
+    new_h = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
+    new_c = new_h | np.concatenate([[True], x["c"][1:] != x["c"][:-1]])
+    same = np.concatenate([[False], (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1])]) & ~new_c
+    return x, new_h, new_c, same
+
+
+def _marks(x: np.ndarray, rows: np.ndarray, kind: int) -> np.ndarray:
+    """Marks of the entries rows, each with the entry before it."""
+    at = np.flatnonzero(rows)
+    m = np.zeros(len(at), MARK)
+    m["doc"], m["pos"], m["kind"] = x["doc"][at], x["pos"][at], kind
+    if kind == FULL:
+        m["before"], m["at"] = x["doc"][at - 1], x["pos"][at - 1]
+    return m
+
+
+def _first_digit(n_buckets: int, n_blocks: int, table: np.ndarray):  # noqa: ANN202
+    """Task side of step 1: rows (bucket, kind, blob); kind 0: entries, 1: hot gram hashes, 2: marks, which only pass
+    through and are dealt by their document."""
     schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
     def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -146,38 +183,33 @@ def _first_digit(n_buckets: int):  # noqa: ANN202
         found.clear()
         if not len(x):
             return
-        x = x[np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))]
-        new_h = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
-        new_c = new_h | np.concatenate([[True], x["c"][1:] != x["c"][:-1]])
-        same = np.concatenate([[False], (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1])]) & ~new_c
+        x, new_h, new_c, same = _classes(x)
         group = np.cumsum(new_h) - 1
         hot = (np.bincount(group[new_c]) > HOT_TASK)[group]
-        marks = []
-        for rows, kind in ((~new_c & ~same, FULL), (new_c & hot, HASH)):
-            m = np.zeros(int(rows.sum()), MARK)
-            m["doc"], m["pos"], m["kind"] = x["doc"][rows], x["pos"][rows], kind
-            marks.append(m)
+        m = np.concatenate([_marks(x, ~new_c & ~same, FULL), _marks(x, new_c & hot, HASH)])
         y = x[new_c & ~hot]
         out = [(b, 0, v) for b, v in _by_bucket(y, (y["h"] % np.uint64(n_buckets)).astype(np.int64))]
         y = x["h"][new_h & hot]
         out += [(b, 1, v) for b, v in _by_bucket(y, (y % np.uint64(n_buckets)).astype(np.int64))]
-        m = np.concatenate(marks)
-        out += [(b, 2, v) for b, v in _by_bucket(m, np.arange(len(m)) // 50_000 % n_buckets)]
+        out += [(b, 2, v) for b, v in _by_bucket(m, _block(m["doc"], n_blocks) % n_buckets)]
         if out:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        count, texts, docs, parts, size = 0, [], [], [], 0
+        held: list[tuple[int, int, int, int, bytes]] = []  # document, place of the bytes, first and end of what counts, bytes
+        count = size = 0
 
         def take() -> int:
             nonlocal size
-            own, pos, h, c = anchors(texts)
-            x = np.empty(len(own), ENTRY)
-            x["h"], x["c"], x["doc"], x["pos"] = h, c, np.array(docs, np.int64)[own], np.array(parts, np.int64)[own] * PART + pos
+            doc, shift, first, end = np.array([h[:4] for h in held], np.int64).T
+            own, pos, h, c = anchors([h[4] for h in held], table)
+            at = pos + shift[own]
+            ok = (at % PART >= first[own]) & (at % PART < end[own])
+            x = np.empty(int(ok.sum()), ENTRY)
+            x["h"], x["c"], x["doc"], x["pos"] = h[ok], c[ok], doc[own][ok], at[ok]
             found.append(x)
-            for a in (texts, docs, parts):
-                a.clear()
+            held.clear()
             size = 0
             return len(x)
 
@@ -185,26 +217,25 @@ def _first_digit(n_buckets: int):  # noqa: ANN202
             for i in range(0, b.num_rows, 128):
                 s = b.slice(i, 128)
                 for doc, part, body in zip(s["doc"].to_pylist(), s["part"].to_pylist(), s["body"].to_pylist(), strict=True):
-                    if len(body) >= LENGTH:
-                        texts.append(body)
-                        docs.append(doc)
-                        parts.append(part)
-                        size += len(body)
+                    if len(body) < LENGTH:
+                        continue
+                    for first, end, begin, piece in pieces(body):
+                        held.append((doc, part * PART + begin, first, end, piece))
+                        size += len(piece)
                         if size >= CHUNK:
                             count += take()
-                if count >= FLUSH:
-                    yield from flush(found)
-                    count = 0
-        if texts:
+                            if count >= FLUSH:
+                                yield from flush(found)
+                                count = 0
+        if held:
             take()
         yield from flush(found)
 
     return run
 
 
-def _mark_rows(marks: np.ndarray, n_blocks: int, key: str) -> pa.Table:
-    rows = list(_by_bucket(marks, _block(marks["doc"], n_blocks)))
-    return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=[key, "blob"])
+def _blocked(runs: np.ndarray, n_blocks: int, of: str = "doc") -> list[tuple[int, bytes]]:
+    return list(_by_bucket(runs, _block(runs[of], n_blocks)))
 
 
 def _grams_of(n_blocks: int):  # noqa: ANN202
@@ -213,31 +244,26 @@ def _grams_of(n_blocks: int):  # noqa: ANN202
     def run(t):  # noqa: ANN001, ANN202
         kinds, blobs = t["kind"].to_numpy(), t["blob"].to_pylist()
         pick = lambda k, d: np.frombuffer(b"".join(v for v, kk in zip(blobs, kinds, strict=True) if kk == k), d)
-        x, hot, passed = pick(0, ENTRY), pick(1, "<u8"), pick(2, MARK)
-        x = x[np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))]
-        out = [passed]
+        x, hot, out = pick(0, ENTRY), pick(1, "<u8"), [pick(2, MARK)]
         if len(x):
-            new_h = np.concatenate([[True], x["h"][1:] != x["h"][:-1]])
-            new_c = new_h | np.concatenate([[True], x["c"][1:] != x["c"][:-1]])
-            same = np.concatenate([[False], (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1])]) & ~new_c
+            x, new_h, new_c, same = _classes(x)
             group = np.cumsum(new_h) - 1
             kinds_of = np.bincount(group[new_c])
             is_hot = ((kinds_of > HOT) | np.isin(x["h"][new_h], hot))[group]
-            for rows, kind in ((~new_c & ~same, FULL), (new_c & is_hot, HASH), (new_c & ~is_hot & (kinds_of[group] > 1), SORT)):
-                m = np.zeros(int(rows.sum()), MARK)
-                m["doc"], m["pos"], m["kind"] = x["doc"][rows], x["pos"][rows], kind
-                out.append(m)
-        return _mark_rows(np.concatenate(out), n_blocks, "blk")
+            out += [_marks(x, ~new_c & ~same, FULL), _marks(x, new_c & is_hot, HASH), _marks(x, new_c & ~is_hot & (kinds_of[group] > 1), SORT)]
+        rows = _blocked(np.concatenate(out), n_blocks)
+        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["blk", "blob"])
 
     return run
 
 
-def _marks_of(t: pa.Table) -> dict[tuple[int, int], np.ndarray]:
-    """Marks by (document, part), with places in the part."""
-    m = np.frombuffer(b"".join(t["blob"].to_pylist()), MARK).copy()
+def _by_document(m: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Marks or runs by (document, part), with places in the part."""
+    m = m.copy()
     part = m["pos"] // PART
     m["pos"] -= part * PART
-    m["end"] = np.where(m["end"] > 0, m["end"] - part * PART, 0)
+    if "end" in m.dtype.names:
+        m["end"] -= part * PART
     order = np.lexsort((part, m["doc"]))
     m, part = m[order], part[order]
     cuts = np.flatnonzero((np.diff(m["doc"]) != 0) | (np.diff(part) != 0)) + 1
@@ -245,6 +271,24 @@ def _marks_of(t: pa.Table) -> dict[tuple[int, int], np.ndarray]:
     return {(int(m["doc"][a]), int(part[a])): m[a:b] for a, b in zip(starts, np.concatenate([cuts, [len(m)]]).astype(int), strict=True) if b > a}
 
 
+def _joined(runs: np.ndarray) -> np.ndarray:
+    """Runs of one document that touch each other and are to be compared with adjoining bytes, as one."""
+    if not len(runs):
+        return runs
+    shift = np.where(runs["at"] < 0, 0, runs["at"] - runs["pos"])
+    part = runs["pos"] // PART
+    order = np.lexsort((runs["pos"], shift, runs["before"], runs["at"] < 0, part, runs["doc"]))
+    runs, keys = runs[order], (runs["doc"][order], part[order], runs["before"][order], shift[order], runs["at"][order] < 0)
+    other = np.concatenate([[False], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+    chain = np.cumsum(other) * PART
+    reach = np.maximum.accumulate(chain + runs["end"] % PART)
+    new = other | np.concatenate([[True], (chain + runs["pos"] % PART)[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    out = runs[first]
+    out["end"] = np.maximum.reduceat(runs["end"], first)
+    return out
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Union of ranges, as maximal runs."""
     if not len(starts):
@@ -255,78 +299,85 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-#: Columns of the table between steps 1 and 3, besides those that documents carry.
-BETWEEN = (("kind", "int"), ("bucket", "long"), ("doc", "long"), ("part", "long"), ("pos", "long"), ("left", "int"), ("body", "binary"), ("runs", "binary"))
+#: Rows between steps 2 and 3, by kind: 0 runs that pass through, 2 surroundings to be sorted, 3 hashes of windows.
+BETWEEN = (("kind", "int"), ("bucket", "long"), ("doc", "long"), ("part", "long"), ("pos", "long"), ("left", "int"), ("body", "binary"))
 ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _surroundings(n_buckets: int, carried: list[str]):  # noqa: ANN202
-    """Step 1's marks put on the documents of a block. Rows by kind: 0 a finished document, 1 one that waits, 2
-    surroundings to be sorted, 3 hashes of windows."""
+def _table(rows: list[tuple], columns: tuple[tuple[str, str], ...]) -> pa.Table:
+    made = zip(*rows, strict=True) if rows else [()] * len(columns)
+    return pa.table([pa.array(c, ARROW[k]) for c, (_, k) in zip(made, columns, strict=True)], names=[n for n, _ in columns])
+
+
+def _texts(docs: pa.Table) -> Iterator[tuple[int, int, int, bytes]]:
+    """Row, document, part and bytes of a block's texts; of rows that are one document, the first. Bytes are made one by one."""
+    seen = set()
+    body = docs["body"]
+    for i, key in enumerate(zip(docs["doc"].to_pylist(), docs["part"].to_pylist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            yield i, *key, body[i].as_py()
+
+
+def _surroundings(n_buckets: int, table: np.ndarray):  # noqa: ANN202
+    """Step 1's marks put on the documents of a block; rows as BETWEEN has them."""
     span = LENGTH - GRAM
 
     def run(docs, marks):  # noqa: ANN001, ANN202
-        by = _marks_of(marks) if marks.num_rows else {}
+        by = _by_document(np.frombuffer(b"".join(marks["blob"].to_pylist()), MARK)) if marks.num_rows else {}
         rows: list[tuple] = []
         hashed: list[np.ndarray] = []
-        waits: dict[tuple[int, int], list] = {}
-        own: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
-        for i, (doc, part, body) in enumerate(zip(docs["doc"].to_pylist(), docs["part"].to_pylist(), docs["body"].to_pylist(), strict=True)):
+        runs: list[np.ndarray] = []
+        for _, doc, part, body in _texts(docs) if by else ():
             m = by.get((doc, part))
             if m is None:
-                own.append((i, doc, part, body, b"", False))
                 continue
             n = len(body)
-            full = m[m["kind"] == FULL]["pos"]
-            lo, hi = np.maximum(full - span, 0), np.minimum(full + LENGTH, n)
-            runs = covered(n, lo, hi)
+            full = m[m["kind"] == FULL]
+            lo, hi = np.maximum(full["pos"] - span, 0), np.minimum(full["pos"] + LENGTH, n)
+            r = np.zeros(len(full), RUN)
+            r["doc"], r["pos"], r["end"], r["before"], r["at"] = doc, part * PART + lo, part * PART + hi, full["before"], full["at"] - (full["pos"] - lo)
+            runs.append(_joined(r))
             known = np.zeros(n + 1, bool)
             for a, b in covered(n + 1, lo, hi - LENGTH + 1):
                 known[a:b] = True
-            wait = False
             for pos in m[m["kind"] == SORT]["pos"].tolist():
                 a, b = max(0, pos - span), min(n, pos + LENGTH)
                 if not known[a : b - LENGTH + 1].all():
-                    wait = True
-                    if (doc, part) not in seen:
-                        rows.append((2, zlib.crc32(body[pos : pos + GRAM]) % n_buckets, doc, part, pos, pos - a, body[a:b], None))
+                    rows.append((2, zlib.crc32(body[pos : pos + GRAM]) % n_buckets, doc, part, pos, pos - a, body[a:b]))
             if len(hot := m[m["kind"] == HASH]["pos"]):
                 lo, hi = np.maximum(hot - span, 0), np.minimum(hot, n - LENGTH) + 1
-                starts = np.concatenate([np.arange(a, b) for a, b in covered(n + 1, lo, hi)])
-                starts = starts[~known[starts]]
-                if len(starts):
-                    wait = True
-                    data = np.frombuffer(body, np.uint8)
-                    x = np.empty(len(starts), ENTRY)
-                    x["h"], x["c"] = (Ranges(data, k).of(starts, starts + LENGTH) for k in range(2))
-                    x["doc"], x["pos"] = doc, part * PART + starts
-                    hashed.append(x)
-            seen.add((doc, part))
-            own.append((i, doc, part, body, np.array(runs, "<i8").tobytes(), wait))
+                for a, b in covered(n + 1, lo, hi):
+                    for a in range(a, b, CHUNK):  # noqa: B020, PLW2901
+                        starts = np.arange(a, min(a + CHUNK, b))
+                        starts = starts[~known[starts]]
+                        if len(starts):
+                            data, at = np.frombuffer(body, np.uint8, min(CHUNK + LENGTH, n - a), a), starts - a
+                            x = np.empty(len(starts), ENTRY)
+                            x["h"], x["c"] = (Ranges(data, t).of(at, at + LENGTH) for t in table)
+                            x["doc"], x["pos"] = doc, part * PART + starts
+                            hashed.append(x)
         if hashed:
-            x = np.concatenate(hashed)
-            x = x[np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))]
-            new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])])
-            same = np.concatenate([[False], (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1])])
-            for doc, part, a in zip(x["doc"][~new & ~same].tolist(), (x["pos"][~new & ~same] // PART).tolist(), (x["pos"][~new & ~same] % PART).tolist(), strict=True):
-                waits.setdefault((doc, part), []).append((a, a + LENGTH))
+            x, _, new, same = _classes(np.concatenate(hashed))
+            runs.append(_windows(x, ~new & ~same))
             y = x[new]
-            rows += [(3, b, None, None, None, None, v, None) for b, v in _by_bucket(y, (y["h"] % np.uint64(n_buckets)).astype(np.int64))]
-        at: list[int | None] = [None] * len(rows)
-        for i, doc, part, body, runs, wait in own:
-            if (more := waits.get((doc, part))) is not None:
-                runs += np.array(more, "<i8").tobytes()
-            rows.append((int(wait), zlib.crc32(str(doc).encode()), doc, part, None, None, body, runs))
-            at.append(i)
-        columns = zip(*rows, strict=True) if rows else [()] * len(BETWEEN)
-        made = [pa.array(c, ARROW[k]) for c, (_, k) in zip(columns, BETWEEN, strict=True)]
-        take = pa.array(at, pa.int64())
-        return pa.table([*made, *(docs[c].combine_chunks().take(take) for c in carried)], names=[*(n for n, _ in BETWEEN), *carried])
+            rows += [(3, b, None, None, None, None, v) for b, v in _by_bucket(y, (y["h"] % np.uint64(n_buckets)).astype(np.int64))]
+        if runs:
+            r = np.concatenate(runs)
+            rows += [(0, b, None, None, None, None, v) for b, v in _by_bucket(r, np.full(len(r), marks["blk"][0].as_py() % n_buckets))]
+        return _table(rows, BETWEEN)
 
     return run
 
 
+def _windows(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Runs of the windows rows of sorted entries, to be compared with the windows before them."""
+    at = np.flatnonzero(rows)
+    r = np.zeros(len(at), RUN)
+    r["doc"], r["pos"], r["end"], r["before"], r["at"] = x["doc"][at], x["pos"][at], x["pos"][at] + LENGTH, x["doc"][at - 1], x["pos"][at - 1]
+    return _joined(r)
+
+
 def radix_classes(rows: np.ndarray, first: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Depth-limited MSD radix sort of suffixes: row and start of each, in the matrix of bytes rows (padded by 8).
     Suffixes are only compared within a group. Returns those that are not alone, and their class."""
@@ -372,11 +423,14 @@ def _sorted_windows(n_blocks: int):  # noqa: ANN202
         cls, doc, pos = cls[order], doc[order], pos[order]
         new = np.concatenate([[True], cls[1:] != cls[:-1]]) if len(cls) else np.empty(0, bool)
         same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])]) if len(cls) else np.empty(0, bool)
-        return _window_marks(doc[~new & ~same], pos[~new & ~same])
+        found = np.zeros(int((~new & ~same).sum()), RUN)
+        found["doc"], found["pos"], found["at"] = doc[~new & ~same], pos[~new & ~same], -1
+        found["end"] = found["pos"] + LENGTH
+        return _joined(found)
 
     def run(t):  # noqa: ANN001, ANN202
         kinds = t["kind"].to_numpy()
-        out: list[np.ndarray] = []
+        out = [np.frombuffer(b"".join(t.filter(pa.array(kinds == 0))["body"].to_pylist()), RUN)]
         if (kinds == 2).any():
             s = t.filter(pa.array(kinds == 2))
             groups: dict[bytes, list] = defaultdict(list)
@@ -391,46 +445,99 @@ def _sorted_windows(n_blocks: int):  # noqa: ANN202
             if batch:
                 out.append(sort(batch))
         if (kinds == 3).any():
-            x = np.frombuffer(b"".join(t.filter(pa.array(kinds == 3))["body"].to_pylist()), ENTRY)
-            x = x[np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))]
-            new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])])
-            same = np.concatenate([[False], (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1])]) & ~new
-            out.append(_window_marks(x["doc"][~new & ~same], x["pos"][~new & ~same]))
-        return _mark_rows(np.concatenate(out) if out else np.empty(0, MARK), n_blocks, "blk")
+            x, _, new, same = _classes(np.frombuffer(b"".join(t.filter(pa.array(kinds == 3))["body"].to_pylist()), ENTRY))
+            out.append(_windows(x, ~new & ~same))
+        rows = _blocked(np.concatenate(out), n_blocks)
+        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["blk", "blob"])
 
     return run
 
 
-def _window_marks(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A mark for each run of windows that start one after the other."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > LENGTH)]) if len(doc) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    m = np.zeros(len(at), MARK)
-    m["doc"], m["pos"] = doc[at], pos[at]
-    m["end"] = (pos[np.concatenate([at[1:], [len(pos)]]) - 1] + LENGTH) if len(at) else []
-    return m
+#: Rows of step 4, by kind: 0 runs of the block's texts, 1 runs whose bytes another block asks for, 2 runs with such bytes.
+ASKED = (("blk", "long"), ("kind", "int"), ("blob", "binary"), ("data", "binary"))
 
 
-def _finished(finish, names: list[str], carried: list[str]):  # noqa: ANN001, ANN202
-    """Documents with all their marks: what finish makes of (body, runs)."""
+def _asked(n_blocks: int):  # noqa: ANN202
+    """The runs of a block's documents, and those to be compared once more, to the blocks of the texts before them."""
 
-    def run(docs, marks=None):  # noqa: ANN001, ANN202
-        by = _marks_of(marks) if marks is not None and marks.num_rows else {}
-        made = []
-        for doc, part, body, runs in zip(*(docs[c].to_pylist() for c in ("doc", "part", "body", "runs")), strict=True):
-            r = np.frombuffer(runs, "<i8").reshape(-1, 2)
-            if (m := by.get((doc, part))) is not None:
-                r = np.concatenate([r, np.stack([m["pos"], m["end"]], axis=1)])
-            made.append(finish(body, covered(len(body), r[:, 0], r[:, 1])))
-        columns = list(zip(*made, strict=True)) if made else [()] * len(names)
-        return pa.table([*(pa.array(c, KINDS[n]) for n, c in zip(names, columns, strict=True)), *(docs[c] for c in carried)], names=[*names, *carried])
+    def run(t):  # noqa: ANN001, ANN202
+        runs = _joined(np.frombuffer(b"".join(t["blob"].to_pylist()), RUN))
+        ask = runs[runs["at"] >= 0]
+        rows = [(t["blk"][0].as_py(), 0, _blob(runs), None)]
+        return _table(rows + [(b, 1, v, None) for b, v in _blocked(ask, n_blocks, "before")], ASKED)
 
     return run
 
 
-KINDS = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+def _answered(n_blocks: int):  # noqa: ANN202
+    """Bytes of a block's texts, to those that asked for them; each row is of one asking block and some CHUNK bytes."""
+
+    def run(docs, rows):  # noqa: ANN001, ANN202
+        out = [(r["blk"], 0, r["blob"], None) for r in rows.to_pylist() if r["kind"] == 0]
+        asked = np.frombuffer(b"".join(r["blob"] for r in rows.to_pylist() if r["kind"] == 1), RUN)
+        if len(asked):
+            asked = asked[np.lexsort((asked["pos"], asked["doc"], asked["at"], asked["before"]))]
+            part = asked["at"] // PART
+            cuts = np.flatnonzero((np.diff(asked["before"]) != 0) | (np.diff(part) != 0)) + 1
+            spans = {(int(asked["before"][a]), int(part[a])): (a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(asked)], strict=True)}
+            block = _block(asked["doc"], n_blocks)
+            held: dict[int, list] = defaultdict(list)
+            sizes: dict[int, int] = defaultdict(int)
+
+            def give(to: int) -> None:
+                out.append((to, 2, b"".join(r for r, _ in held[to]), b"".join(d for _, d in held[to])))
+                held[to].clear()
+                sizes[to] = 0
+
+            for _, doc, p, body in _texts(docs):
+                for i in range(*spans.get((doc, p), (0, 0))):
+                    a, to = int(asked["at"][i]) - p * PART, int(block[i])
+                    held[to].append((asked[i].tobytes(), body[a : a + int(asked["end"][i] - asked["pos"][i])]))
+                    sizes[to] += len(held[to][-1][1])
+                    if sizes[to] > CHUNK:
+                        give(to)
+            for to in [k for k, v in held.items() if v]:
+                give(to)
+        return _table(out, ASKED)
+
+    return run
+
+
+def _compared(rows: pa.Table) -> dict[tuple[int, int], list[tuple[int, int, bytes]]]:
+    """By document and part: runs and the bytes that they must hold."""
+    out = defaultdict(list)
+    for blob, data in zip(rows["blob"].to_pylist(), rows["data"].to_pylist(), strict=True):
+        at = 0
+        for doc, pos, end, _, _ in np.frombuffer(blob, RUN).tolist():
+            out[doc, pos // PART].append((pos % PART, pos % PART + end - pos, data[at : at + end - pos]))
+            at += end - pos
+    return out
+
+
+def _finished(finish: Callable, names: list[str], carried: list[str]):  # noqa: ANN202
+    """Documents with all their runs, compared: what finish makes of (bytes, maximal runs)."""
+
+    def run(docs, rows):  # noqa: ANN001, ANN202
+        kinds = rows["kind"].to_numpy() if rows.num_rows else np.empty(0, int)
+        by = _by_document(np.frombuffer(b"".join(rows.filter(pa.array(kinds == 0))["blob"].to_pylist()), RUN)) if len(kinds) else {}
+        same = _compared(rows.filter(pa.array(kinds == 2))) if len(kinds) else {}
+        made: dict[tuple[int, int], tuple] = {}
+        for _, doc, part, body in _texts(docs):
+            r = by.get((doc, part))
+            wanted = same.get((doc, part), ())
+            if r is not None and int((r["at"] >= 0).sum()) != len(wanted):
+                raise RuntimeError(f"document {doc}: {len(wanted)} comparisons of {int((r['at'] >= 0).sum())}")
+            if any(body[a:b] != x for a, b, x in wanted):
+                raise ValueError("different strings under one hash: run again with another seed")
+            made[doc, part] = finish(body, covered(len(body), r["pos"], r["end"]) if r is not None else [])
+        rows = [made[k] for k in zip(docs["doc"].to_pylist(), docs["part"].to_pylist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.table([*(pa.array(c, KINDS.get(n, pa.string())) for n, c in zip(names, columns, strict=True)), *(docs[c] for c in carried)], names=[*names, *carried])
+
+    return run
+
+
+KINDS = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
 
 def digest(body: bytes, runs: list[tuple[int, int]]) -> tuple:
@@ -455,13 +562,14 @@ def kept_text(body: bytes, runs: list[tuple[int, int]]) -> tuple:
     return (b"".join([*out, body[at:]]).decode(),)
 
 
-def without_repeats(docs: DataFrame, finish, fields: str) -> DataFrame:  # noqa: ANN001
+def without_repeats(docs: DataFrame, finish: Callable, fields: str, table: np.ndarray) -> DataFrame:
     """docs without the column text, with fields: what finish returns for (bytes of the text, runs of removed bytes).
 
     A byte is removed if a LENGTH-byte string covers it that also starts earlier: in a document of a smaller doc_id, or
     earlier in the same. Null texts are empty; texts shorter than LENGTH bytes lose nothing. A null doc_id is less
     than all others. Rows that share doc_id and text are one document and get the same result; texts that share a
-    doc_id are ordered by their hashes, then text. An empty table gives no rows; other columns are carried along."""
+    doc_id are ordered by their hashes, then text. An empty table gives no rows; other columns are carried along. A very
+    long text is hashed in pieces; it is held once in memory by each task that reads its block."""
     spark = docs.sparkSession
     carried = [f"carried_{i}" for i, c in enumerate(docs.columns) if c != "text"]
     names = [c for c in docs.columns if c != "text"]
@@ -478,38 +586,29 @@ def without_repeats(docs: DataFrame, finish, fields: str) -> DataFrame:  # noqa:
     else:
         base = base.withColumn("part", F.lit(0).cast("long"))
     n_blocks, n_buckets = blocks(spark, rows, BLOCK_DOCS), blocks(spark, rows, BUCKET_DOCS)
-    entries = base.select("doc", "part", "body").mapInArrow(_first_digit(n_buckets), "bucket long, kind int, blob binary")
+    columns = lambda named: ", ".join(f"{n} {k}" for n, k in named)
+    entries = base.select("doc", "part", "body").mapInArrow(_first_digit(n_buckets, n_blocks, table), "bucket long, kind int, blob binary")
     marks = entries.groupBy("bucket").applyInArrow(_grams_of(n_blocks), "blk long, blob binary")
-    kinds = dict(docs.dtypes)
+    placed = base.withColumn("blk", _block_column(n_blocks)).groupBy("blk")
+    between = placed.cogroup(marks.groupBy("blk")).applyInArrow(_surroundings(n_buckets, table), columns(BETWEEN))
+    runs = between.groupBy("bucket").applyInArrow(_sorted_windows(n_blocks), "blk long, blob binary")
+    asked = runs.groupBy("blk").applyInArrow(_asked(n_blocks), columns(ASKED))
+    answered = placed.cogroup(asked.groupBy("blk")).applyInArrow(_answered(n_blocks), columns(ASKED))
+    kinds, made = dict(docs.dtypes), [x.split()[0] for x in fields.split(",")]
     extra = "".join(f", {x} {kinds[c]}" for c, x in zip(names, carried, strict=True))
-    placed = base.withColumn("blk", _block_column(n_blocks))
-    between = placed.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(_surroundings(n_buckets, carried), ", ".join(f"{n} {k}" for n, k in BETWEEN) + extra)
-    between = staged(between, "surroundings")
-    more = between.where("kind in (2, 3)").select("kind", "bucket", "doc", "part", "pos", "left", "body").groupBy("bucket").applyInArrow(_sorted_windows(n_blocks), "blk long, blob binary")
-    own = ["doc", "part", "body", "runs", *carried]
-    made = [x.split()[0] for x in fields.split(",")]
-    schema, end = fields + extra, _finished(finish, made, carried)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                yield from end(pa.Table.from_batches([b.slice(i, 256)])).combine_chunks().to_batches()
-
-    done = between.where("kind = 0").select(own).mapInArrow(each, schema)
-    waiting = between.where("kind = 1").select(*own, _block_column(n_blocks).alias("blk"))
-    late = waiting.groupBy("blk").cogroup(more.groupBy("blk")).applyInArrow(lambda d, m: end(d, m), schema)
-    out = done.unionByName(late)
+    out = placed.cogroup(answered.groupBy("blk")).applyInArrow(_finished(finish, made, carried), fields + extra)
     return out.select(*(F.col(x).alias(c) for c, x in zip(names, carried, strict=True)), *made)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; see without_repeats."""
-    return without_repeats(docs.select("doc_id", "text"), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return without_repeats(docs.select("doc_id", "text"), digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", tables(seed))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, seed: int = 0) -> DataFrame:
     """docs with the repeats cut out of text and n_chars set to match; all rows and columns stay. A null text stays
     null. A character of which a run covers a part only stays whole."""
-    marked = docs.withColumn("is_null", F.col("text").isNull())
-    out = without_repeats(marked, kept_text, "kept string").withColumn("text", F.when(~F.col("is_null"), F.col("kept")))
+    free = "_" * max(map(len, docs.columns))  # no column of docs has such a name
+    marked = docs.withColumn(f"null{free}", F.col("text").isNull())
+    out = without_repeats(marked, kept_text, f"kept{free} string", tables(seed)).withColumn("text", F.when(~F.col(f"null{free}"), F.col(f"kept{free}")))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(docs.columns)

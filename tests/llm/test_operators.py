@@ -209,6 +209,28 @@ def test_repeats(docs, rows, hot, monkeypatch):
     assert by_id(suffixes.repeats(docs)) == brute.repeats(rows)
 
 
+def test_repeats_compare_bytes(spark):
+    """With hashes that only know lengths, different strings fall under one hash: the job fails and removes nothing."""
+    weak = np.stack([suffixes.tables(0)[0], np.ones(256, np.uint64)])
+    rng, gram = random.Random(9), "a gram that many texts have"
+    other = lambda: "".join(rng.choices("abcdefgh ", k=150))
+    rows = [(i, other() + gram + other()) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(suffixes.repeats(df)) == by_id(suffixes.repeats(df, seed=7)) == brute.repeats(rows)
+    with pytest.raises(Exception, match="different strings under one hash"):
+        suffixes.without_repeats(df, suffixes.digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", weak).collect()
+
+
+def test_repeats_of_very_long_texts(spark):
+    """A megabyte without spaces, a text of one letter, and passages that lie across the ends of pieces."""
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghijklmnop", k=1_100_000))
+    cut = suffixes.CHUNK
+    rows = [(1, long), (2, long[cut - 150 : cut + 90]), (3, "x" + long[2 * cut - 60 : 2 * cut + 300] + "y"), (4, "z" * 300_000), (5, long[:50])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert by_id(suffixes.repeats(df)) == brute.repeats(rows)
+
+
 def test_deduplicated_texts_keep_whole_characters(spark):
     t = "é" * 90 + "".join(random.Random(2).choices("abcdefgh ", k=200))
     df = spark.createDataFrame([(1, t, 1), (2, "q" + t[40:] + "r", 1), (3, None, 1)], "doc_id long, text string, n_chars long")
