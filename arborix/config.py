@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Names of the strategies; fixed values.
 STRATEGIES = (
     "current_positive_additive",
     "finite_activation_budget",
@@ -21,6 +22,7 @@ STRATEGIES = (
 
 @dataclass(frozen=True)
 class EngineConfig:
+    # Names and defaults of the settings: fixed values, as callers give them by name.
     sparse_weight: float = 0.55
     dense_weight: float = 0.45
     entry_weight: float = 0.55

@@ -10,7 +10,7 @@ from .engine import OUTCOMES, STAGES, Engine, EngineError
 
 TEXT = {"type": "string", "minLength": 1}
 EVENT = {"type": "array", "prefixItems": [TEXT, {"enum": list(STAGES)}], "minItems": 2, "maxItems": 2}
-#: name: argument: (required, schema)
+#: name: argument: (required, schema); names and limits are fixed values.
 TOOLS = {
     "search": {"query": (True, TEXT | {"maxLength": 8192}), "limit": (False, {"type": "integer", "minimum": 1, "maximum": 100})},
     "record_source_use": {"idempotency_key": (True, TEXT), "trace_id": (True, TEXT), "events": (True, {"type": "array", "items": EVENT, "minItems": 1, "maxItems": 100})},

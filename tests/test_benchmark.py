@@ -12,7 +12,7 @@ from arborix.operators import experiments
 
 def test_demo(spark, tmp_path):
     out = benchmark.demo(spark, str(tmp_path))
-    assert [(r["source_id"], r["target_id"]) for r in out["reinforced_edges"]] == [("decision", "implementation"), ("policy", "decision")]
+    assert [(r["source_id"], r["target_id"]) for r in out["reinforced_edges"]] == [("orchid-house", "thermostat"), ("thermostat", "batteries")]
     assert all(r["new_weight"] > r["old_weight"] for r in out["reinforced_edges"])
     assert out["after"]["paths"][0]["contribution"] > out["before"]["paths"][0]["contribution"]
 
@@ -20,8 +20,8 @@ def test_demo(spark, tmp_path):
 def test_benchmark_of_files(spark, tmp_path):
     nodes = [{"node_id": n, "text": t} for n, t, _, _ in benchmark.SAMPLE_NODES]
     edges = [dict(zip(("source_id", "target_id", "edge_type", "weight", "factuality"), e, strict=False)) for e in benchmark.SAMPLE_EDGES]
-    path = [{"source_id": a, "target_id": b} for a, b in (("policy", "decision"), ("decision", "implementation"))]
-    cases = [{"id": "a", "cohort": "relation", "query": "refunds failed transfer tried again", "expected_node_id": "implementation", "acceptable_rank": 5, "expected_path": path}, {"id": "b", "cohort": "direct_lookup", "query": "charts of latency", "expected_node_id": "dashboard", "acceptable_rank": 1}]
+    path = [{"source_id": a, "target_id": b} for a, b in (("orchid-house", "thermostat"), ("thermostat", "batteries"))]
+    cases = [{"id": "a", "cohort": "relation", "query": "orchids flower late by the wall", "expected_node_id": "batteries", "acceptable_rank": 5, "expected_path": path}, {"id": "b", "cohort": "direct_lookup", "query": "signs for visitors", "expected_node_id": "gravel-path", "acceptable_rank": 1}]
     (tmp_path / "f.json").write_text(json.dumps({"schema_version": 1, "nodes": nodes, "edges": edges}))
     (tmp_path / "g.json").write_text(json.dumps({"cases": cases}))
     out = benchmark.run_benchmark(spark, str(tmp_path / "f.json"), str(tmp_path / "g.json"))
@@ -36,9 +36,9 @@ def test_tools(spark, tmp_path):
     codes = lambda *lines: [json.loads(x)["result"]["structuredContent"].get("code") for x in server.served(engine, lines)]
     assert codes(ask("search", query="x"), ask("search", query="x", limit=0), ask("search", query="x", more=1), ask("record_source_use", idempotency_key="k", trace_id="t", events=[["n", "eaten"]])) == ["empty_corpus", "invalid_argument", "invalid_argument", "invalid_argument"]
     engine.add_documents(benchmark.SAMPLE_NODES)
-    listed, found, bad = (json.loads(x) for x in server.served(engine, ['{"id":1,"method":"tools/list"}', ask("search", query="charts", limit=1), "{"]))
+    listed, found, bad = (json.loads(x) for x in server.served(engine, ['{"id":1,"method":"tools/list"}', ask("search", query="gravel", limit=1), "{"]))
     assert [t["name"] for t in listed["result"]["tools"]] == list(server.TOOLS) and bad["error"]["code"] == -32700
-    assert found["result"]["structuredContent"]["combined"]["hits"][0]["node_id"] == "dashboard"
+    assert found["result"]["structuredContent"]["combined"]["hits"][0]["node_id"] == "gravel-path"
 
 
 def test_arms_and_packets(spark):
