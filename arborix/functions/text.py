@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def max_normalised(x: Column, *group: str) -> Column:
-    top = F.max(x).over(Window.partitionBy(*group))
-    return F.when(top > 0, x / top).otherwise(F.lit(0.0))
+def share(x: Column, total: Column) -> Column:
+    return F.when(total > 0, x / total).otherwise(F.lit(0.0))
 
 
 def weighted(a: Column, b: Column, wa: float, wb: float) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +50,44 @@ def reversed_weights(journal: DataFrame) -> DataFrame:
     return left.withColumn("new_weight", F.greatest(F.lit(0.0), F.least(F.greatest("baseline", "maximum"), F.col("baseline") + F.col("left"))))
 
 
+STAGED = "trace_id long, batch long, seq long, node_id string, stage int, changed boolean, accepted boolean"
+
+
+def _staged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows, one request after the other; what is held are the stages of one trace's nodes and one request."""
+    names = [c.split()[0] for c in STAGED.split(", ")]
+    last, at, tried, held, ok, out = None, {}, {}, [], True, []
+    for rows in chain((b.itertuples(index=False) for b in batches), [[None]]):
+        for row in rows:
+            key = None if row is None else (row.trace_id, row.batch)
+            if key != last:
+                at |= tried if ok else {}
+                out += [(*h, h[-1] and ok, ok) for h in held]
+                if key is None or last is None or key[0] != last[0]:
+                    at = {}
+                last, tried, held, ok = key, {}, [], True
+            if row is None:
+                continue
+            now = tried.get(row.node_id, at.get(row.node_id, 0))
+            ok = ok and row.stage - now in (0, 1)
+            held.append((row.trace_id, row.batch, row.seq, row.node_id, row.stage, row.stage != now))
+            if ok:
+                tried[row.node_id] = row.stage
+            if len(out) >= 10_000:
+                yield pd.DataFrame([o[:5] + o[6:] for o in out], columns=names)
+                out = []
+    if out:
+        yield pd.DataFrame([o[:5] + o[6:] for o in out], columns=names)
+
+
 def stages(events: DataFrame) -> DataFrame:
-    """events(trace_id, node_id, seq, stage 0-3): accepted if the stage is the one before or the next (0 to begin)."""
-    w = Window.partitionBy("trace_id", "node_id").orderBy("seq")
-    before = F.coalesce(F.lag("stage").over(w), F.lit(0))
-    return events.withColumn("accepted", (F.col("stage") - before).isin(0, 1))
+    """events(trace_id, batch, node_id, seq, stage 0-3) with changed and accepted. The events of one batch are one request,
+    in the order of seq; batches of a trace go in their order. An event may keep its node's stage or take the next one
+    (0 to begin with); one that may not refuses its whole batch, which then leaves all stages as they were.
+
+    A trace is folded in order by one task, which streams through its rows; it has few, as a search shows 100 nodes at most."""
+    rows = events.select("trace_id", "batch", "seq", "node_id", F.col("stage").cast("int").alias("stage"))
+    return rows.repartition("trace_id").sortWithinPartitions("trace_id", "batch", "seq").mapInPandas(_staged, STAGED)
 
 
 def replays(requests: DataFrame) -> DataFrame:

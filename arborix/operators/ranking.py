@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.text import share
+from ..sources.lineage import cut
 
 
-def graph_normalised(x: Column, kind: str) -> Column:
-    x, w = F.greatest(x, F.lit(0.0)), Window.partitionBy("query_id")
+def graph_normalised(df: DataFrame, kind: str) -> DataFrame:
+    """df(query_id, activation) with graph: without what is below 0, as a share of the query's greatest or of its sum."""
+    x = F.greatest(F.col("activation"), F.lit(0.0))
     if kind == "none":
-        return x
-    total = F.max(x).over(w) if kind == "max" else F.sum(x).over(w)
-    return F.when(total > 0, x / total).otherwise(0.0)
+        return df.withColumn("graph", x)
+    total = df.groupBy("query_id").agg((F.max(x) if kind == "max" else F.sum(x)).alias("total"))
+    return df.join(total, "query_id").withColumn("graph", share(x, F.col("total"))).drop("total")
 
 
 def ranked(df: DataFrame, score: str, name: str, positive: bool) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "node_id"))
-    return df.withColumn(name, F.when(F.col(score) > 0, rank) if positive else rank)
+    """df with the rank of each row in its query, ties to the smaller node_id; without a rank, if so wanted, for no score.
+
+    One query may rank all nodes of a corpus, so no task sorts a whole query: rows are sorted by range over all tasks,
+    numbered in their task, and moved on by how many rows of the query lie in the tasks before. The numbered rows are
+    written to the shared folder, so both steps see the same ranges."""
+    order = ("query_id", F.desc(score), "node_id")
+    at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("numbered", F.monotonically_increasing_id()).withColumn("task", F.spark_partition_id()))
+    parts = at.groupBy("query_id", "task").agg(F.min("numbered").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("first", F.col("first") - F.coalesce(before, F.lit(0)) - 1).drop("n")
+    rank = F.col("numbered") - F.col("first")
+    return at.join(parts, ["query_id", "task"]).withColumn(name, F.when(F.col(score) > 0, rank) if positive else rank).drop("numbered", "task", "first")
 
 
 def fused(entry: DataFrame, graph: DataFrame, config: EngineConfig) -> DataFrame:
     """query_id, node_id, entry, graph, final: linear, or reciprocal ranks with the graph's last rank worth nothing."""
     both = entry.select("query_id", "node_id", "entry").join(graph.select("query_id", "node_id", "activation"), ["query_id", "node_id"], "full").fillna(0.0, ["entry", "activation"])
-    both = both.withColumn("graph", graph_normalised(F.col("activation"), config.graph_normalization))
+    both = graph_normalised(both, config.graph_normalization)
     we, wg = (w / (config.entry_weight + config.graph_weight) for w in (config.entry_weight, config.graph_weight))
     if config.final_fusion_strategy == "linear":
         return both.withColumn("final", F.col("entry") * we + F.col("graph") * wg)
     both = ranked(ranked(both, "entry", "re", False), "graph", "rg", True)
-    last = F.count("rg").over(Window.partitionBy("query_id"))
-    gain = F.when(F.col("rg").isNotNull(), 1 / (config.rrf_k + F.col("rg")) - 1 / (config.rrf_k + last + 1)).otherwise(0.0)
-    return both.withColumn("final", we / (config.rrf_k + F.col("re")) + wg * gain)
+    both = both.join(both.groupBy("query_id").agg(F.count("rg").alias("last")), "query_id")
+    gain = F.when(F.col("rg").isNotNull(), 1 / (config.rrf_k + F.col("rg")) - 1 / (config.rrf_k + F.col("last") + 1)).otherwise(0.0)
+    return both.withColumn("final", we / (config.rrf_k + F.col("re")) + wg * gain).drop("last")
 
 
 def top(df: DataFrame, score: str, limit: int) -> DataFrame:

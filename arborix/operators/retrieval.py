@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import max_normalised, tokens, weighted
+from ..functions.text import share, tokens, weighted
 
 K1, B = 1.5, 0.75
 
@@ -16,10 +16,6 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", F.size(tokens(F.col("text"))).alias("dl"))
-
-
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -30,19 +26,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, node_id, score of the nodes that hold a term of the query. Only postings of terms that are asked for
-    leave the scan; corpus statistics are one row."""
+    """query_id, node_id, score of the nodes that hold a term of the query.
+
+    Texts are read and split once: only the terms that are asked for leave the scan, counted by node, and with them an
+    empty term for each node, which corpus statistics come from. What a term weighs in each query is one small table."""
     asked = query_terms(queries)
-    stats = lengths(nodes).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    wanted = asked.select("term").distinct()
-    base = nodes.select("node_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    posts = base.select("node_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
-    known = document_frequencies(posts)
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))
+    base = nodes.select("node_id", tokens(F.col("text")).alias("terms"))
+    base = base.select("node_id", F.size("terms").alias("dl"), F.explode(F.concat(F.coalesce("terms", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    posts = base.join(wanted, "term", "left_semi").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") >= 0, F.col("dl"))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    hit = posts.join(known, "term").join(asked, "term").join(F.broadcast(stats))
-    return hit.groupBy("query_id", "node_id").agg(F.sum(part).alias("score"))
+    weights = asked.join(document_frequencies(posts.where("term <> ''")), "term").join(F.broadcast(stats))  # stats: one row
+    weights = weights.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return posts.join(weights, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,12 +53,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 def entry_scores(sparse: DataFrame, dense: DataFrame | None, config: EngineConfig) -> DataFrame:
     """query_id, node_id, entry: max-normalised BM25 and cosine, blended; without dense retrieval, BM25 alone."""
-    left = sparse.select("query_id", "node_id", F.col("score").alias("s"))
+    both = sparse.select("query_id", "node_id", F.col("score").alias("s"))
     if dense is None or not config.use_dense_retrieval:
-        return left.select("query_id", "node_id", max_normalised(F.col("s"), "query_id").alias("entry"))
-    both = left.join(dense.select("query_id", "node_id", F.col("score").alias("d")), ["query_id", "node_id"], "full").fillna(0.0, ["s", "d"])
-    s, d = (max_normalised(F.col(c), "query_id") for c in "sd")
-    return both.select("query_id", "node_id", weighted(s, d, config.sparse_weight, config.dense_weight).alias("entry"))
+        both = both.withColumn("d", F.lit(0.0))
+        blend = lambda s, d: s
+    else:
+        both = both.join(dense.select("query_id", "node_id", F.col("score").alias("d")), ["query_id", "node_id"], "full").fillna(0.0, ["s", "d"])
+        blend = lambda s, d: weighted(s, d, config.sparse_weight, config.dense_weight)
+    top = both.groupBy("query_id").agg(F.max("s").alias("ms"), F.max("d").alias("md"))
+    return both.join(top, "query_id").select("query_id", "node_id", blend(share(F.col("s"), F.col("ms")), share(F.col("d"), F.col("md"))).alias("entry"))
 
 
 def seeds(entry: DataFrame, k: int) -> DataFrame:

@@ -164,8 +164,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2, K4: reciprocal ranks, with the last graph rank worth nothing; sums are rounded before they are ranked."""
     c, s = EngineConfig(final_fusion_strategy="rrf"), part_seeds(spark, sf_dir)
     act = graph.activation(graph.paths(s, typed_edges(spark, sf_dir), c), c)
-    top = F.max("activation").over(ranking.Window.partitionBy("query_id"))
-    act = act.withColumn("activation", F.round(F.col("activation") / top, 9))
+    top = act.groupBy("query_id").agg(F.max("activation").alias("top"))
+    act = act.join(top, "query_id").withColumn("activation", F.round(F.col("activation") / F.col("top"), 9))
     return ranking.fused(s, act, c).select("query_id", "node_id", F.round("final", 6).alias("final"))
 
 
@@ -189,14 +189,22 @@ def evidence_quorum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.quorum(e, 3).select("trace_id", "edge_type", F.col("evidence_count").cast("long").alias("evidence_count"), "activated")
 
 
-@query("""WITH e AS (SELECT user_id AS trace_id, event_id AS seq, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS stage FROM events)
-SELECT trace_id, seq, stage - coalesce(lag(stage) OVER (PARTITION BY trace_id ORDER BY seq), 0) IN (0, 1) AS accepted FROM e""")
+@query("""WITH RECURSIVE e AS (SELECT user_id % 50 AS trace_id, user_id AS node_id, event_id // 100 AS batch, event_id AS seq, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END AS stage, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+k AS (SELECT trace_id, list(DISTINCT node_id) AS ks FROM e GROUP BY trace_id),
+r AS (SELECT trace_id, ks, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS batch, CAST(-1 AS BIGINT) AS seq, true AS ok, false AS changed, list_transform(ks, lambda x: 0) AS kept, list_transform(ks, lambda x: 0) AS tried FROM k
+  UNION ALL
+  SELECT trace_id, ks, i, batch, seq, ok AND stage - tried[place] IN (0, 1), stage <> tried[place], kept, list_transform(range(1, len(ks) + 1), lambda j: CASE WHEN j = place AND ok AND stage - tried[place] IN (0, 1) THEN stage ELSE tried[j] END)
+  FROM (SELECT r.trace_id, ks, e.i, e.batch, e.seq, e.stage, list_position(ks, e.node_id) AS place, e.batch <> r.batch OR r.ok AS ok,
+      CASE WHEN e.batch <> r.batch AND r.ok THEN r.tried ELSE r.kept END AS kept,
+      CASE WHEN e.batch = r.batch OR r.ok THEN r.tried ELSE r.kept END AS tried
+    FROM r JOIN e ON e.trace_id = r.trace_id AND e.i = r.i + 1))
+SELECT trace_id, seq, changed AND accepted AS changed, accepted FROM (SELECT trace_id, seq, changed, bool_and(ok) OVER (PARTITION BY trace_id, batch) AS accepted FROM r WHERE i > 0)""")
 def stage_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which events take an allowed step."""
+    """Which requests of a trace take allowed steps only; a refused one moves no stage."""
     t = F.col("event_type")
     stage = F.when(t == "view", 1).when(t == "click", 2).when(t == "purchase", 3).otherwise(0)
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.lit("n").alias("node_id"), F.col("event_id").alias("seq"), stage.alias("stage"))
-    return feedback.stages(e).select("trace_id", "seq", "accepted")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("trace_id"), F.col("user_id").cast("string").alias("node_id"), F.floor(F.col("event_id") / 100).cast("long").alias("batch"), F.col("event_id").alias("seq"), stage.alias("stage"))
+    return feedback.stages(e).select("trace_id", "seq", "changed", "accepted")
 
 
 @query("""WITH c AS (SELECT user_id AS source_id, event_type AS edge_type, least(1, greatest(0.1, value / 100)) AS credit FROM events WHERE value IS NOT NULL)
