@@ -1,4 +1,9 @@
-"""Exact top-k search by inner product."""
+"""Exact top-k search by inner product.
+
+Candidates lie in blocks of descending length; a cell is a row of CELL_BLOCKS such blocks. Queries lie in blocks too. The
+block of the longest vectors gives each query a floor, its k-th best score there. A query then goes only to the cells
+whose longest vector could still reach its floor, and a cell's blocks only to the query blocks that come there: pairs are
+pruned by length before anything is moved. Inside, sums over rotated leading dimensions and residual lengths prune."""
 
 from __future__ import annotations
 
@@ -12,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 K, SCALE = 10, 1024
-#: Vectors of a block of candidates, and of a block of queries.
-BLOCK, QUERY_BLOCK = 8_192, 2_048
+#: Vectors of a block of candidates, and of a block of queries; blocks of a cell; ranges of length.
+BLOCK, QUERY_BLOCK, CELL_BLOCKS, RANGES = 8_192, 4_096, 8, 64
 #: Candidates that one step of a block works on: steps go by descending length, so a step can end the block.
 STEP = 1_024
 #: Exact sums of float64 end here.
@@ -22,11 +27,12 @@ EXACT = float(2**53)
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, vec (floor(scale * x) of each component, as double) and norm2; vectors that are null, empty or hold a
-    null or non-finite component are left out."""
+    null or non-finite component (or one that no double holds once it is scaled) are left out. From 2 ** 53 on all doubles are whole."""
     x = F.col("embedding")
-    ok = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    scaled = lambda v: v.cast("double") * scale
+    ok = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(scaled(v)) < float("inf")))
     found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull()).where(ok)
-    found = found.select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale).cast("double")).alias("vec"))
+    found = found.select("vec_id", F.transform("embedding", lambda v: F.when(F.abs(v * scale) < EXACT, F.floor(v * scale).cast("double")).otherwise(v * scale)).alias("vec"))
     return found.withColumn("norm2", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)).withColumn("dims", F.size("vec"))
 
 
@@ -52,71 +58,83 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1] for d, m in sums.items()}
 
 
-def _packed(df: DataFrame, key: str, floor: bool = False) -> DataFrame:
+def _packed(df: DataFrame) -> DataFrame:
     """A row for each block: ids and components as bytes, by descending length, then vec_id."""
 
     def work(keys, t):  # noqa: ANN001, ANN202
         order = np.lexsort((t["vec_id"].to_numpy(), -t["norm2"].to_numpy()))
         d = t["dims"][0].as_py()
         x = t["vec"].combine_chunks().flatten().to_numpy().reshape(-1, d)[order]
-        more = [t["floor"].to_numpy()[order].tobytes()] if floor else []
-        return pa.table([[keys[0]], pa.array([d], pa.int32()), [t["vec_id"].to_numpy()[order].tobytes()], [x.tobytes()], *([m] for m in more)], names=names)
-
-    names = [key, "dims", "ids", "data", *["floors"] * floor]
-    return df.groupBy(key).applyInArrow(work, f"{key} long, dims int, ids binary, data binary" + ", floors binary" * floor)
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, floors: np.ndarray, turn: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query, candidate, score) of the k best candidates of each query with a score of its floor or more.
-
-    x goes by descending length. Each step rotates the vectors, sums the leading dimensions, and bounds the rest by
-    the product of the residual lengths (Cauchy-Schwarz); only pairs whose bound reaches the query's k-th best score
-    so far are summed exactly. A query leaves once |q| times the next length can't reach that."""
-    d = x.shape[1]
-    lead = max(1, d // 4)
-    length, qlength = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    turned = q @ turn
-    qhead, qrest = turned[:, :lead], np.sqrt((turned[:, lead:] ** 2).sum(1))
-    exact = length.max(initial=0) * qlength.max(initial=0) < EXACT
-    level = floors.astype(np.float64)
-    best: list[list[tuple[float, int]]] = [[] for _ in qids]
-    for a in range(0, len(ids), STEP):
-        live = np.flatnonzero(qlength * length[a] * (1 + 1e-9) + 1 >= level)
-        if not len(live):
-            break
-        part, pid = x[a : a + STEP], ids[a : a + STEP]
-        y = part @ turn
-        rest = np.sqrt((y[:, lead:] ** 2).sum(1))
-        bound = qhead[live] @ y[:, :lead].T
-        bound += qrest[live, None] * rest
-        slack = 1 + 1e-9 * qlength[live, None] * length[a]
-        near = bound + slack >= level[live, None]
-        near &= pid[None, :] != qids[live, None]
-        for i in np.flatnonzero(near.any(1)):
-            row, c = live[i], np.flatnonzero(near[i])
-            score = (part[c] @ q[row]).tolist() if exact else [sum(int(u) * int(v) for u, v in zip(part[j], q[row], strict=True)) for j in c]
-            merged = sorted(best[row] + [(-s, int(pid[j])) for s, j in zip(score, c, strict=True) if s >= floors[row]])[:k]
-            best[row] = merged
-            if len(merged) == k:
-                level[row] = max(level[row], float(-merged[-1][0]))
-    out = [(int(qids[i]), v, int(-s)) for i, b in enumerate(best) for s, v in b]
-    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else tuple(np.empty(0, np.int64) for _ in range(3))
+        return pa.table([[keys[0]], pa.array([d], pa.int32()), [t["vec_id"].to_numpy()[order].tobytes()], [x.tobytes()]], names=["block", "dims", "ids", "data"])
+
+    return df.select("block", "dims", "vec_id", "norm2", "vec").groupBy("block").applyInArrow(work, "block long, dims int, ids binary, data binary")
+
+
+class Best:
+    """The k best candidates of each query, from its floor on."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, floors: np.ndarray, turn: np.ndarray, k: int) -> None:
+        self.qids, self.q, self.floors, self.turn, self.k = qids, q, floors, turn, k
+        self.level = floors.astype(np.float64)
+        self.found: list[list[tuple[float, int]]] = [[] for _ in qids]
+        self.length, self.lead = np.sqrt((q * q).sum(1)), max(1, q.shape[1] // 4)
+        turned = q @ turn
+        self.head, self.rest = turned[:, : self.lead], np.sqrt((turned[:, self.lead :] ** 2).sum(1))
+
+    def search(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """One block, by descending length. Each step rotates the vectors, sums the leading dimensions, and bounds the rest by
+        the product of the residual lengths (Cauchy-Schwarz); only pairs whose bound reaches the query's k-th best score
+        so far are summed exactly. A query leaves once its length times the next one can't reach that."""
+        length = np.sqrt((x * x).sum(1))
+        exact = length.max(initial=0) * self.length.max(initial=0) < EXACT
+        for a in range(0, len(ids), STEP):
+            live = np.flatnonzero(self.length * length[a] * (1 + 1e-9) + 1 >= self.level)
+            if not len(live):
+                break
+            part, pid = x[a : a + STEP], ids[a : a + STEP]
+            y = part @ self.turn
+            rest = np.sqrt((y[:, self.lead :] ** 2).sum(1))
+            bound = self.head[live] @ y[:, : self.lead].T
+            bound += self.rest[live, None] * rest
+            bound += 1 + 1e-9 * self.length[live, None] * length[a]
+            near = bound >= self.level[live, None]
+            near &= pid[None, :] != self.qids[live, None]
+            for i in np.flatnonzero(near.any(1)):
+                row, c = live[i], np.flatnonzero(near[i])
+                if exact:
+                    score = part[c] @ self.q[row]
+                    if len(c) > self.k:  # those below the k-th best of this step alone can't stay
+                        top = score >= np.partition(score, len(c) - self.k)[len(c) - self.k]
+                        c, score = c[top], score[top]
+                    score = score.tolist()
+                else:
+                    score = [sum(int(u) * int(v) for u, v in zip(part[j], self.q[row], strict=True)) for j in c]
+                merged = sorted(self.found[row] + [(-s, int(pid[j])) for s, j in zip(score, c, strict=True) if s >= self.floors[row]])[: self.k]
+                self.found[row] = merged
+                if len(merged) == self.k:
+                    self.level[row] = max(self.level[row], float(-merged[-1][0]))
+
+    def rows(self) -> pa.Table:
+        out = [(int(self.qids[i]), v, int(-s)) for i, b in enumerate(self.found) for s, v in b]
+        columns = zip(*out, strict=True) if out else [()] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _search(blocks: DataFrame, queries: DataFrame, turns, k: int) -> DataFrame:  # noqa: ANN001
-    """Each block of candidates against each block of queries of as many dimensions."""
+    """blocks(qblock, cell, block, dims, ids, data) against queries(qblock, cell, vec_id, vec, floor), cell by cell."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                d = r["dims"]
-                arrays = [np.frombuffer(r[c], t) for c, t in (("ids", np.int64), ("data", np.float64), ("qids", np.int64), ("qdata", np.float64), ("floors", np.float64))]
-                found = search_block(arrays[0], arrays[1].reshape(-1, d), arrays[2], arrays[3].reshape(-1, d), arrays[4], turns.value[d], k)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+    def work(b, q):  # noqa: ANN001, ANN202
+        if not b.num_rows or not q.num_rows:
+            return Best(np.empty(0), np.empty((0, 1)), np.empty(0), np.eye(1), k).rows()
+        d = b["dims"][0].as_py()
+        best = Best(q["vec_id"].to_numpy(), q["vec"].combine_chunks().flatten().to_numpy().reshape(-1, d), q["floor"].to_numpy(), turns.value[d], k)
+        for i in np.argsort(b["block"].to_numpy()).tolist():
+            best.search(np.frombuffer(b["ids"][i].as_py(), np.int64), np.frombuffer(b["data"][i].as_py(), np.float64).reshape(-1, d))
+        return best.rows()
 
-    named = queries.select("dims", F.col("ids").alias("qids"), F.col("data").alias("qdata"), "floors")
-    pairs = blocks.select("dims", "ids", "data").join(named, "dims").repartition(F.rand(7))
-    return pairs.mapInArrow(work, "query_id long, vec_id long, score long")
+    keys = ("qblock", "cell")
+    left, right = blocks.select(*keys, "block", "dims", "ids", "data"), queries.select(*keys, "vec_id", "vec", "floor")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, "query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -125,42 +143,61 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with their block, numbered by descending length (within one number of dimensions), and for each number of
+    dimensions its levels: (top: greatest length, last: the last cell), longest first. A level is a range of lengths; there
+    are RANGES for each number of dimensions, whatever the size of the table, and as many blocks in each as it needs."""
+    spark = rows.sparkSession
+    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = F.broadcast(rows.groupBy("dims").agg(F.percentile_approx("norm2", shares, F.lit(10_000)).alias("cuts")))
+    placed = rows.join(cuts, "dims").withColumn("level", F.size(F.filter(F.array_distinct("cuts"), lambda c: F.col("norm2") < c))).drop("cuts")
+    found = placed.groupBy("dims", "level").agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy("dims", "level").collect()
+    sizes, levels, at = [], {}, 0
+    for r in found:
+        if r["dims"] not in levels and at % CELL_BLOCKS:
+            at += CELL_BLOCKS - at % CELL_BLOCKS  # cells of one number of dimensions only
+        parts = -(-r["n"] // BLOCK)
+        levels.setdefault(r["dims"], (at // CELL_BLOCKS, []))[1].append((r["top"] ** 0.5, (at + parts - 1) // CELL_BLOCKS))
+        sizes.append((r["dims"], r["level"], at, parts))
+        at += parts
+    number = spark.createDataFrame(sizes, "dims int, level int, first long, parts long")
+    table = spark.createDataFrame([(d, first, x) for d, (first, x) in levels.items()], "dims int, first_cell long, levels array<struct<top:double,last:long>>")
+    # Equal lengths can fill many blocks, and one id many rows: a hash of the row's place deals them out.
+    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))
+    return placed.join(F.broadcast(number), ["dims", "level"]).withColumn("block", F.col("first") + part).drop("first", "parts", "level"), table
+
+
 def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the greatest integer inner product with each query (a vector
     whose id is divisible by every), itself left out; equal scores go by vec_id.
 
-    Candidates are dealt to blocks of descending length. The blocks with the longest vectors go first and give each
-    query a floor, its k-th best score there; the others only return what reaches the floor. Queries go in blocks,
-    each against all blocks of candidates.
-
     Null vectors, empty ones and those with a null, NaN or infinite component take no part; nor do rows without id.
     A query is held against vectors of as many dimensions only. Of rows that share an id, each is a candidate; a query
     skips all rows of its own id, and rows of a query that repeat count once (the longest). No vectors or no queries
-    give no rows; other columns are not read."""
+    give no rows; other columns are not read. A score among the best that no long holds fails the job.
+
+    Two tables come to the driver: RANGES numbers, and one matrix, for each number of dimensions."""
     spark = vectors.sparkSession
-    spark_rows = whole_vectors(vectors, scale)
-    rows = spark_rows.count()
-    turns = spark.sparkContext.broadcast(rotation(spark_rows))
-    n = max(1, -(-rows // BLOCK))
-    cuts = spark_rows.agg(F.percentile_approx("norm2", F.array(*(F.lit(i / n) for i in range(n - 1, 0, -1))) if n > 1 else F.array(F.lit(0.0)), F.lit(20 * n)).alias("q")).first()["q"] or []
-    cuts = cuts if n > 1 else []
-    level = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: F.col("norm2") < c)) if cuts else F.lit(0)
-    # Equal lengths can fill a block beyond its size: a second number deals those out.
-    split = spark_rows.withColumn("level", level)
-    sizes = {r["level"]: r["n"] for r in split.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    parts = F.array(*(F.lit(-(-sizes.get(i, 1) // BLOCK)) for i in range(n)))
-    keyed = split.withColumn("block", (F.col("level").cast("long") * 1_000_000 + F.pmod(F.xxhash64("vec_id"), F.get(parts, F.col("level").cast("int")))) * 4096 + F.col("dims"))
-    blocks = staged(_packed(keyed.drop("level"), "block"), "candidates")
-    asked = spark_rows.where(F.col("vec_id") % every == 0)
-    asked = asked.withColumn("i", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("norm2"), "vec"))).where("i = 1").drop("i")
-    n_asked = max(1, -(-rows // every // QUERY_BLOCK))
-    asked = asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)) * 4096 + F.col("dims")).withColumn("floor", F.lit(-float("inf")))
-    head = F.col("block") < 1_000_000 * 4096
-    first = _best(_search(blocks.where(head), _packed(asked, "qblock", True), turns, k), k)
+    found = whole_vectors(vectors, scale)
+    turns = spark.sparkContext.broadcast(rotation(found))
+    keyed, levels = _placed(found)
+    blocks = staged(_packed(keyed), "candidates").withColumn("cell", F.floor(F.col("block") / CELL_BLOCKS))
+    asked = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("norm2", "vec", "dims")).alias("x")).select("vec_id", "x.*")
+    n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.join(F.broadcast(levels), "dims").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)))
+    # The first block of the first cell holds some of the longest vectors: each query's floor.
+    head = asked.withColumns({"cell": F.col("first_cell"), "floor": F.lit(-float("inf"))})
+    every_q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))).alias("qblock")
+    first_block = F.broadcast(levels.select((F.col("first_cell") * CELL_BLOCKS).alias("block")))
+    first = _best(_search(blocks.join(first_block, "block").select(every_q, "cell", "block", "dims", "ids", "data"), head, turns, k), k)
     first = staged(first.select("query_id", "rank", "vec_id", "score"), "head")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("reached"))
-    raised = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
-    found = first.select("query_id", "vec_id", "score")
-    if n > 1:
-        found = found.unionByName(_search(blocks.where(~head), _packed(raised, "qblock", True), turns, k))
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    raised = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reached", F.lit(-float("inf"))))
+    last = F.array_max(F.transform(F.filter("levels", lambda x: F.sqrt("norm2") * x["top"] * (1 + 1e-9) + 1 >= F.col("floor")), lambda x: x["last"]))
+    raised = raised.withColumn("last", last).where(F.col("last").isNotNull())
+    reach = raised.groupBy("dims", "qblock").agg(F.max("last").alias("last"))
+    there = blocks.select("block", "cell", "dims").join(reach, "dims").where(F.col("cell") <= F.col("last")).groupBy("block").agg(F.collect_list("qblock").alias("qblocks"))
+    rest = blocks.join(first_block, "block", "left_anti").join(there, "block").select(F.explode("qblocks").alias("qblock"), "cell", "block", "dims", "ids", "data")
+    asking = raised.select("qblock", F.explode(F.sequence("first_cell", "last")).alias("cell"), "vec_id", "vec", "floor")
+    out = first.select("query_id", "vec_id", "score").unionByName(_search(rest, asking, turns, k))
+    return _best(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -262,23 +262,48 @@ def test_components(spark):
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 8, 9: 8} | {i: 20 for i in range(20, 61)}
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
-    monkeypatch.setattr(topk, "STEP", 16)
+def best_of(rows, every=100):
+    """Rows of top_k by plain sums; rows: (id, vector or None) or more columns behind these."""
+    whole = [(r[0], [int(np.floor(1024 * float(c))) for c in r[1]]) for r in rows if r[0] is not None and r[1] and all(c is not None and np.isfinite(c) for c in r[1])]
+    queries, out = {}, []
+    for i, v in whole:
+        if i % every == 0:
+            queries[i] = max(queries.get(i, []), v, key=lambda v: (sum(c * c for c in v), v))
+    for q, x in queries.items():
+        scores = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in whole if i != q and len(v) == len(x))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:10])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["lengths", "equal", "ties", "repeated"])
+def test_top_k(spark, monkeypatch, kind):
+    """Lengths of all sizes; all of one length; whole groups of equal scores; one id, of a query too, in a third of all rows."""
+    for name, n in (("BLOCK", 16), ("STEP", 8), ("QUERY_BLOCK", 2), ("CELL_BLOCKS", 2), ("RANGES", 8)):
+        monkeypatch.setattr(topk, name, n)
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 8)) * rng.gamma(1, 1, (400, 1))
-    x[50:60] = x[100]
-    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (500, [float("nan")] * 8), (600, [1.0, None] * 4), (700, [float("inf")] * 8), (800, [])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    y = np.floor(1024 * x.astype(np.float32).astype(float)).astype(np.int64)
-    want = []
-    for q in range(0, 400, 100):
-        s = y @ y[q]
-        best = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:10]
-        want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(best)]
-    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+    x = rng.normal(size=(400, 8)) * (rng.gamma(1, 1, (400, 1)) if kind == "lengths" else 1)
+    if kind == "equal":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "ties":
+        x = np.repeat(rng.integers(-2, 3, (20, 8)), 20, axis=0).astype(float)
+    x = x.astype(np.float32).astype(float)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    if kind == "repeated":
+        data += [(100 if i % 2 else 7, v.tolist()) for i, v in enumerate(x[:200])] + [data[3]] * 20
+    data += [(400, None), (500, [float("nan")] * 8), (600, [1.0, None] * 4), (700, [float("inf")] * 8), (800, []), (None, [1.0] * 8), (900, [2.0] * 5), (901, [1.0] * 5)]
+    df = spark.createDataFrame([(*r, 1, 2, [3.0]) for r in data], "vec_id long, embedding array<float>, block int, dims int, vec array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == best_of(data)
+
+
+def test_top_k_of_few_and_of_large_numbers(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert list(map(tuple, topk.top_k(few).collect())) == [(0, 1, 1, 1024 * 2048)]
+    large = [(0, [2.0**17, 0.3]), (1, [2.0**20 + 0.7, 1.0]), (2, [2.0**20 + 0.7, -1.0]), (3, [-(2.0**21), 5.0])]
+    df = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == best_of(large)
+    df = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)overflow|too large|out of bounds|convert"):
+        topk.top_k(df).collect()
 
 
 @pytest.mark.parametrize(("module", "label", "best"), [(toxicity, "toxic", 0.9), (quality, "quality", 0.9)])
