@@ -130,6 +130,61 @@ def test_packing(docs, rows):
         assert at <= 1024
 
 
+@pytest.mark.parametrize(("each", "parts"), [(16_384, 32), (40, 3)])
+def test_packing_follows_the_rule(spark, docs, rows, each, parts):
+    """Windows hold whole tails but for those laid at the end; of these one for each packer of the second round is padded; in
+    one packer, placements are those of a plain version of the rule."""
+    got = packing.packed(docs.repartition(parts), each=each).collect()
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append(r)
+    tails = sum(r.length for r in got if r.length < 1024 or r.laid)
+    last = -(--(-len(rows) // each) // 4)
+    for w in windows.values():
+        assert len({r.laid for r in w}) == 1
+        if not w[0].laid:
+            assert sum(r.length for r in w) == 1024
+            assert len(w) == 1 or all(r.start + r.length == r.doc_tokens and r.start % 1024 == 0 for r in w)
+    assert sum(sum(r.length for r in w) < 1024 for w in windows.values()) <= max(1, last)
+    if each < 1000:
+        return
+    items = sorted((r.doc_id, r.doc_tokens - r.doc_tokens % 1024, r.doc_tokens % 1024) for r in got if r.start == 0 and r.doc_tokens % 1024)
+    closed, still = plain_rule([(d, n) for d, _, n in items])
+    more, left = plain_rule(sorted(still, key=lambda x: (-x[1], x[0])))
+    assert sorted(sorted(r.doc_id for r in w) for w in windows.values() if not w[0].laid and len(w) > 1) == sorted(sorted(w) for w in closed + more if len(w) > 1)
+    assert {r.doc_id for r in got if r.laid} == {d for d, _ in left}
+    assert sum(n for _, n in left) < tails
+
+
+def plain_rule(items, size=1024):
+    """Closed windows and left items: each item goes where the sum of squared counts of open windows by fill is least."""
+    open_, closed = [], []
+    for doc, n in items:
+        counts = defaultdict(int)
+        for f, _ in open_:
+            counts[f] += 1
+        best = None
+        for f in {0} | {f for f, _ in open_ if f + n <= size}:
+            after = dict(counts)
+            if f:
+                after[f] -= 1
+            if f + n < size:
+                after[f + n] = after.get(f + n, 0) + 1
+            cost = (sum(c * c for c in after.values()), -f)
+            if best is None or cost < best[0]:
+                best = (cost, f)
+        f = best[1]
+        held = []
+        if f:
+            i = max(i for i, (x, _) in enumerate(open_) if x == f)
+            held = open_.pop(i)[1]
+        if f + n == size:
+            closed.append([d for d, _ in held] + [doc])
+        else:
+            open_.append((f + n, [*held, (doc, n)]))
+    return closed, [x for f, held in sorted(open_, key=lambda o: -o[0]) for x in held]
+
+
 def test_sum_of_squares_rule():
     p = packing.Packer(10)
     assert [p.place(x, n) for x, n in (("a", 6), ("b", 6))] == [None, None]
