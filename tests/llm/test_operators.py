@@ -368,9 +368,49 @@ def test_classifiers_on_held_out_labels(spark, module, label, best):
     got = getattr(module, "toxicity" if label == "toxic" else "quality")(docs, labels)
     both = got.join(labels, "doc_id").where("held_out").select("predicted", label).collect()
     assert len(both) > 50 and sum(a == b for a, b in both) / len(both) >= best
+    rare = 1 if label == "toxic" else 0  # a constant answer finds none of these
+    found, due, said = (sum(f(a, b) for a, b in both) for f in (lambda a, b: a == b == rare, lambda a, b: b == rare, lambda a, b: a == rare))
+    assert found / due >= 0.75 and found / said >= 0.9
     assert got.count() == docs.count() and got.where("score < 0 or score > 1").count() == 0
 
 
+def test_toxicity_against_plain_loops(spark):
+    """Counts of n-grams, log-count ratios, the stationary point of the fit, and scores."""
+    rng = random.Random(6)
+    bad, mild = ["stoopid", "wurthless"], [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    data = [(i, " ".join(rng.choices(mild, k=12) + (rng.choices(bad, k=2) if i % 3 == 0 and i else [])) + "!1", int(i % 3 == 0 and i > 0)) for i in range(120)]
+    data += [(200 + i, t, y) for i, (_, t, y) in enumerate(data[:9])]  # repeated texts
+    docs = spark.createDataFrame([(d, t, "x", 0) for d, t, _ in data] + [(None, "stoopid", "x", 0), (999, None, "x", 0)], "doc_id long, text string, y string, score int")
+    labels = spark.createDataFrame([(d, y) for d, _, y in data], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    grams = lambda t: {g for w in set(toxicity.WORD.findall((t or "").lower())) for g in toxicity.grams(w)}
+    learnt = [(grams(t), y) for d, t, y in data if zlib.crc32(str(d).encode()) % 3 != 1]
+    n, hits = defaultdict(int), defaultdict(int)
+    for g, y in learnt:
+        for x in g:
+            n[x] += 1
+            hits[x] += y
+    total, rate = sum(y for _, y in learnt), sum(y for _, y in learnt) / len(learnt)
+    kept = sorted(x for x in n if n[x] >= toxicity.LEAST and abs(hits[x] - n[x] * rate) >= toxicity.Z * (n[x] * rate * (1 - rate)) ** 0.5)
+    assert kept and set(model.weight) <= set(kept) and len(model.weight) > len(kept) // 2
+    for x, w in model.weight.items():  # an n-gram's weight has the sign of its log-count ratio
+        ratio = np.log((hits[x] + 1) / (total + 2)) - np.log((n[x] - hits[x] + 1) / (len(learnt) - total + 2))
+        assert w * ratio > 0 or abs(w) < 0.05
+    for r in toxicity.toxicity(docs, labels).collect():
+        text = {d: t for d, t, _ in data}.get(r.doc_id, "stoopid" if r.doc_id is None else None)
+        want = 1 / (1 + np.exp(-(model.bias + sum(model.weight.get(g, 0.0) for g in grams(text)))))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(want >= 0.7)
+        assert r.predicted == int(any(w in (text or "") for w in bad))
+
+
+def test_best_margin():
+    y, m = np.array([1.0, 1, 0, 1, 0, 0]), np.array([5.0, 4, 3, 3, 1, 0])
+    assert toxicity.best_margin(y, m) == 2.0 and toxicity.best_margin(y[:2], m[:2]) is None
+    for cut in np.arange(-0.5, 6, 0.5):
+        f1 = lambda c: 2 * ((m >= c) & (y > 0)).sum() / ((m >= c).sum() + y.sum())
+        assert f1(2.0) >= f1(cut)
+
+
 def test_classifiers_without_two_classes(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     for kind in ([], [(1, 1, 1)], [(1, None, 3)]):
