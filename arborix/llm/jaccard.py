@@ -438,5 +438,6 @@ def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
     if not unnamed.limit(1).count():
         return named
     gone = found.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("node").alias("gone_node")).distinct()
-    unnamed = unnamed.withColumn("own_node", _node_column())
-    return named.unionByName(unnamed.join(gone, unnamed["own_node"] == gone["gone_node"], "left_anti").drop("own_node"))
+    own = "own" + "_" * max(map(len, docs.columns))  # no column of docs has such a name
+    unnamed = unnamed.withColumn(own, _node_column())
+    return named.unionByName(unnamed.join(gone, unnamed[own] == gone["gone_node"], "left_anti").drop(own))
