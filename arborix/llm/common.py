@@ -16,12 +16,14 @@ SLICE = 256
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``; if that is unset, a folder of
-    this process's own, as in tests on one machine."""
+    this process's own, as in tests on one machine; on a cluster that fails."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isDefined():
             return checkpoint.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="arborix-")
         spark.sparkContext.setCheckpointDir(found)
     return found

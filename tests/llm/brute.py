@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 
@@ -54,6 +55,22 @@ def edited(rows):
     return out
 
 
+def canonical(text):
+    """NFKC, full case folding, NFKC, and white space (as Unicode has it: Python's own also counts \\x1c to \\x1f) folded."""
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", t).strip(" ")
+
+
+def likeness(rows):
+    """Whether each text's canonical form is that of its edited text, and of the next document."""
+    rows = sorted((d, t or "") for d, t in rows)
+    out = {}
+    for i, (doc, text) in enumerate(rows):
+        after, q = rows[(i + 1) % len(rows)][1], len(text) // 4
+        out[doc] = tuple(float(canonical(text) == canonical(x)) for x in (text[: len(text) - q] + after[:q], after))
+    return out
+
+
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), 2, 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
