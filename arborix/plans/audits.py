@@ -155,10 +155,15 @@ def gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.failed_gates(g, [first[0], "x", first[1]])
 
 
-@query("""WITH r AS (SELECT user_id AS query_id, event_id AS node_id, value / 100 AS e FROM events WHERE value IS NOT NULL) SELECT query_id, true AS holds FROM r GROUP BY query_id""")
+@query("""WITH r AS (SELECT user_id AS query_id, event_id AS node_id, value / 100 AS e, CAST(event_id % 10 AS DOUBLE) / 10 AS g FROM events WHERE value IS NOT NULL),
+f AS (SELECT *, e * 0.55 + g * 0.45 + CASE WHEN node_id % 197 = 5 THEN 0.001 ELSE 0 END AS final FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, node_id) AS turn FROM f),
+s AS (SELECT *, turn + CASE WHEN node_id % 211 = 7 THEN 1 ELSE 0 END AS rank FROM k)
+SELECT query_id, bool_and(abs(final - (e * 0.55 + g * 0.45)) <= 1e-12 AND rank = turn) AS holds FROM s GROUP BY query_id""")
 def formula_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored fusions recomputed."""
-    e = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("node_id"), (F.col("value") / 100).alias("entry"), F.lit(0.5).alias("graph"))
-    e = e.withColumn("final", F.col("entry") * 0.55 + F.col("graph") * 0.45)
+    """Stored fusions recomputed; some stored finals and some stored ranks are wrong."""
+    e = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("node_id"), (F.col("value") / 100).alias("entry"), (F.col("event_id") % 10 / 10).alias("graph"))
+    e = e.withColumn("final", F.col("entry") * 0.55 + F.col("graph") * 0.45 + F.when(F.col("node_id") % 197 == 5, 0.001).otherwise(0.0))
     w = metrics.Window.partitionBy("query_id").orderBy(F.desc("final"), "node_id")
-    return metrics.formula_audit(e.withColumn("rank", F.row_number().over(w)), 0.55, 0.45)
+    e = e.withColumn("rank", F.row_number().over(w) + F.when(F.col("node_id") % 211 == 7, 1).otherwise(0))
+    return metrics.formula_audit(e, 0.55, 0.45)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to spark.checkpoint.dir, which executors share and which outlives any of them. A session
-    that names no folder runs on one machine, as in tests, and gets a temporary one."""
+    that names no folder must run on one machine, as in tests, and gets a temporary one."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return df.checkpoint()
