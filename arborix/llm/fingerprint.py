@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
-
-#: Rows of a block in which the next document is looked up, and the most blocks.
-BLOCK_ROWS, MOST_BLOCKS = 2_000, 65_536
+from .common import documents
 
 
 def canonical(text: Column) -> Column:
@@ -29,14 +28,16 @@ def _hex(a: Column, b: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (a, b))))
 
 
-def _block_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Index of the last bound <= doc_id; looked up in two levels, so the cost is the root of the number of blocks."""
+def _block_of(key: Column, bounds: list[int]) -> Column:
+    """blk, the index of the last bound <= key, and whether the key is that bound; looked up in two levels, so the cost
+    is the root of the number of blocks."""
     size = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + size] for i in range(0, len(bounds), size)]
     array = lambda xs: F.array(*(F.lit(x) for x in xs))
-    g = F.greatest(F.size(F.filter(array([x[0] for x in groups]), lambda x: x <= doc_id)), F.lit(1))
+    g = F.greatest(F.size(F.filter(array([x[0] for x in groups]), lambda x: x <= key)), F.lit(1))
     inner = F.element_at(F.array(*(array(x) for x in groups)), g)
-    return F.greatest((g - 1) * size + F.size(F.filter(inner, lambda x: x <= doc_id)) - 1, F.lit(0))
+    within = F.filter(inner, lambda x: x <= key)
+    return F.struct(F.greatest((g - 1) * size + F.size(within) - 1, F.lit(0)).cast("int").alias("blk"), F.coalesce(F.try_element_at(within, F.lit(-1)) == key, F.lit(False)).alias("first"))
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -44,21 +45,22 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     the row stands (blk, pos) and whether it is the last of its block (ends); and the number of blocks. Order: doc_id,
     then text; after the last comes the first. Null doc_ids come first.
 
-    The ids are cut into blocks at quantiles (a list of at most MOST_BLOCKS + 1 numbers on the driver). Each block
-    also gets a copy of the first rows of the next, so the window needs one shuffle by block and no global sort."""
+    The ids are cut into blocks at quantiles. Blocks and rows of a block both grow with the root of the rows: at 5e10
+    documents the driver holds some 220,000 bounds, and a block as many rows, which the window sorts and spills. Each
+    block also gets a copy of the first rows of the next, so the window needs one shuffle by block and no global sort."""
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     docs = documents(docs)
     rows = docs.count()
-    n = min(MOST_BLOCKS, blocks(spark, rows, BLOCK_ROWS))
-    found = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(0.5)), F.lit(20 * n)).alias("q")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), isqrt(rows), 1)
+    found = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, F.array(*(F.lit(i / n) for i in range(1, n))) if n > 1 else F.array(F.lit(0.5)), F.lit(4 * n)).alias("q")).first()
     bounds = sorted({found["least"], *found["q"]}) if rows else [0]
     last = len(bounds) - 1
     h1, h2 = wide_hash(F.col("canon"))
-    docs = docs.withColumn("canon", canonical(F.col("text"))).withColumns({"h1": h1, "h2": h2}).drop("canon").withColumn("own", _block_of(key, bounds).cast("int"))
+    docs = docs.withColumn("canon", canonical(F.col("text"))).withColumns({"h1": h1, "h2": h2}).drop("canon").withColumn("own", _block_of(key, bounds))
     at = lambda b, later: F.struct(b.alias("blk"), F.lit(later).alias("later"))
-    own, before = F.col("own"), F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
-    first = F.array_contains(F.array(*(F.lit(x) for x in bounds)), key)
+    own, first = F.col("own.blk"), F.col("own.first")
+    before = F.when(own == 0, F.lit(last)).otherwise(own - 1)
     placed = docs.select("doc_id", "text", "h1", "h2", F.explode(F.when(first, F.array(at(own, False), at(before, True))).otherwise(F.array(at(own, False)))).alias("at")).select("doc_id", "text", "h1", "h2", "at.*")
     w = Window.partitionBy("blk").orderBy("later", F.col("doc_id").asc_nulls_first(), "text")
     following = placed.select("*", F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"), F.lead("h1").over(w).alias("n1"), F.lead("h2").over(w).alias("n2"), F.lead("later").over(w).alias("ends"))
