@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import asdict, dataclass
+from math import isfinite
+
+from .sources.files import canonical_json
 
 #: Names of the strategies; fixed values.
 STRATEGIES = (
@@ -20,6 +24,20 @@ STRATEGIES = (
 )
 
 
+#: Settings of feedback, and those of them that count only while their policy is on; fixed values.
+FEEDBACK = (
+    "feedback_learning_rate",
+    "sibling_feedback_normalization",
+    "maximum_edge_weight",
+    "relation_feedback_evidence_quorum",
+    "confirmed_outcome_reinforcement",
+    "confirmation_decay_ratio",
+    "soft_start_feedback_reinforcement",
+    "soft_start_feedback_ratio",
+    "outcome_driven_feedback_deactivation",
+)
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     # Names and defaults of the settings: fixed values, as callers give them by name.
@@ -64,6 +82,8 @@ class EngineConfig:
             if not ok:
                 raise ValueError(what)
 
+        for name, value in asdict(self).items():
+            need(not isinstance(value, float) or isfinite(value), f"{name} must be finite")
         need(min(self.sparse_weight, self.dense_weight, self.entry_weight, self.graph_weight) >= 0, "weights must not be negative")
         need(self.sparse_weight + self.dense_weight > 0 and self.entry_weight + self.graph_weight > 0, "one weight of each pair must be positive")
         need(self.use_dense_retrieval or self.dense_weight == 0, "dense_weight must be 0 without dense retrieval")
@@ -74,6 +94,8 @@ class EngineConfig:
         need(self.graph_normalization in ("max", "none", "l1_mass"), "unknown normalisation")
         need(self.final_fusion_strategy in ("linear", "rrf"), "unknown fusion")
         need(self.activation_strategy in STRATEGIES, "unknown strategy")
+        need(min(self.maximum_edge_weight, self.maximum_activation) > 0, "maxima must be positive")
+        need(min(self.max_paths_per_node, self.max_propagation_expansions) >= 1, "limits must be positive")
         need(self.recurrent_steps >= 1 and self.max_active_paths_per_node >= 1, "recurrent settings out of range")
         need(0 <= self.recurrent_decay <= 1 and self.convergence_tolerance >= 0 and 0 <= self.sibling_feedback_normalization <= 1, "ratios out of range")
         need(type(self.relation_feedback_evidence_quorum) is int and self.relation_feedback_evidence_quorum >= 1, "the quorum must be a positive integer")
@@ -90,3 +112,22 @@ class EngineConfig:
         """Which search the feedback belongs to."""
         outcomes = self.soft_start_feedback_reinforcement or self.confirmed_outcome_reinforcement
         return "relation" if outcomes or self.sibling_feedback_normalization > 0 else "combined"
+
+    def effective(self) -> dict[str, dict[str, object]]:
+        """The settings that count, those of retrieval and those of feedback; soft start and dormancy only if in use."""
+        idle = set()
+        if not self.soft_start_feedback_reinforcement and self.soft_start_feedback_ratio is None:
+            idle |= {"soft_start_feedback_reinforcement", "soft_start_feedback_ratio"}
+        if not self.outcome_driven_feedback_deactivation:
+            idle.add("outcome_driven_feedback_deactivation")
+        found: dict[str, dict[str, object]] = {"retrieval": {}, "feedback": {}}
+        for name, value in sorted(asdict(self).items()):
+            if name not in idle:
+                found["feedback" if name in FEEDBACK else "retrieval"][name] = value
+        return found
+
+    def fingerprints(self) -> dict[str, str]:
+        """Digests of the effective settings as canonical JSON: of retrieval, of feedback and of both."""
+        both = self.effective()
+        digest = lambda x: "sha256:" + hashlib.sha256(canonical_json(x)).hexdigest()
+        return {"retrieval_config_fingerprint": digest(both["retrieval"]), "feedback_config_fingerprint": digest(both["feedback"]), "full_config_fingerprint": digest(both)}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass, replace
@@ -27,7 +28,7 @@ HITS = f"trace_id string, channel string, query string, created_at double, rank
 EVENTS = "source_id string, target_id string, edge_type string, seq long, trace_id string, kind string, credit double, channel string"
 USES = "trace_id string, node_id string, stage string, seq long"
 REQUESTS = "idempotency_key string, operation string, payload_hash string, receipt string"
-JUDGED = "judgment_id string, seq long, action string, expected_revision int, statement string, rationale string"
+JUDGED = f"judgment_id string, seq long, action string, expected_revision int, statement string, rationale string, relations {judgments.RELATIONS}, provenance map<string,string>, successor_id string"
 #: Stages of use in their order, outcomes, and the codes of errors (fixed values).
 STAGES = ("retrieved", "selected", "validated", "used")
 OUTCOMES = ("confirmed", "corrected", "rolled_back", "superseded")
@@ -87,7 +88,15 @@ class Engine:
         return added.unionByName(judgments.as_nodes(self.judgments())) if store.versions(self.spark, f"{self.folder}/judgments") else added
 
     def _base(self) -> DataFrame:
-        return store.latest(self._all("edges", EDGES), list(feedback.EDGE), "v").drop("v")
+        added = store.latest(self._all("edges", EDGES), list(feedback.EDGE), "v").drop("v")
+        if not store.versions(self.spark, f"{self.folder}/judgments"):
+            return added
+        live = self.judgments().where("lifecycle = 'active'").select("judgment_id")
+        r = self.relations()
+        for end in ("source_id", "target_id"):
+            r = r.join(live.withColumnRenamed("judgment_id", end), end, "left_semi")
+        r = r.select(*feedback.EDGE[:2], F.col("relation_type").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("factuality"), F.lit(0).cast("long").alias("reinforced_count"))
+        return added.unionByName(r.join(added, list(feedback.EDGE), "left_anti"))
 
     def edges(self) -> DataFrame:
         """All edges with their weights as of now, and whether they sleep."""
@@ -250,19 +259,80 @@ class Engine:
 
     # ------------------------------------------------------------ judgments
 
+    def _judged(self) -> DataFrame:
+        return judgments.replayed(self._all("judgments", JUDGED).drop("v"))
+
     def judgments(self) -> DataFrame:
-        return judgments.current(judgments.replayed(self._all("judgments", JUDGED).drop("v")))
-
-    def write_judgment(self, judgment_id: str, action: str, statement: str = "", rationale: str = "", expected_revision: int | None = None) -> Row | None:
-        """One event of a judgment's history, if it is allowed; the judgment as it then stands."""
-        n = self._next("judgments")
-        event = [(judgment_id, n, action, expected_revision, statement, rationale)]
-        own = self._all("judgments", JUDGED).drop("v").where(F.col("judgment_id") == judgment_id).unionByName(self.spark.createDataFrame(event, JUDGED))
-        code = judgments.replayed(own).where(F.col("seq") == n).first().reject_code
-        if code is not None:
-            raise EngineError("judgment_rejected", code)
-        self._add("judgments", event, JUDGED)
-        return self.judgments().where(F.col("judgment_id") == judgment_id).first()
+        return judgments.current(self._judged())
+
+    def relations(self) -> DataFrame:
+        return judgments.relations(self._judged())
+
+    def write_judgment(
+        self, judgment_id: str, action: str, statement: str = "", rationale: str = "", expected_revision: int | None = None,
+        relations: list[tuple[str, str]] = (), provenance: dict[str, str] | None = None, successor_id: str | None = None,
+    ) -> Row | None:
+        """One event of a judgment's history, if it is allowed; the judgment as it then stands, or its successor.
+
+        An add or an update sets all relations(target_id, relation_type); their targets must be there. To supersede needs
+        the successor's id, text and relations: it is added, with a relation to its predecessor. A judgment that others
+        relate to can't be deleted."""
+
+        def refuse(bad: bool, why: str) -> None:
+            if bad:
+                raise EngineError("judgment_rejected", why)
+
+        n, history, found = self._next("judgments"), self._all("judgments", JUDGED).drop("v"), sorted(set(relations))
+        subject = successor_id if action == "supersede" else judgment_id
+        writes = action in ("add", "update", "supersede")
+        refuse(action not in ("add", "update", "supersede", "archive", "restore", "delete"), "unknown_action")
+        refuse(subject is None or subject == judgment_id and action == "supersede", "successor_needed")
+        refuse(writes and not (statement.strip() and rationale.strip()), "text_needed")
+        refuse(not re.fullmatch(judgments.ID, subject), "invalid_identity")
+        refuse(len(found) < len(relations) or any(t == subject for t, _ in found), "invalid_relation")
+        refuse(not all(re.fullmatch(judgments.ID, t) and re.fullmatch(judgments.RELATION, k) for t, k in found), "invalid_relation")
+        text = (statement.strip(), rationale.strip())
+        row = lambda j, a, r, text, links, heir: (j, n, a, r, *text, links, provenance, heir)
+        if action == "supersede":
+            heir = sorted({*found, (judgment_id, "supersedes")})
+            events = [row(judgment_id, action, expected_revision, ("", ""), None, successor_id), row(successor_id, "add", None, text, heir, None)]
+        else:
+            events = [row(judgment_id, action, expected_revision, text, found if writes else None, None)]
+        own = history.where(F.col("judgment_id").isin(judgment_id, subject)).unionByName(self.spark.createDataFrame(events, JUDGED))
+        bad = judgments.replayed(own).where((F.col("seq") == n) & F.col("reject_code").isNotNull()).select("reject_code").first()
+        refuse(bad is not None, bad.reject_code if bad else "")
+        if found:
+            wanted = {t for t, _ in found}
+            refuse(self.judgments().where(F.col("judgment_id").isin(*wanted)).count() < len(wanted), "unknown_target")
+        refuse(action == "delete" and not self.relations().where(F.col("target_id") == judgment_id).isEmpty(), "still_related")
+        self._add("judgments", events, JUDGED)
+        return self.judgments().where(F.col("judgment_id") == subject).first()
+
+    def export_judgments(self) -> DataFrame:
+        """All judgments as records, which import_judgments takes."""
+        return judgments.exported(self._judged())
+
+    def import_judgments(self, records: DataFrame) -> int:
+        """Adds records (judgments.RECORD) all at once, as one version, or none; how many there were."""
+        wrong = judgments.import_errors(records).orderBy("reason", "id").first()
+        if wrong is not None:
+            raise EngineError("judgment_rejected", f"{wrong.reason}: {wrong.id}")
+        if not records.join(self.judgments().select("judgment_id"), "judgment_id", "left_semi").isEmpty():
+            raise EngineError("judgment_rejected", "already_exists")
+        self._add("judgments", judgments.import_events(records, self._next("judgments")), JUDGED)
+        return records.count()
+
+    def backup(self, folder: str) -> None:
+        """All tables and their versions to a folder that must not be there yet; Engine(spark, folder) reads it. To
+        restore, back up the backup."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        if path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path(folder)):
+            raise FileExistsError(f"won't write over {folder}")
+        source = path(self.folder)
+        for table in source.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(source):
+            name = table.getPath().getName()
+            for v in store.versions(self.spark, f"{self.folder}/{name}"):
+                store.publish(store.read(self.spark, f"{self.folder}/{name}", v), f"{folder}/{name}", v)
 
 
 def replaced(engine: Engine, **settings: object) -> Engine:

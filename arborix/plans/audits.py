@@ -82,6 +82,24 @@ def judgment_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments.current(judgments.replayed(e)).select("judgment_id", "revision", "lifecycle", F.sha2(F.col("statement").cast("binary"), 256).alias("statement_sha256"))
 
 
+@query("""WITH n AS (SELECT DISTINCT conv_id AS c FROM conversations), j AS (SELECT c, CASE WHEN c % 7 = 3 THEN 'C' ELSE 'c' END || c AS id, 'c' || (c + 1) AS nxt FROM n),
+r AS (SELECT id, nxt AS t, 'next' AS k, CASE WHEN c % 19 = 1 THEN 2 ELSE 1 END AS n FROM j UNION ALL SELECT id, id, 'Same', 1 FROM j WHERE c % 17 = 2)
+SELECT 'invalid_identity' AS reason, id FROM j WHERE c % 7 = 3 UNION ALL SELECT 'invalid_revision', id FROM j WHERE c % 5 = 0 UNION ALL SELECT 'invalid_lifecycle', id FROM j WHERE c % 11 = 4
+UNION ALL SELECT 'empty_rationale', id FROM j WHERE c % 29 = 5 UNION ALL SELECT 'empty_provenance', id FROM j WHERE c % 23 = 6 UNION ALL SELECT 'unknown_successor', id FROM j WHERE c % 13 = 7 AND nxt NOT IN (SELECT id FROM j)
+UNION ALL SELECT 'self_relation', id || '>' || t || '>' || k FROM r WHERE id = t UNION ALL SELECT 'duplicate_relation', id || '>' || t || '>' || k FROM r WHERE n > 1
+UNION ALL SELECT 'invalid_relation_type', id || '>' || t || '>' || k FROM r WHERE k = 'Same' UNION ALL SELECT 'dangling_relation', id || '>' || t || '>' || k FROM r WHERE t NOT IN (SELECT id FROM j)""")
+def judgment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records of an import, each related to the next; some have faults, which are all named."""
+    c = F.col("conv_id")
+    s = lambda x: x.cast("string")
+    own, nxt = F.concat(F.when(c % 7 == 3, "C").otherwise("c"), s(c)), F.concat(F.lit("c"), s(c + 1))
+    line = lambda t, k: F.struct(t.alias("target_id"), F.lit(k).alias("relation_type"))
+    links = F.concat(F.array(line(nxt, "next")), F.when(c % 19 == 1, F.array(line(nxt, "next"))).otherwise(F.array()), F.when(c % 17 == 2, F.array(line(own, "Same"))).otherwise(F.array()))
+    d = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    r = d.select(own.alias("judgment_id"), (c % 5).cast("int").alias("revision"), F.lit("said").alias("statement"), F.when(c % 29 == 5, " ").otherwise("so").alias("rationale"), F.when(c % 23 != 6, F.create_map(F.lit("from"), s(c))).alias("provenance"), F.when(c % 11 == 4, "gone").otherwise("active").alias("lifecycle"), F.when(c % 13 == 7, nxt).alias("superseded_by"), links.alias("relations"))
+    return judgments.import_errors(r)
+
+
 @query("SELECT conv_id || ':' || turn AS packet_id, conv_id || ':' || max(turn) OVER (PARTITION BY conv_id) AS tip FROM conversations")
 def packet_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packet that stands at the end of each chain of replacements."""

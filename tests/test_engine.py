@@ -4,6 +4,7 @@ import pytest
 
 from arborix.config import EngineConfig
 from arborix.engine import Engine, EngineError, replaced
+from arborix.sources import files
 
 DOCS = [("source", "retry rules of payments", 1.0, {}), ("used", "a code change", 1.0, {}), ("unused", "a chart", 1.0, {})]
 LINKS = [("source", "used", "leads", 0.5, 0.8, 0), ("source", "unused", "leads", 0.4, 0.7, 0)]
@@ -61,3 +62,62 @@ def test_judgments(engine):
     assert "j1" in {h.node_id for h in engine.search("failed less", 5, now=0.0).hits}
     with pytest.raises(EngineError, match="revision_conflict"):
         engine.write_judgment("j1", "update", "x", "y", 3)
+    with pytest.raises(EngineError, match="unknown_target"):
+        engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("nobody", "supports")])
+    engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("j1", "supports")])
+    assert ("j2", "j1", "supports", 1.0) in {(e.source_id, e.target_id, e.edge_type, e.weight) for e in engine.edges().collect()}
+    with pytest.raises(EngineError, match="already_exists"):
+        engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j2")
+    heir = engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j3")
+    assert (heir.judgment_id, heir.revision, heir.lifecycle) == ("j3", 1, "active")
+    assert {tuple(r) for r in engine.relations().collect()} == {("j2", "j1", "supports"), ("j3", "j1", "supersedes")}
+    engine.write_judgment("j2", "update", "use a queue", "bursts, mostly", 1, relations=[("j3", "supports")])
+    engine.write_judgment("j3", "archive", expected_revision=1)
+    with pytest.raises(EngineError, match="still_related"):
+        engine.write_judgment("j3", "delete", expected_revision=1)
+
+
+def test_judgments_go_out_and_in(spark, engine, tmp_path):
+    engine.write_judgment("a", "add", "s", "r", relations=[], provenance={"from": "x"})
+    engine.write_judgment("a", "supersede", "t", "r", successor_id="b", provenance={"from": "y"})
+    out = engine.export_judgments()
+    rows = sorted(map(str, out.collect()))
+    assert {(r.judgment_id, r.lifecycle, r.superseded_by) for r in out.collect()} == {("a", "archived", "b"), ("b", "active", None)}
+    other = Engine(spark, str(tmp_path / "other"))
+    assert other.import_judgments(out) == 2
+    assert sorted(map(str, other.export_judgments().collect())) == rows
+    with pytest.raises(EngineError, match="already_exists"):
+        other.import_judgments(out)
+    with pytest.raises(EngineError, match="dangling_relation"):
+        Engine(spark, str(tmp_path / "third")).import_judgments(out.where("judgment_id = 'b'"))
+    with pytest.raises(EngineError, match="superseded"):
+        other.write_judgment("a", "restore")
+    other.backup(str(tmp_path / "copy"))
+    assert sorted(map(str, Engine(spark, str(tmp_path / "copy")).export_judgments().collect())) == rows
+    with pytest.raises(FileExistsError):
+        other.backup(str(tmp_path / "copy"))
+
+
+def test_settings_are_checked_and_named(tmp_path):
+    for bad in ({"hop_decay": float("nan")}, {"maximum_activation": 0.0}, {"max_propagation_expansions": 0}, {"activation_budget": float("inf")}):
+        with pytest.raises(ValueError):
+            EngineConfig(**bad)
+    plain, other = EngineConfig(), EngineConfig(feedback_learning_rate=0.3)
+    assert "soft_start_feedback_ratio" not in plain.effective()["feedback"] and "rrf_k" in plain.effective()["retrieval"]
+    a, b = plain.fingerprints(), other.fingerprints()
+    assert a["retrieval_config_fingerprint"] == b["retrieval_config_fingerprint"]
+    assert a["feedback_config_fingerprint"] != b["feedback_config_fingerprint"] and a["full_config_fingerprint"] != b["full_config_fingerprint"]
+    soft = EngineConfig(soft_start_feedback_reinforcement=True, soft_start_feedback_ratio=0.25, confirmation_decay_ratio=0.5)
+    assert soft.effective()["feedback"]["soft_start_feedback_ratio"] == 0.25
+
+
+def test_canonical_files(tmp_path):
+    path = str(tmp_path / "deep" / "x.json")
+    files.write_canonical(path, {"b": [1, "é"], "a": None})
+    assert files.read_canonical(path) == {"a": None, "b": [1, "é"]}
+    with pytest.raises(FileExistsError):
+        files.write_canonical(path, {})
+    for raw in (b'{"a":1}', b"[]\n", b"\xff", b'{\n  "b": 1,\n  "a": 2\n}\n'):
+        (tmp_path / "y.json").write_bytes(raw)
+        with pytest.raises(ValueError):
+            files.read_canonical(str(tmp_path / "y.json"))
