@@ -97,6 +97,15 @@ def replays(requests: DataFrame) -> DataFrame:
     return requests.withColumn("outcome", F.when(F.row_number().over(w) == 1, "run").when(F.col("payload_hash") == first, "replay").otherwise("idempotency_conflict"))
 
 
-def activation_history(events: DataFrame, now, half_life: float) -> DataFrame:  # noqa: ANN001
-    """Decayed activation of each node as of now (a column of seconds)."""
-    return events.groupBy("node_id").agg(F.sum(decayed(F.col("value"), now - F.col("at"), half_life)).alias("activation"), F.count("*").alias("n"))
+def activation_history(events: DataFrame, now, half_life: float, maximum: float) -> DataFrame:  # noqa: ANN001
+    """Decayed activation of each node as of now (a column of seconds), where each event(node_id, at, value >= 0) adds to
+    what is left of the ones before and is cut at the maximum.
+
+    In units of now, with s the sum up to an event and m what the maximum at that event has decayed to, the result is
+    s_n + min(0, min(m_j - s_j)): one running sum and one aggregate, so no history is folded or held in memory. Events of
+    the same time count together."""
+    w = Window.partitionBy("node_id").orderBy("at")
+    age = now - F.col("at")
+    e = events.withColumns({"own": decayed(F.col("value"), age, half_life), "most": decayed(F.lit(maximum), age, half_life)})
+    e = e.withColumn("room", F.col("most") - F.sum("own").over(w))
+    return e.groupBy("node_id").agg((F.sum("own") + F.least(F.lit(0.0), F.min("room"))).alias("activation"), F.count("*").alias("n"))

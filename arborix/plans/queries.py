@@ -169,15 +169,18 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.fused(s, act, c).select("query_id", "node_id", F.round("final", 6).alias("final"))
 
 
-@query("""WITH t AS (SELECT max(epoch(ts)) AS now FROM events)
-SELECT user_id AS node_id, round(sum(least(1, greatest(0.1, value / 100)) * pow(0.5, greatest(0, now - epoch(ts)) / 86400.0)), 6) AS activation, count(*) AS n FROM events, t WHERE value IS NOT NULL GROUP BY user_id""")
+@query("""WITH RECURSIVE t AS (SELECT max(epoch(ts)) AS now FROM events),
+e AS (SELECT user_id, epoch(ts) AS z, least(1, greatest(0.1, value / 100)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+r AS (SELECT user_id, i, z, least(1.5, v) AS a FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.z, least(1.5, r.a * pow(0.5, greatest(0, e.z - r.z) / 86400.0) + e.v) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id AS node_id, round(arg_max(a, i) * pow(0.5, greatest(0, any_value(now) - arg_max(z, i)) / 86400.0), 6) AS activation, count(*) AS n FROM r, t GROUP BY user_id""")
 def activation_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decayed activation of each user as of the last event."""
+    """Decayed activation of each user as of the last event, cut at each event at 1.5."""
     e = table(spark, sf_dir, "events").where("value is not null")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     e = e.select(F.col("user_id").alias("node_id"), at.alias("at"), F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("value") / 100)).alias("value"))
     now = table(spark, sf_dir, "events").agg(F.max(at).alias("now"))
-    out = feedback.activation_history(e.join(F.broadcast(now)), F.col("now"), 86_400.0)
+    out = feedback.activation_history(e.join(F.broadcast(now)), F.col("now"), 86_400.0, 1.5)
     return out.select("node_id", F.round("activation", 6).alias("activation"), "n")
 
 

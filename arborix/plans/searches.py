@@ -7,30 +7,34 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.encode import encoded
+from ..functions.text import tokens
 from ..operators import channels, dynamics, feedback, graph, ledger
 from .queries import EDGES, TOKENS, part_seeds, query, table, text_nodes, typed_edges
 
-ASKED = "supplied located"
+ASKED = "supplied located supplier nation 3"
 
 
-def spread(spark: SparkSession, sf_dir: str, strategy: str, digits: int = 6) -> DataFrame:
-    """Two steps of a strategy from the parts; targets have no text, so the gate sees the edges' types alone."""
+def spread(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """Two steps of a strategy from the parts; gates see the edges' types and the names of suppliers and nations."""
     c = EngineConfig(activation_strategy=strategy, inhibition_ratio=0.1, recurrent_steps=2)
     q = part_seeds(spark, sf_dir).select("query_id").distinct().withColumn("query_tokens", F.split(F.lit(ASKED), " "))
-    none = table(spark, sf_dir, "nation").select(F.lit("").alias("target_id"), F.array().cast("array<string>").alias("target_tokens")).limit(0)
-    out = dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c, q, none)
-    return out.activation.select("query_id", "node_id", F.round("activation", digits).alias("activation"))
+    named = part_nodes(spark, sf_dir).select(F.col("node_id").alias("target_id"), tokens(F.col("text")).alias("target_tokens"))
+    out = dynamics.propagate(part_seeds(spark, sf_dir), typed_edges(spark, sf_dir), c, q, named)
+    return out.activation.select("query_id", "node_id", F.round("activation", 6).alias("activation"))
 
 
-GATE = "(0.4 + 0.6 * len(list_intersect(string_split(edge_type, '_'), ['supplied', 'located'])) / 2.0)"
+GATED = EDGES + f"""names AS (SELECT 'supplier:' || s_suppkey AS target_id, s_name AS text FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation),
+met AS (SELECT edges.*, list_distinct(list_concat(coalesce({TOKENS.format("text")}, []), {TOKENS.format("edge_type")})) AS t FROM edges LEFT JOIN names USING (target_id)),
+gated AS (SELECT source_id, target_id, edge_type, weight, factuality, 0.4 + 0.6 * len(list_intersect(t, string_split('{ASKED}', ' '))) / sqrt({len(ASKED.split())} * len(t)) AS gate FROM met),
+"""
 
 
 def steps_sql(gated: bool = False, by_path: bool = False, anchored: bool = False, overall: bool = False) -> str:
     """Two steps in SQL. Edges lead from parts to suppliers to nations, so no walk meets itself."""
-    gate, sql = GATE if gated else "1.0", EDGES + "s0 AS (SELECT query_id, node_id, entry AS a, node_id AS path FROM seeds),\n"
+    gate, links, sql = "gate" if gated else "1.0", "gated" if gated else "edges", (GATED if gated else EDGES) + "s0 AS (SELECT query_id, node_id, entry AS a, node_id AS path FROM seeds),\n"
     for i in (1, 2):
         last, key = f"s{i - 1}", "query_id, node_id, path" if by_path else "query_id, node_id"
-        sql += f"p{i} AS (SELECT query_id, s.node_id, s.path, s.a, e.target_id AS t, s.a * weight * factuality * 0.7 * {gate} AS c FROM {last} s JOIN edges e ON e.source_id = s.node_id),\n"
+        sql += f"p{i} AS (SELECT query_id, s.node_id, s.path, s.a, e.target_id AS t, s.a * weight * factuality * 0.7 * {gate} AS c FROM {last} s JOIN {links} e ON e.source_id = s.node_id),\n"
         if overall:
             sql += f"m{i} AS (SELECT query_id, t, path, c * least(1.0, 1.0 / sum(c) OVER (PARTITION BY query_id)) AS c FROM p{i} WHERE c > 0),\n"
         else:
@@ -90,12 +94,12 @@ def anchored_local_query_competition(spark: SparkSession, sf_dir: str) -> DataFr
     return spread(spark, sf_dir, "anchored_local_query_competition")
 
 
-@query(EDGES + f"""h1 AS (SELECT query_id, e.target_id AS node_id, s.entry * weight * factuality * 0.7 * {GATE} AS c FROM seeds s JOIN edges e ON e.source_id = s.node_id),
-h2 AS (SELECT query_id, e.target_id AS node_id, h.c * weight * factuality * 0.7 * {GATE} AS c FROM h1 h JOIN edges e ON e.source_id = h.node_id WHERE h.c > 0)
-SELECT query_id, node_id, round(sum(c), 11) AS activation FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT * FROM h1 WHERE c > 0 UNION ALL SELECT * FROM h2 WHERE c > 0) GROUP BY query_id, node_id""")
+@query(GATED + """h1 AS (SELECT query_id, e.target_id AS node_id, s.entry * weight * factuality * 0.7 * gate AS c FROM seeds s JOIN gated e ON e.source_id = s.node_id),
+h2 AS (SELECT query_id, e.target_id AS node_id, h.c * weight * factuality * 0.7 * gate AS c FROM h1 h JOIN gated e ON e.source_id = h.node_id WHERE h.c > 0)
+SELECT query_id, node_id, round(sum(c), 6) AS activation FROM (SELECT query_id, node_id, entry AS c FROM seeds UNION ALL SELECT * FROM h1 WHERE c > 0 UNION ALL SELECT * FROM h2 WHERE c > 0) GROUP BY query_id, node_id""")
 def query_conditioned_transmission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G3, P6. All products have ten decimals at most, so eleven are kept: none is then rounded at a half."""
-    return spread(spark, sf_dir, "query_conditioned_transmission", 11)
+    """G3, P6."""
+    return spread(spark, sf_dir, "query_conditioned_transmission")
 
 
 @query(EDGES + """h1 AS (SELECT query_id, e.target_id AS t FROM seeds s JOIN edges e ON e.source_id = s.node_id WHERE weight * factuality > 0),
