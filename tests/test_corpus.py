@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborix.config import EngineConfig
 from arborix.functions.encode import encoded, hashed
-from arborix.operators import corpus, judgments, metrics
+from arborix.operators import corpus, feedback, judgments, metrics, selection
 from arborix.sources import store
 from arborix.streaming import feedback as stream
 
@@ -116,3 +116,31 @@ def test_metrics_name_what_changed(spark):
     assert (x.classification, x.fusion_side_ceiling) == ("edge_changed_but_rank_unchanged", True)
     h = spark.createDataFrame([("v", "a"), ("v", "a"), ("v", "b")], "k string, x string")
     assert metrics.histogram(h, "k", "x").first().counts == {"a": 2, "b": 1}
+
+
+def test_activation_is_cut_at_each_event(spark):
+    rows = [("a", 0.0, 1.0), ("a", 10.0, 1.0), ("a", 10.0, 0.5), ("a", 25.0, 0.1), ("b", 5.0, 0.3), ("b", 30.0, 5.0)]
+    out = feedback.activation_history(spark.createDataFrame(rows, "node_id string, at double, value double"), F.lit(40.0), 10.0, 1.2)
+    plain = {}
+    for n, at, v in rows:
+        x, last = plain.get(n, (0.0, at))
+        plain[n] = (min(1.2, x * 0.5 ** ((at - last) / 10) + v), at)
+    want = {n: x * 0.5 ** ((40.0 - at) / 10) for n, (x, at) in plain.items()}
+    assert {r.node_id: r.activation for r in out.collect()} == pytest.approx(want)
+
+
+def test_majorities_and_their_gates(spark):
+    cases = spark.createDataFrame([(1, i, "relation" if i == 3 else "direct_lookup", "relation" if i == 3 else "lexical", f"n{i}", True, True) for i in (1, 2, 3)], "experiment int, case_id int, cohort string, intended string, expected_node_id string, in_union boolean, edges_unchanged boolean")
+    vote = "experiment int, case_id int, judge_id int, channel string, node_id string, rank int, path_matched boolean"
+    rows = [(1, i, j, "relation" if i == 3 else "lexical", f"n{i}", i, True) for i in (1, 2, 3) for j in (0, 1, 2)]
+    agreed = spark.createDataFrame(rows, vote)
+    for node_first in (False, True):
+        made = selection.decided(agreed, cases, node_first)
+        assert all(r.passed for r in selection.selection_gates(made, agreed, node_first).collect())
+    r = selection.selection_report(selection.decided(agreed, cases)).first()
+    assert (r.node_accuracy, r.unanimity, r.oracle_gap) == (1.0, 1.0, 0.0) and r.selected_mrr == pytest.approx((1 + 1 / 2 + 1 / 3) / 3)
+    # Case 1: two abstain. Case 2: one node by two channels. Case 3 has no votes.
+    split = spark.createDataFrame([(1, 1, 0, "abstain", None, None, True), (1, 1, 1, "abstain", None, None, True), (1, 1, 2, "lexical", "n1", 1, True), (1, 2, 0, "lexical", "n2", 1, True), (1, 2, 1, "relation", "n2", 2, True), (1, 2, 2, "lexical", "x", 3, True)], vote)
+    chosen = lambda f: {r.case_id: (r.has_majority, r.node_id) for r in selection.decided(split, cases, f).collect()}
+    assert chosen(False) == {1: (False, None), 2: (False, None), 3: (False, None)}
+    assert chosen(True) == {1: (False, None), 2: (True, "n2"), 3: (False, None)}
