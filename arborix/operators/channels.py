@@ -28,7 +28,7 @@ def entries(nodes: DataFrame, queries: DataFrame, config: EngineConfig) -> DataF
     part = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(0.0)
     total = config.sparse_weight + config.dense_weight
     entry = (part("sparse", "ms") * config.sparse_weight + part("dense", "md") * config.dense_weight) / total
-    return both.join(F.broadcast(top), "query_id").select("query_id", "node_id", "sparse", "dense", entry.alias("entry"))
+    return both.join(top, "query_id").select("query_id", "node_id", "sparse", "dense", entry.alias("entry"))
 
 
 def seeds(entry: DataFrame, k: int) -> DataFrame:

@@ -58,7 +58,7 @@ def _guarded(p: DataFrame, status: DataFrame, config: EngineConfig) -> DataFrame
     p = p.withColumn("negative", -F.col("activation"))
     kept = graph.first_rows(p, order, config.max_propagation_expansions, "turn")
     left = status.select("query_id", (config.max_propagation_expansions - F.col("expansions")).alias("left"))
-    return kept.join(F.broadcast(left), "query_id").where(F.col("turn") <= F.col("left")).drop("turn", "left", "negative")
+    return kept.join(left, "query_id").where(F.col("turn") <= F.col("left")).drop("turn", "left", "negative")
 
 
 def _competed(p: DataFrame, config: EngineConfig) -> DataFrame:
@@ -75,7 +75,7 @@ def _competed(p: DataFrame, config: EngineConfig) -> DataFrame:
 def _budgeted(p: DataFrame, config: EngineConfig) -> DataFrame:
     total = p.groupBy("query_id").agg(F.sum("contribution").alias("total"))
     scale = F.when(F.col("total") > config.activation_budget, config.activation_budget / F.col("total")).otherwise(1.0)
-    return p.join(F.broadcast(total), "query_id").withColumn("contribution", F.col("contribution") * scale).drop("total")
+    return p.join(total, "query_id").withColumn("contribution", F.col("contribution") * scale).drop("total")
 
 
 def _node_states(state: DataFrame, m: DataFrame, config: EngineConfig) -> DataFrame:
@@ -112,7 +112,7 @@ def recurrent(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_to
     status = cut(status)
     paths = [start.select("query_id", "node_id", "seed_id", F.col("activation").alias("contribution"), "steps", F.lit(0).alias("step"), F.lit("").alias("generation"))]
     for step in range(1, config.recurrent_steps + 1):
-        running = F.broadcast(status.where("not done").select("query_id"))
+        running = status.where("not done").select("query_id")
         active, rest = state.join(running, "query_id"), state.join(running, "query_id", "left_anti")
         p = cut(_guarded(_proposals(active, edges, config, query_tokens, target_tokens), status, config))
         m = _budgeted(p, config) if strategy == "recurrent_competition" else _competed(p, config)
@@ -136,7 +136,7 @@ def recurrent(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_to
         found = found.unionByName(more)
     act = _sums(state)
     if strategy in ANCHORED:
-        residual = start.join(F.broadcast(status.select("query_id", F.col("steps").alias("n"))), "query_id")
+        residual = start.join(status.select("query_id", F.col("steps").alias("n")), "query_id")
         residual = residual.select("query_id", "node_id", (F.col("activation") * F.pow(F.lit(config.recurrent_decay), F.col("n"))).alias("anchor"))
         left = F.col("activation") - F.coalesce("anchor", F.lit(0.0))
         act = act.join(residual, ["query_id", "node_id"], "left").where(F.col("anchor").isNull() | (left > 1e-15)).select("query_id", "node_id", left.alias("activation"))

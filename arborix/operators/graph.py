@@ -66,7 +66,7 @@ def paths(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_tokens
 def inhibited(sums: DataFrame, config: EngineConfig) -> DataFrame:
     """A share of the greatest activation off all; the strongest few stay, if so set."""
     top = sums.groupBy("query_id").agg(F.max("activation").alias("top"))
-    sums = sums.join(F.broadcast(top), "query_id").withColumn("activation", F.col("activation") - config.inhibition_ratio * F.col("top")).where("activation > 0").drop("top")
+    sums = sums.join(top, "query_id").withColumn("activation", F.col("activation") - config.inhibition_ratio * F.col("top")).where("activation > 0").drop("top")
     if config.inhibition_top_k:
         w = Window.partitionBy("query_id").orderBy(F.desc("activation"), "node_id")
         sums = sums.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.inhibition_top_k).drop("r")

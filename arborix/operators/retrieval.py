@@ -44,11 +44,12 @@ def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Of two vectors of one length, no less than 0; 0 if one has no length."""
+    """Of two vectors, no less than 0; 0 if one is all zeros. Vectors of different sizes are an error."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     dot = add(F.zip_with(a, b, lambda x, y: x * y))
     size = F.sqrt(add(F.transform(a, lambda x: x * x))) * F.sqrt(add(F.transform(b, lambda x: x * x)))
-    return F.when(size > 0, F.greatest(F.lit(0.0), dot / size)).otherwise(0.0)
+    unlike = F.size(a) != F.size(b)
+    return F.when(unlike, F.raise_error(F.lit("vectors of different sizes")).cast("double")).when(size > 0, F.greatest(F.lit(0.0), dot / size)).otherwise(0.0)
 
 
 def entry_scores(sparse: DataFrame, dense: DataFrame | None, config: EngineConfig) -> DataFrame:

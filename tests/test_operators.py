@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborix.config import EngineConfig
 from arborix.operators import feedback, graph, metrics, ranking, retrieval
@@ -58,3 +59,10 @@ def test_replays_and_conflicts(spark):
 def test_pareto_keeps_equals(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 1.0), ("c", 0.5, 1.0)], "id string, x double, y double")
     assert sorted(r.id for r in metrics.pareto(df, ("x", "y")).collect()) == ["a", "b"]
+
+
+def test_cosine_needs_vectors_of_one_size(spark):
+    of = lambda a, b: spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(retrieval.cosine(F.col("a"), F.col("b"))).first()[0]
+    assert of([1.0, 0.0], [1.0, 1.0]) == pytest.approx(0.5**0.5) and of([0.0], [1.0]) == 0.0 and of([1.0], [-1.0]) == 0.0
+    with pytest.raises(Exception, match="different sizes"):
+        of([1.0], [1.0, 2.0])
