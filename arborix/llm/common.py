@@ -78,3 +78,15 @@ def blocks(spark: SparkSession, rows: int, each: int) -> int:
     """A number of buckets that grows with the rows: about ``each`` rows in a bucket, one for each shuffle partition
     at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // each, 1)
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], weight: str, share: int = 1_000) -> DataFrame:
+    """The inner join of left with right, whose keys are distinct and not null and whose column weight holds the number of
+    rows of left that they meet; that column goes. Keys that meet one of share rows or more, of which there are share at
+    most, are looked up in a broadcast, so a hot key stays where it is; the others are shuffled. Both sides are read
+    twice: give tables."""
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * share >= total
+    heavy, light = F.broadcast(right.where(hot).drop(weight)), right.where(~hot).drop(weight)
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(heavy, keys).unionByName(rest.join(light, keys))
