@@ -139,9 +139,9 @@ class Engine:
             raise EngineError("invalid_argument", "a limit is 1 to 100")
         nodes, asked = self._asked(query)
         now = time.time() if now is None else now
-        entry, found = channels.scored(nodes, self._visible(), asked, self.config)
-        trace = self._traced(channels.best(entry, found, self.config, limit), "combined", "final", query, now)
-        live = found.activation.where("activation > 0").select("node_id", F.col("activation").cast("double").alias("value"), F.lit(float(now)).alias("at"))
+        scored = channels.scored(nodes, self._visible(), asked, self.config, limit)
+        trace = self._traced(channels.best(scored, self.config), "combined", "final", query, now)
+        live = scored.found.activation.where("activation > 0").select("node_id", F.col("activation").cast("double").alias("value"), F.lit(float(now)).alias("at"))
         self._add("activations", live, "")
         return trace
 

@@ -37,6 +37,12 @@ def hashed(words: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return v / size if size else v
 
 
+def letters(words: list[str]) -> np.ndarray:
+    """How often each of the letters a to z stands in the words: a plain encoder, whose cosines SQL can compute."""
+    joined = "".join(words)
+    return np.array([joined.count(chr(ord("a") + i)) for i in range(26)], float)
+
+
 def encoded(text: Column, encoder: Callable[[list[str]], np.ndarray] = hashed) -> Column:
     """Vectors of texts, by batches; another encoder of the words can be given."""
 

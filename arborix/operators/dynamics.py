@@ -1,8 +1,10 @@
 """Recurrent spreading of activation: global and local competition, anchored or not, for many queries at once.
 
-Each step is one join of the states with the edges. Competition within a source and sums at a target are aggregates
-that are combined before their shuffle, and the best path of a node is a top-1 that every task takes first, so a hub with
-a third of all edges stays spread. Steps are cut by checkpoints; queries stop one by one."""
+The limit of expansions bounds what a step may cost, and it is used before rows are made: of a source's edges only the
+first targets can ever be walked, and of a query's states only those that the limit reaches in the order of the walk. Edges
+are dealt once, by source and by slices of a bounded size, so a hub with a third of them lies in many tasks, and states come
+to them. What competes (the proposals of one state, or of one query) is bounded by the limit as well. A step writes one
+table, of its messages and its states, and a small one with a row for each query; queries stop one by one."""
 
 from __future__ import annotations
 
@@ -36,67 +38,115 @@ def identity(seed: Column, steps: Column) -> Column:
     return F.concat_ws(">", seed, F.transform(steps, lambda s: s.target_id))
 
 
-def _proposals(state: DataFrame, edges: DataFrame, config: EngineConfig, query_tokens: DataFrame | None, target_tokens: DataFrame | None) -> DataFrame:
-    """What each active state offers to targets that are not on its path."""
-    e = edges.select(F.col("source_id").alias("node_id"), "target_id", "edge_type", "weight", "factuality")
-    p = state.where("activation > 0").join(e, "node_id")
+#: Edges of a slice of a source; digits to which activations and messages count, so equal ones tie whatever was summed first.
+SLICE, DIGITS = 512, 12
+ROW = ["query_id", "node_id", "seed_id", "value", "steps", "from", "copy", "generation", "source_id", "edge_type"]
+
+
+def _descending(text: Column) -> Column:
+    """A text that sorts the other way round."""
+    return F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+@dataclass(frozen=True)
+class Sliced:
+    """edges(node_id, slice, target_id, edge_type, weight, factuality, seen), dealt by node_id and slice; sources(node_id,
+    targets, slices)."""
+
+    edges: DataFrame
+    sources: DataFrame
+
+
+def sliced(edges: DataFrame, config: EngineConfig, target_tokens: DataFrame | None = None) -> Sliced:
+    """The edges that walks can take. Within a state, expansions go by target and type, and a path excludes its own targets
+    only; so of a source the first max_propagation_expansions targets and as many as a path holds are all that count."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    e = edges.select(F.col("source_id").alias("node_id"), "target_id", "edge_type", number("weight"), number("factuality"))
+    gated = config.activation_strategy in GATED
+    if not (gated and config.query_transmission_floor <= 0):  # else a query's gate can be 0, and its edges not count
+        e = e.where(F.col("weight") * F.col("factuality") * config.hop_decay > 0)
+        most = config.max_propagation_expansions + config.recurrent_steps + 1
+        part = Window.partitionBy("node_id", F.pmod(F.xxhash64("target_id"), F.lit(graph.PARTS))).orderBy("target_id")
+        whole = Window.partitionBy("node_id").orderBy("target_id")
+        e = e.withColumn("turn", F.dense_rank().over(part)).where(F.col("turn") <= most).withColumn("turn", F.dense_rank().over(whole)).where(F.col("turn") <= most).drop("turn")
+    if gated:
+        none = F.array().cast("array<string>")
+        e = e.join(target_tokens, "target_id", "left").withColumn("seen", F.concat(F.coalesce("target_tokens", none), tokens(F.col("edge_type")))).drop("target_tokens")
+    e = cut(e)
+    n = e.groupBy("node_id", "target_id").agg(F.count("*").alias("n")).groupBy("node_id").agg(F.count("*").alias("targets"), F.ceil(F.sum("n") / SLICE).alias("slices"))
+    n = cut(n)
+    hubs = n.where("slices > 1").select("node_id", "slices")
+    e = e.join(hubs, "node_id", "left").withColumn("slice", F.pmod(F.xxhash64("target_id", "edge_type"), F.coalesce("slices", F.lit(1)))).drop("slices")
+    return Sliced(cut(e.repartition("node_id", "slice"), dealt=True), n)
+
+
+def _order(config: EngineConfig) -> tuple[str, ...]:
+    """How a query's walk meets its states, before the targets and types of each."""
+    return ("negative", "node_id", "from", "copy") if config.activation_strategy in BY_PATH else ("node_id",)
+
+
+def _walked(state: DataFrame, at: Sliced, config: EngineConfig) -> DataFrame:
+    """The states (with left, the expansions that their query has) that a walk in order comes to, one row for each slice of
+    their edges. A state gives as many expansions as its source has targets, less those on its path, or more; so those
+    after which nothing is left are known without a look at edges."""
+    s = state.where("activation > 0").withColumn("negative", -F.col("activation")).join(at.sources, "node_id")
+    before = Window.partitionBy("query_id").orderBy(*_order(config)).rowsBetween(Window.unboundedPreceding, -1)
+    gives = F.col("targets") - F.size("steps") - 1
+    s = s.withColumn("gone", F.coalesce(F.sum(F.greatest(gives, F.lit(0))).over(before), F.lit(0))).where("gone < left")
+    return s.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("targets", "slices", "gone")
+
+
+def _proposals(state: DataFrame, at: Sliced, config: EngineConfig) -> DataFrame:
+    """What each active state offers to targets that are not on its path, as far as its query's expansions go."""
+    p = _walked(state, at, config).join(at.edges, ["node_id", "slice"])
     p = p.where((F.col("target_id") != F.col("seed_id")) & ~F.array_contains(F.transform("steps", lambda s: s.target_id), F.col("target_id")))
     gate = F.lit(1.0)
     if config.activation_strategy in GATED:
-        p = p.join(query_tokens, "query_id", "left").join(target_tokens, "target_id", "left")
-        none = F.array().cast("array<string>")
-        seen = F.concat(F.coalesce("target_tokens", none), tokens(F.col("edge_type")))
-        gate = query_gate(F.coalesce("query_tokens", none), seen, config.query_transmission_floor, config.query_transmission_power)
-    c = F.col("activation") * F.col("weight") * F.col("factuality") * config.hop_decay * gate
-    step = F.struct(F.col("node_id").alias("source_id"), "target_id", "edge_type", F.col("weight").cast("double").alias("weight"), F.col("factuality").cast("double").alias("factuality"))
-    return p.select("query_id", "node_id", "seed_id", "activation", "from", "copy", "target_id", "edge_type", c.alias("contribution"), gate.alias("relevance"), F.concat("steps", F.array(step)).alias("steps")).where("contribution > 0")
-
-
-def _guarded(p: DataFrame, status: DataFrame, config: EngineConfig) -> DataFrame:
-    """Of each query's proposals, in the order of traversal, those that its remaining expansions allow."""
-    order = ("negative", "node_id", "from", "copy", "target_id", "edge_type") if config.activation_strategy in BY_PATH else ("node_id", "target_id", "edge_type")
-    p = p.withColumn("negative", -F.col("activation"))
-    kept = graph.first_rows(p, order, config.max_propagation_expansions, "turn")
-    left = status.select("query_id", (config.max_propagation_expansions - F.col("expansions")).alias("left"))
-    return kept.join(left, "query_id").where(F.col("turn") <= F.col("left")).drop("turn", "left", "negative")
-
-
-def _competed(p: DataFrame, config: EngineConfig) -> DataFrame:
-    """Competition among the neighbours of one source (of one path, if states are paths)."""
-    key = ["query_id", "node_id", "copy"]
-    top = p.groupBy(*key).agg(F.max("contribution").alias("top"), F.count("*").alias("n"))
-    threshold = F.when(F.col("n") > 1, config.inhibition_ratio * F.col("top")).otherwise(0.0)
-    p = p.join(top, key).withColumn("contribution", F.col("contribution") - threshold).where("contribution > 0").drop("top", "n")
-    total = p.groupBy(*key).agg(F.sum("contribution").alias("total"))
-    scale = F.least(F.lit(1.0), config.activation_budget * F.col("activation") / F.col("total"))
-    return p.join(total, key).withColumn("contribution", F.col("contribution") * scale).drop("total")
-
-
-def _budgeted(p: DataFrame, config: EngineConfig) -> DataFrame:
-    total = p.groupBy("query_id").agg(F.sum("contribution").alias("total"))
-    scale = F.when(F.col("total") > config.activation_budget, config.activation_budget / F.col("total")).otherwise(1.0)
-    return p.join(total, "query_id").withColumn("contribution", F.col("contribution") * scale).drop("total")
-
-
-def _node_states(state: DataFrame, m: DataFrame, config: EngineConfig) -> DataFrame:
-    """One state a node: what is left of the last one and all messages; its path is that of the best message of this step,
-    even if an earlier one was better."""
-    by = F.desc("seed_id") if config.activation_strategy == "recurrent_competition" else F.desc("to")
-    w = Window.partitionBy("query_id", "target_id").orderBy(F.desc("contribution"), by, "node_id", "edge_type")
-    best = m.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", F.col("target_id").alias("node_id"), F.col("seed_id").alias("s"), F.col("steps").alias("p"), F.col("to").alias("f"))
-    sums = m.groupBy("query_id", F.col("target_id").alias("node_id")).agg(F.sum("contribution").alias("got")).join(best, ["query_id", "node_id"])
-    both = state.join(sums, ["query_id", "node_id"], "full")
-    kept = F.coalesce("activation", F.lit(0.0)) * config.recurrent_decay + F.coalesce("got", F.lit(0.0))
-    out = both.select("query_id", "node_id", kept.alias("activation"), F.coalesce("s", "seed_id").alias("seed_id"), F.coalesce("p", "steps").alias("steps"), F.coalesce("f", "from").alias("from"), F.lit(1).alias("copy"))
+        gate = query_gate(F.coalesce("query_tokens", F.array().cast("array<string>")), F.col("seen"), config.query_transmission_floor, config.query_transmission_power)
+    p = p.withColumn("contribution", F.col("activation") * F.col("weight") * F.col("factuality") * config.hop_decay * gate).where("contribution > 0")
+    step = F.struct(F.col("node_id").alias("source_id"), "target_id", "edge_type", "weight", "factuality")
+    p = p.withColumn("steps", F.concat("steps", F.array(step)))
+    return graph.first_rows(p, (*_order(config), "target_id", "edge_type"), config.max_propagation_expansions, "turn").where(F.col("turn") <= F.col("left"))
+
+
+def _messages(p: DataFrame, config: EngineConfig) -> DataFrame:
+    """What arrives of the proposals, as rows; those that lose in the competition have no value. Those of one query, or one
+    state, compete; the limit of expansions bounds them."""
+    c = F.col("contribution")
+    if config.activation_strategy == "recurrent_competition":
+        total = F.sum(c).over(Window.partitionBy("query_id"))
+        value = c * F.when(total > config.activation_budget, config.activation_budget / total).otherwise(1.0)
+    else:
+        w = Window.partitionBy("query_id", "node_id", "copy")
+        p = p.withColumn("rest", c - F.when(F.count("*").over(w) > 1, config.inhibition_ratio * F.max(c).over(w)).otherwise(0.0))
+        rest = F.when(F.col("rest") > 0, F.col("rest"))
+        value = rest * F.least(F.lit(1.0), config.activation_budget * F.col("activation") / F.sum(rest).over(w))
+    p = p.withColumn("value", F.round(value, DIGITS))
+    made = F.concat_ws("\0", "node_id", "target_id", "edge_type").alias("generation")
+    return p.select("query_id", F.col("target_id").alias("node_id"), "seed_id", "value", "steps", identity(F.col("seed_id"), F.col("steps")).alias("from"), F.lit(1).alias("copy"), made, F.col("node_id").alias("source_id"), "edge_type")
+
+
+def _as_rows(state: DataFrame, config: EngineConfig) -> DataFrame:
+    """What is left of states, in the form of messages."""
+    left = F.round(F.col("activation") * config.recurrent_decay, DIGITS)
+    return state.select("query_id", "node_id", "seed_id", left.alias("value"), "steps", "from", F.lit(1).alias("copy"), F.lit(None).cast("string").alias("generation"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("edge_type"))
+
+
+def _node_states(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    """One state a node: the sum of what is left of the last one and of all messages; its path is that of the best message of
+    this step, even if an earlier one was better. One aggregate, which every task begins."""
+    by = "seed_id" if config.activation_strategy == "recurrent_competition" else "from"
+    best = F.struct(F.col("generation").isNotNull().alias("fresh"), F.col("value").alias("v"), F.col(by).alias("b"), _descending(F.coalesce("source_id", F.lit(""))).alias("n"), _descending(F.coalesce("edge_type", F.lit(""))).alias("t"), "seed_id", "steps", "from")
+    out = rows.groupBy("query_id", "node_id").agg(F.round(F.sum("value"), DIGITS).alias("activation"), F.max(best).alias("x"))
+    out = out.select("query_id", "node_id", "activation", "x.seed_id", "x.steps", "x.from", F.lit(1).alias("copy"))
     return graph.inhibited(out, config) if config.activation_strategy == "recurrent_competition" else out.where("activation > 0")
 
 
-def _path_states(state: DataFrame, m: DataFrame, config: EngineConfig) -> DataFrame:
+def _path_states(rows: DataFrame, config: EngineConfig) -> DataFrame:
     """A state for each arrival by a path, of each node the strongest ones; a path that is walked anew is one more state."""
-    old = state.withColumn("activation", F.col("activation") * config.recurrent_decay).where("activation > 0").drop("copy")
-    new = m.select("query_id", F.col("target_id").alias("node_id"), F.col("contribution").alias("activation"), "seed_id", "steps", F.col("to").alias("from"))
-    w = Window.partitionBy("query_id", "node_id").orderBy(F.desc("activation"), "from", F.to_json("steps"))
-    return old.unionByName(new).withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= config.max_active_paths_per_node)
+    w = Window.partitionBy("query_id", "node_id").orderBy(F.desc("value"), "from", F.to_json("steps"))
+    out = rows.where("value > 0").withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= config.max_active_paths_per_node)
+    return out.select("query_id", "node_id", F.col("value").alias("activation"), "seed_id", "steps", "from", "copy")
 
 
 def _sums(state: DataFrame) -> DataFrame:
@@ -106,46 +156,55 @@ def _sums(state: DataFrame) -> DataFrame:
 def recurrent(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_tokens: DataFrame | None = None, target_tokens: DataFrame | None = None) -> Propagation:
     """Spreads seeds(query_id, node_id, entry) for recurrent_steps or until nothing moves by more than the tolerance."""
     strategy, by_path = config.activation_strategy, config.activation_strategy in BY_PATH
+    at = sliced(edges, config, target_tokens)
     start = seeds.select("query_id", "node_id", F.col("entry").cast("double").alias("activation"), F.col("node_id").alias("seed_id"), F.array().cast(f"array<{STEP}>").alias("steps"), F.col("node_id").alias("from"), F.lit(1).alias("copy"))
     state = start = cut(start)
     status = start.groupBy("query_id").agg(F.lit(0).alias("steps"), F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("converged"), F.lit(False).alias("done"), F.lit("recurrent_step_limit").alias("stop_reason"))
     status = cut(status)
     paths = [start.select("query_id", "node_id", "seed_id", F.col("activation").alias("contribution"), "steps", F.lit(0).alias("step"), F.lit("").alias("generation"))]
+    states = []
     for step in range(1, config.recurrent_steps + 1):
-        running = status.where("not done").select("query_id")
-        active, rest = state.join(running, "query_id"), state.join(running, "query_id", "left_anti")
-        p = cut(_guarded(_proposals(active, edges, config, query_tokens, target_tokens), status, config))
-        m = _budgeted(p, config) if strategy == "recurrent_competition" else _competed(p, config)
-        m = cut(m.withColumn("to", identity(F.col("seed_id"), F.col("steps"))))
-        now = cut((_path_states if by_path else _node_states)(active, m, config))
-        made = F.concat_ws("\0", "node_id", "target_id", "edge_type")
-        paths.append(m.select("query_id", F.col("target_id").alias("node_id"), "seed_id", "contribution", "steps", F.lit(step).alias("step"), made.alias("generation")))
-        a, b = _sums(active).withColumnRenamed("activation", "a"), _sums(now).withColumnRenamed("activation", "b")
-        moved = a.join(b, ["query_id", "node_id"], "full").groupBy("query_id").agg(F.max(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("delta"))
-        spent = p.groupBy("query_id").agg(F.count("*").alias("n"))
+        running = status.where("not done").select("query_id", (config.max_propagation_expansions - F.col("expansions")).alias("left"))
+        active = state.join(running, "query_id")
+        sent = active.join(query_tokens, "query_id", "left") if strategy in GATED else active
+        m = _messages(_proposals(sent, at, config), config)
+        rows = _as_rows(active, config).unionByName(m.where("value is not null"))
+        now = (_path_states if by_path else _node_states)(rows, config)
+        kept = now.select("query_id", "node_id", "seed_id", F.col("activation").alias("value"), "steps", "from", "copy", *(F.lit(None).cast("string").alias(c) for c in ROW[-3:]))
+        both = cut(m.unionByName(kept))
+        m, state = both.where("generation is not null"), both.where("generation is null").withColumnRenamed("value", "activation").drop(*ROW[-3:])
+        states.append(state)
+        paths.append(m.where("value is not null").select("query_id", "node_id", "seed_id", F.col("value").alias("contribution"), "steps", F.lit(step).alias("step"), "generation"))
+        moved = active.select("query_id", "node_id", (-F.col("activation")).alias("activation")).unionByName(state.select("query_id", "node_id", "activation"))
+        moved = _sums(moved).groupBy("query_id").agg(F.max(F.abs("activation")).alias("delta"))
+        spent = m.groupBy("query_id").agg(F.count("*").alias("n"))
         s = status.join(moved, "query_id", "left").join(spent, "query_id", "left")
         total = F.col("expansions") + F.coalesce("n", F.lit(0))
         full, still, go = total >= config.max_propagation_expansions, F.coalesce("delta", F.lit(0.0)) <= config.convergence_tolerance, ~F.col("done")
         why = F.when(go & still, "converged").when(go & full, "max_expansions").otherwise(F.col("stop_reason"))
         status = cut(s.select("query_id", F.when(go, step).otherwise(F.col("steps")).alias("steps"), F.when(go, total).otherwise(F.col("expansions")).alias("expansions"), (F.col("converged") | (go & still)).alias("converged"), (F.col("done") | still | full).alias("done"), why.alias("stop_reason")))
-        state = cut(rest.unionByName(now))
         if status.where("not done").isEmpty():
             break
     found = paths[0]
     for more in paths[1:]:
         found = found.unionByName(more)
-    act = _sums(state)
+    ended = status.select("query_id", F.col("steps").alias("last"))
+    last = None
+    for i, x in enumerate(states, 1):  # a query's states are those of the step at which it ended
+        x = x.join(ended.where(F.col("last") == i).select("query_id"), "query_id", "left_semi")
+        last = x if last is None else last.unionByName(x)
+    act = _sums(last)
     if strategy in ANCHORED:
         residual = start.join(status.select("query_id", F.col("steps").alias("n")), "query_id")
         residual = residual.select("query_id", "node_id", (F.col("activation") * F.pow(F.lit(config.recurrent_decay), F.col("n"))).alias("anchor"))
-        left = F.col("activation") - F.coalesce("anchor", F.lit(0.0))
-        act = act.join(residual, ["query_id", "node_id"], "left").where(F.col("anchor").isNull() | (left > 1e-15)).select("query_id", "node_id", left.alias("activation"))
+        left = F.round(F.col("activation") - F.coalesce("anchor", F.lit(0.0)), DIGITS)
+        act = act.join(residual, ["query_id", "node_id"], "left").where(F.col("anchor").isNull() | (left > 0)).select("query_id", "node_id", left.alias("activation"))
         found = found.where("step > 0")
     live = found.groupBy("query_id").agg(F.count("*").alias("all_paths"), F.countDistinct("node_id").alias("nodes"))
     total = act.groupBy("query_id").agg(F.sum("activation").alias("activation_total"))
     d = status.join(total, "query_id", "left").join(live, "query_id", "left")
     if by_path:
-        d = d.join(state.groupBy("query_id").agg(F.count("*").alias("states")), "query_id", "left")
+        d = d.join(last.groupBy("query_id").agg(F.count("*").alias("states")), "query_id", "left")
     n = F.col("all_paths" if strategy in ANCHORED else "states" if by_path else "nodes")
     d = d.select("query_id", "steps", "expansions", F.coalesce("activation_total", F.lit(0.0)).alias("activation_total"), "converged", "stop_reason", F.coalesce(n, F.lit(0)).alias("active_path_count"))
     return Propagation(act, found, d)

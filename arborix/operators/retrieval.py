@@ -25,11 +25,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, node_id, score of the nodes that hold a term of the query.
+def term_weights(nodes: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of all terms that are asked for, by node; and query_id, term, weight, mean: what a term weighs in each
+    query, a small table.
 
     Texts are read and split once: only the terms that are asked for leave the scan, counted by node, and with them an
-    empty term for each node, which corpus statistics come from. What a term weighs in each query is one small table."""
+    empty term for each node, which corpus statistics come from."""
     asked = query_terms(queries)
     wanted = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))
     base = nodes.select("node_id", tokens(F.col("text")).alias("terms"))
@@ -38,7 +39,12 @@ def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg(F.when(F.col("dl") >= 0, F.col("dl"))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(document_frequencies(posts.where("term <> ''")), "term").join(F.broadcast(stats))  # stats: one row
-    weights = weights.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
+    return posts, weights.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
+
+
+def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, node_id, score of the nodes that hold a term of the query."""
+    posts, weights = term_weights(nodes, queries)
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return posts.join(weights, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score"))
 

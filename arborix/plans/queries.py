@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import redacted
-from ..operators import feedback, graph, metrics, ranking, retrieval
+from ..operators import dense, feedback, graph, metrics, ranking, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,15 +73,14 @@ def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(retrieval.bm25(text_nodes(spark, sf_dir), asked(spark)), "score", 10).select("node_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS node_id, round(greatest(0, list_cosine_similarity(v.v, q.v)), 9) AS score FROM v, v q WHERE q.vec_id % 20 = 0)
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS node_id, round(greatest(0, list_cosine_similarity(v.v, q.v)), 12) AS score FROM v, v q WHERE q.vec_id % 20 = 0)
 SELECT query_id, node_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INTEGER) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
 def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest by cosine of every twentieth vector. The queries are a stated set; each task keeps its ten best
-    of each before they are ranked."""
+    """The ten nearest by cosine of every twentieth vector: blocks of queries, matrix products, ten a task and query."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("v"))
     q = v.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), F.col("v").alias("q"))
-    scored = v.join(q).select("query_id", "node_id", F.round(retrieval.cosine(F.col("v"), F.col("q")), 9).alias("score"))
-    return ranking.top(scored, "score", 10).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
+    found = dense.nearest(v, q, 10)
+    return ranking.top(found, "score", 10).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     """The same rows, written to spark.checkpoint.dir, which executors share and which outlives any of them. A session
-    that names no folder must run on one machine, as in tests, and gets a temporary one."""
+    that names no folder must run on one machine, as in tests, and gets a temporary one.
+
+    dealt: joins on the keys that df was repartitioned by find it so, and don't shuffle it again. Spark forgets that of plans
+    that it adapts, so this one is not adapted."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
+    if not dealt:
+        return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
