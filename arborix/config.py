@@ -24,7 +24,7 @@ STRATEGIES = (
 )
 
 
-#: Settings of feedback, and those of them that count only while their policy is on; fixed values.
+#: Settings of feedback; `effective` leaves out those whose policy is off. Names are fixed values.
 FEEDBACK = (
     "feedback_learning_rate",
     "sibling_feedback_normalization",

@@ -276,7 +276,8 @@ class Engine:
 
         An add or an update sets all relations(target_id, relation_type); their targets must be there. To supersede needs
         the successor's id, text and relations: it is added, with a relation to its predecessor. A judgment that others
-        relate to can't be deleted."""
+        relate to can't be deleted. What writes a text needs provenance, so that all that is written can be imported; all
+        but an add need the revision that they build on, so that a stale writer is refused."""
 
         def refuse(bad: bool, why: str) -> None:
             if bad:
@@ -288,6 +289,8 @@ class Engine:
         refuse(action not in ("add", "update", "supersede", "archive", "restore", "delete"), "unknown_action")
         refuse(subject is None or subject == judgment_id and action == "supersede", "successor_needed")
         refuse(writes and not (statement.strip() and rationale.strip()), "text_needed")
+        refuse(writes and not provenance, "provenance_needed")
+        refuse(action != "add" and expected_revision is None, "revision_needed")
         refuse(not re.fullmatch(judgments.ID, subject), "invalid_identity")
         refuse(len(found) < len(relations) or any(t == subject for t, _ in found), "invalid_relation")
         refuse(not all(re.fullmatch(judgments.ID, t) and re.fullmatch(judgments.RELATION, k) for t, k in found), "invalid_relation")

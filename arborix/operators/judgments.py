@@ -18,10 +18,11 @@ RECORD = f"judgment_id string, revision int, statement string, rationale string,
 def replayed(events: DataFrame) -> DataFrame:
     """events(judgment_id, seq, action, expected_revision, statement, rationale) with revision, lifecycle and reject_code.
 
-    An add or an import begins a judgment, an import at expected_revision; the others need the revision that they name, if
-    they name one, and updates an active one; archive and restore must change something; a superseded judgment can be
-    neither changed nor restored; only archived ones can be deleted, and then added anew. What an event may do depends on accepted ones before it, so each judgment's history is one array, folded with
-    built-in functions; a judgment has few events."""
+    An add or an import begins a judgment, an import at expected_revision; the others must name the current revision (a
+    null is a conflict), and updates need an active one; archive and restore must change something; a superseded judgment
+    can be neither changed nor restored; only archived ones can be deleted, and then added anew. What an event may do
+    depends on accepted ones before it, so each judgment's history is one array, folded with built-in functions; a
+    judgment has few events."""
     line = F.struct("seq", "action", "expected_revision", "statement", "rationale")
     state = "struct<revision:int,lifecycle:string,out:array<struct<seq:bigint,reject_code:string,revision:int,lifecycle:string>>>"
 
@@ -33,7 +34,7 @@ def replayed(events: DataFrame) -> DataFrame:
             .when(~begins & (life == "absent"), "unknown_judgment")
             .when((life == "superseded") & ~begins, "superseded")
             .when(a.isin("update", "supersede") & ~live, "not_active")
-            .when(~begins & e.expected_revision.isNotNull() & (e.expected_revision != s.revision), "revision_conflict")
+            .when(~begins & ~F.coalesce(e.expected_revision == s.revision, F.lit(False)), "revision_conflict")
             .when((a == "archive") & ~live | (a == "restore") & (life != "archived"), "no_change")
             .when((a == "delete") & (life != "archived"), "not_archived")
         )

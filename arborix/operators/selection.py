@@ -22,21 +22,23 @@ def _rows(one: DataFrame, gates: list[str], *keys: str) -> DataFrame:
     return one.select(*keys, F.inline(line))
 
 
-def channel_gates(cases: DataFrame, feedback: DataFrame) -> DataFrame:
+def channel_gates(cases: DataFrame, feedback: DataFrame, limit: int = 10) -> DataFrame:
     """experiment, gate, passed of cases(experiment, cohort, lexical_rank, relation_rank, bm25_rank, acceptable_rank,
     lexical_parity, relation_parity, path_matched, no_combined_result, traces_share_query, edges_unchanged, deterministic)
     and feedback(experiment, lexical_isolated, relation_isolated, misuse_rejected), one row for each experiment; without
-    that row, its three gates fail."""
+    that row, its three gates fail. A null rank (the node is not among the hits) counts as limit + 1; a null
+    acceptable_rank accepts nothing."""
     rel, control = F.col("cohort") == "relation", F.col("cohort").isin(*CONTROLS)
-    mrr = lambda c: F.avg(F.when(rel, 1 / F.col(c)))
-    better = F.coalesce(F.bool_or(rel & (F.col("relation_rank") < F.col("bm25_rank"))), F.lit(False))
-    kept = (F.col("lexical_rank") <= F.col("bm25_rank")) & (F.col("lexical_rank") <= F.col("acceptable_rank"))
+    lexical, relation, bm25 = (F.coalesce(F.col(f"{c}_rank"), F.lit(limit + 1)) for c in ("lexical", "relation", "bm25"))
+    mrr = lambda c: F.avg(F.when(rel, 1 / c))
+    better = F.coalesce(F.bool_or(rel & (relation < bm25)), F.lit(False))
+    kept = (lexical <= bm25) & (lexical <= F.col("acceptable_rank"))
     # Names and order of the gates are fixed values.
     own = {
         "lexical_lane_matches_isolated_bm25": _all(F.col("lexical_parity")),
         "lexical_controls_do_not_regress": _all(kept, control),
         "relation_lane_matches_isolated_anchored_graph": _all(F.col("relation_parity")),
-        "relation_strictly_improves_bm25": better & F.coalesce(mrr("relation_rank") > mrr("bm25_rank"), F.lit(False)),
+        "relation_strictly_improves_bm25": better & F.coalesce(mrr(relation) > mrr(bm25), F.lit(False)),
         "relation_paths_match_and_exclude_zero_hop": _all(F.col("path_matched"), rel),
         "no_cross_lane_combined_result": _all(F.col("no_combined_result")),
         "independent_trace_ids_share_query": _all(F.col("traces_share_query")),

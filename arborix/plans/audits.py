@@ -77,11 +77,47 @@ def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgment_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as revisions; the current one of each."""
     c = table(spark, sf_dir, "conversations")
-    first = F.min("turn").over(judgments.Window.partitionBy("conv_id"))
-    e = c.select(F.col("conv_id").alias("judgment_id"), F.col("turn").cast("long").alias("seq"), F.when(F.col("turn") == first, "add").otherwise("update").alias("action"), F.lit(None).cast("int").alias("expected_revision"), F.col("text").alias("statement"), F.lit("").alias("rationale"))
+    n = F.row_number().over(judgments.Window.partitionBy("conv_id").orderBy("turn"))
+    e = c.withColumn("n", n).select(F.col("conv_id").alias("judgment_id"), F.col("turn").cast("long").alias("seq"), F.when(F.col("n") == 1, "add").otherwise("update").alias("action"), (F.col("n") - 1).cast("int").alias("expected_revision"), F.col("text").alias("statement"), F.lit("").alias("rationale"))
     return judgments.current(judgments.replayed(e)).select("judgment_id", "revision", "lifecycle", F.sha2(F.col("statement").cast("binary"), 256).alias("statement_sha256"))
 
 
+HISTORIES = """WITH RECURSIVE t AS (SELECT conv_id AS c, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+e AS (SELECT c, turn, n, CASE WHEN n = 1 THEN 'add' ELSE ['update', 'archive', 'update', 'restore', 'delete', 'add', 'supersede', 'delete'][1 + (c * 5 + n * 3) % 8] END AS a, CASE WHEN (c + n) % 6 <> 0 THEN 1 + (c * 3 + n) // 2 % 2 END AS x FROM t),
+s AS (SELECT DISTINCT c, 0::BIGINT AS n, '' AS a, NULL::VARCHAR AS code, 0::BIGINT AS rev, 'absent' AS life FROM t UNION ALL
+  SELECT c, n, a, code, CASE WHEN code IS NOT NULL THEN rev WHEN a = 'add' THEN 1 WHEN a = 'update' THEN rev + 1 ELSE rev END,
+    CASE WHEN code IS NOT NULL THEN life WHEN a IN ('add', 'restore') THEN 'active' WHEN a = 'archive' THEN 'archived' WHEN a = 'supersede' THEN 'superseded' WHEN a = 'delete' THEN 'absent' ELSE life END
+  FROM (SELECT e.c, e.n, e.a, s.rev, s.life, CASE WHEN e.a = 'add' THEN CASE WHEN life <> 'absent' THEN 'already_exists' END WHEN life = 'absent' THEN 'unknown_judgment' WHEN life = 'superseded' THEN 'superseded'
+    WHEN e.a IN ('update', 'supersede') AND life <> 'active' THEN 'not_active' WHEN x IS DISTINCT FROM rev THEN 'revision_conflict' WHEN e.a = 'archive' AND life <> 'active' OR e.a = 'restore' AND life <> 'archived' THEN 'no_change'
+    WHEN e.a = 'delete' AND life <> 'archived' THEN 'not_archived' END AS code FROM s JOIN e ON e.c = s.c AND e.n = s.n + 1)),
+d AS (SELECT s.*, e.turn FROM s JOIN e USING (c, n))
+"""
+
+
+def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events of all kinds, many of which are refused: wrong or missing revisions, and what a lifecycle forbids."""
+    c, n = F.col("conv_id"), F.col("n")
+    e = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(judgments.Window.partitionBy("conv_id").orderBy("turn")))
+    kinds = F.array(*map(F.lit, ("update", "archive", "update", "restore", "delete", "add", "supersede", "delete")))
+    action = F.when(n == 1, "add").otherwise(F.get(kinds, ((c * 5 + n * 3) % 8).cast("int")))
+    expected = F.when((c + n) % 6 != 0, 1 + F.floor((c * 3 + n) / 2) % 2).cast("int")
+    link = F.array(F.struct((c + n).cast("string").alias("target_id"), F.lit("supports").alias("relation_type")))
+    e = e.select(c.alias("judgment_id"), F.col("turn").cast("long").alias("seq"), action.alias("action"), expected.alias("expected_revision"), F.col("text").alias("statement"), F.lit("").alias("rationale"), link.alias("relations"))
+    return judgments.replayed(e)
+
+
+@query(HISTORIES + "SELECT c AS judgment_id, CAST(turn AS BIGINT) AS seq, a AS action, code AS reject_code, CAST(rev AS INTEGER) AS revision, life AS lifecycle FROM d")
+def judgment_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each event of a history, by the accepted ones before it."""
+    return _histories(spark, sf_dir).select("judgment_id", "seq", "action", "reject_code", "revision", "lifecycle")
+
+
+@query(HISTORIES + ", w AS (SELECT c, max(n) AS n FROM d WHERE code IS NULL AND a IN ('add', 'update') GROUP BY c), z AS (SELECT c, arg_max(life, n) AS life FROM d GROUP BY c) SELECT c AS source_id, CAST(c + n AS VARCHAR) AS target_id, 'supports' AS relation_type FROM w JOIN z USING (c) WHERE life <> 'absent'")
+def judgment_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations that the last accepted text of each judgment has, if the judgment is still there."""
+    return judgments.relations(_histories(spark, sf_dir))
+
+
 @query("""WITH n AS (SELECT DISTINCT conv_id AS c FROM conversations), j AS (SELECT c, CASE WHEN c % 7 = 3 THEN 'C' ELSE 'c' END || c AS id, 'c' || (c + 1) AS nxt FROM n),
 r AS (SELECT id, nxt AS t, 'next' AS k, CASE WHEN c % 19 = 1 THEN 2 ELSE 1 END AS n FROM j UNION ALL SELECT id, id, 'Same', 1 FROM j WHERE c % 17 = 2)
 SELECT 'invalid_identity' AS reason, id FROM j WHERE c % 7 = 3 UNION ALL SELECT 'invalid_revision', id FROM j WHERE c % 5 = 0 UNION ALL SELECT 'invalid_lifecycle', id FROM j WHERE c % 11 = 4

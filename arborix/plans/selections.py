@@ -63,16 +63,16 @@ def node_first_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.selection_gates(selection.decided(v, c, True), v, True)
 
 
-@query("""WITH c AS (SELECT doc_id % 97 AS x, doc_id AS d, CASE WHEN quality = 1 THEN 'direct_lookup' ELSE 'relation' END AS cohort, 1 + doc_id % 3 AS l, 1 + doc_id % 4 AS r, 1 + doc_id % 5 AS b FROM labels),
+@query("""WITH c AS (SELECT doc_id % 97 AS x, doc_id AS d, CASE WHEN quality = 1 THEN 'direct_lookup' ELSE 'relation' END AS cohort, CASE WHEN doc_id % 23 <> 3 THEN 1 + doc_id % 3 ELSE 11 END AS l, CASE WHEN doc_id % 11 <> 4 THEN 1 + doc_id % 4 ELSE 11 END AS r, CASE WHEN doc_id % 7 <> 5 THEN 1 + doc_id % 5 ELSE 11 END AS b FROM labels),
 g AS (SELECT x, bool_and(d % 41 <> 1) AS g1, bool_and(cohort = 'relation' OR l <= b AND l <= 2) AS g2, bool_and(d % 37 <> 2) AS g3, bool_or(cohort = 'relation' AND r < b) AND coalesce(avg(1.0 / r) FILTER (cohort = 'relation') > avg(1.0 / b) FILTER (cohort = 'relation'), false) AS g4,
   bool_and(cohort <> 'relation' OR d % 29 <> 3) AS g5, bool_and(d % 53 <> 4) AS g6, bool_and(d % 59 <> 5) AS g7, bool_and(d % 43 <> 5) AS g8, x % 5 <> 0 AND x % 8 <> 7 AS g9, x % 7 <> 0 AND x % 8 <> 7 AS g10, x % 8 <> 7 AS g11, bool_and(d % 47 <> 6) AS g12 FROM c GROUP BY x)
 SELECT x AS experiment, unnest(['lexical_lane_matches_isolated_bm25', 'lexical_controls_do_not_regress', 'relation_lane_matches_isolated_anchored_graph', 'relation_strictly_improves_bm25', 'relation_paths_match_and_exclude_zero_hop', 'no_cross_lane_combined_result', 'independent_trace_ids_share_query', 'search_does_not_change_edges', 'lexical_success_does_not_change_edges', 'relation_success_changes_only_credited_edges', 'cross_lane_trace_misuse_rejected', 'deterministic_lane_results']) AS gate, unnest([g1, g2, g3, g4, g5, g6, g7, g8, g9, g10, g11, g12]) AS passed FROM g""")
 def channel_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve gates of both channels; some experiments have no feedback."""
+    """The twelve gates of both channels; some cases have no rank in a channel, some experiments no feedback."""
     c = _cases(spark, sf_dir)
     d, x = F.col("case_id"), F.col("experiment")
-    rank = lambda n: (1 + d % n).cast("int")
+    rank = lambda n, every, at: F.when(d % every != at, (1 + d % n).cast("int"))
     flags = {"lexical_parity": d % 41 != 1, "relation_parity": d % 37 != 2, "path_matched": d % 29 != 3, "no_combined_result": d % 53 != 4, "traces_share_query": d % 59 != 5, "deterministic": d % 47 != 6}
-    cases = c.withColumns({"lexical_rank": rank(3), "relation_rank": rank(4), "bm25_rank": rank(5), "acceptable_rank": F.lit(2)} | flags)
+    cases = c.withColumns({"lexical_rank": rank(3, 23, 3), "relation_rank": rank(4, 11, 4), "bm25_rank": rank(5, 7, 5), "acceptable_rank": F.lit(2)} | flags)
     fed = c.select("experiment").distinct().where(x % 8 != 7).select("experiment", (x % 5 != 0).alias("lexical_isolated"), (x % 7 != 0).alias("relation_isolated"), F.lit(True).alias("misuse_rejected"))
     return selection.channel_gates(cases, fed)

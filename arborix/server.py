@@ -16,7 +16,7 @@ TOOLS = {
     "search": {"query": (True, TEXT | {"maxLength": 8192}), "limit": (False, {"type": "integer", "minimum": 1, "maximum": 100})},
     "record_source_use": {"idempotency_key": (True, TEXT), "trace_id": (True, TEXT), "events": (True, {"type": "array", "items": EVENT, "minItems": 1, "maxItems": 100})},
     "record_outcome": {"idempotency_key": (True, TEXT), "trace_id": (True, TEXT), "used_node_ids": (True, {"type": "array", "items": TEXT, "minItems": 1, "maxItems": 100}), "status": (True, {"enum": list(OUTCOMES)}), "summary": (False, {"type": "string", "maxLength": 2000})},
-    "write_judgment": {"judgment_id": (True, TEXT), "action": (True, {"enum": ["add", "update", "supersede", "archive", "restore", "delete"]}), "statement": (False, {"type": "string"}), "rationale": (False, {"type": "string"}), "expected_revision": (False, {"type": "integer", "minimum": 1}), "relations": (False, {"type": "array", "items": RELATION, "maxItems": 100}), "successor_id": (False, TEXT)},
+    "write_judgment": {"judgment_id": (True, TEXT), "action": (True, {"enum": ["add", "update", "supersede", "archive", "restore", "delete"]}), "statement": (False, {"type": "string"}), "rationale": (False, {"type": "string"}), "expected_revision": (False, {"type": "integer", "minimum": 1}), "relations": (False, {"type": "array", "items": RELATION, "maxItems": 100}), "successor_id": (False, TEXT), "provenance": (False, {"type": "array", "items": RELATION, "minItems": 1, "maxItems": 100})},
 }
 KINDS = {"string": str, "integer": int, "array": list}
 
@@ -57,7 +57,7 @@ def call(engine: Engine, tool: str, given: dict) -> dict:
         return engine.record_source_use(given["idempotency_key"], given["trace_id"], [tuple(e) for e in given["events"]])
     if tool == "record_outcome":
         return engine.record_outcome(given["idempotency_key"], given["trace_id"], given["used_node_ids"], given["status"], given.get("summary", ""))
-    row = engine.write_judgment(given["judgment_id"], given["action"], given.get("statement", ""), given.get("rationale", ""), given.get("expected_revision"), [tuple(r) for r in given.get("relations", ())], successor_id=given.get("successor_id"))
+    row = engine.write_judgment(given["judgment_id"], given["action"], given.get("statement", ""), given.get("rationale", ""), given.get("expected_revision"), [tuple(r) for r in given.get("relations", ())], dict(map(tuple, given.get("provenance", ()))) or None, given.get("successor_id"))
     return {"judgment": None if row is None else row.asDict()}
 
 

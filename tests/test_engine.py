@@ -9,6 +9,8 @@ from arborix.sources import files
 DOCS = [("source", "retry rules of payments", 1.0, {}), ("used", "a code change", 1.0, {}), ("unused", "a chart", 1.0, {})]
 LINKS = [("source", "used", "leads", 0.5, 0.8, 0), ("source", "unused", "leads", 0.4, 0.7, 0)]
 
+FROM = {"from": "a meeting"}
+
 
 @pytest.fixture
 def engine(spark, tmp_path):
@@ -57,21 +59,26 @@ def test_use_outcome_and_replay(engine):
 
 
 def test_judgments(engine):
-    made = engine.write_judgment("j1", "add", "retry five times", "it failed less")
+    made = engine.write_judgment("j1", "add", "retry five times", "it failed less", provenance=FROM)
     assert (made.revision, made.lifecycle) == (1, "active")
     assert "j1" in {h.node_id for h in engine.search("failed less", 5, now=0.0).hits}
+    with pytest.raises(EngineError, match="provenance_needed"):
+        engine.write_judgment("j0", "add", "x", "y")
+    for action in ("update", "supersede", "archive", "restore", "delete"):
+        with pytest.raises(EngineError, match="revision_needed"):
+            engine.write_judgment("j1", action, "x", "y", provenance=FROM, successor_id="j9")
     with pytest.raises(EngineError, match="revision_conflict"):
-        engine.write_judgment("j1", "update", "x", "y", 3)
+        engine.write_judgment("j1", "update", "x", "y", 3, provenance=FROM)
     with pytest.raises(EngineError, match="unknown_target"):
-        engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("nobody", "supports")])
-    engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("j1", "supports")])
+        engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("nobody", "supports")], provenance=FROM)
+    engine.write_judgment("j2", "add", "use a queue", "bursts", relations=[("j1", "supports")], provenance=FROM)
     assert ("j2", "j1", "supports", 1.0) in {(e.source_id, e.target_id, e.edge_type, e.weight) for e in engine.edges().collect()}
     with pytest.raises(EngineError, match="already_exists"):
-        engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j2")
-    heir = engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j3")
+        engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j2", provenance=FROM)
+    heir = engine.write_judgment("j1", "supersede", "retry six times", "less still", 1, successor_id="j3", provenance=FROM)
     assert (heir.judgment_id, heir.revision, heir.lifecycle) == ("j3", 1, "active")
     assert {tuple(r) for r in engine.relations().collect()} == {("j2", "j1", "supports"), ("j3", "j1", "supersedes")}
-    engine.write_judgment("j2", "update", "use a queue", "bursts, mostly", 1, relations=[("j3", "supports")])
+    engine.write_judgment("j2", "update", "use a queue", "bursts, mostly", 1, relations=[("j3", "supports")], provenance=FROM)
     engine.write_judgment("j3", "archive", expected_revision=1)
     with pytest.raises(EngineError, match="still_related"):
         engine.write_judgment("j3", "delete", expected_revision=1)
@@ -79,7 +86,7 @@ def test_judgments(engine):
 
 def test_judgments_go_out_and_in(spark, engine, tmp_path):
     engine.write_judgment("a", "add", "s", "r", relations=[], provenance={"from": "x"})
-    engine.write_judgment("a", "supersede", "t", "r", successor_id="b", provenance={"from": "y"})
+    engine.write_judgment("a", "supersede", "t", "r", 1, successor_id="b", provenance={"from": "y"})
     out = engine.export_judgments()
     rows = sorted(map(str, out.collect()))
     assert {(r.judgment_id, r.lifecycle, r.superseded_by) for r in out.collect()} == {("a", "archived", "b"), ("b", "active", None)}
@@ -91,7 +98,7 @@ def test_judgments_go_out_and_in(spark, engine, tmp_path):
     with pytest.raises(EngineError, match="dangling_relation"):
         Engine(spark, str(tmp_path / "third")).import_judgments(out.where("judgment_id = 'b'"))
     with pytest.raises(EngineError, match="superseded"):
-        other.write_judgment("a", "restore")
+        other.write_judgment("a", "restore", expected_revision=1)
     other.backup(str(tmp_path / "copy"))
     assert sorted(map(str, Engine(spark, str(tmp_path / "copy")).export_judgments().collect())) == rows
     with pytest.raises(FileExistsError):
