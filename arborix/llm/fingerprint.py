@@ -67,6 +67,20 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     return following.where(~F.col("later")).drop("later"), last + 1
 
 
+def _bits(marks: DataFrame) -> DataFrame:
+    """blk and marked, the marks of each block as bitmaps of 32,768 bits, in order; a block needs few of them."""
+    one = marks.groupBy("blk", F.bitmap_bucket_number("mark").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    return one.groupBy("blk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marked"))
+
+
+def _has_bit(mark: Column) -> Column:
+    """Whether a mark stands in marked; the cost doesn't depend on how many marks there are in its bitmap."""
+    place = F.bitmap_bit_position(mark)
+    own = F.get(F.filter("marked", lambda x: x["bucket"] == F.bitmap_bucket_number(mark)), 0)["bits"]
+    byte = F.conv(F.hex(F.substring(own, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its digest, that of its edited text, and how these and the next document's agree.
 
@@ -75,8 +89,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text), so fingerprints are equal exactly if canonical texts are.
 
     The texts are shuffled once, by block. All else that is shuffled are hashes, and the texts of rows whose hash
-    occurs twice, folded into one row per distinct text by each task; the marks on such rows come back as a list for
-    each block, to where the block's texts lie.
+    occurs twice, folded into one row per distinct text by each task; the marks on such rows come back as bitmaps of
+    each block, to where the block's texts lie. Suffixes come back as a list, which is empty but for clashes of 128 bits.
 
     Null texts are empty texts. Null doc_ids come first in order; rows that share a doc_id are ordered by text. One
     row alone is its own next. An empty table gives no rows; other columns are not read. Texts differ or agree as a
@@ -89,8 +103,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = base.withColumns({"e1": e1, "e2": e2})
     row = base.select("blk", F.explode(F.array(*(F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"), (F.col("pos") * 2 + s).alias("mark")) for s, (a, b) in enumerate((("h1", "h2"), ("e1", "e2")))))).alias("x")).select("blk", "x.*")
     shared = row.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    marked = row.join(shared, ["h1", "h2"]).groupBy("blk").agg(F.collect_set("mark").alias("marked"))
-    pick = lambda s, canon, a, b: F.when(F.array_contains("marked", F.col("pos") * 2 + s), F.struct(F.lit(s).alias("side"), F.col(a).alias("h1"), F.col(b).alias("h2"), canon.alias("canon")))
+    marked = _bits(row.join(shared, ["h1", "h2"]))
+    pick = lambda s, canon, a, b: F.when(_has_bit(F.col("pos") * 2 + s), F.struct(F.lit(s).alias("side"), F.col(a).alias("h1"), F.col(b).alias("h2"), canon.alias("canon")))
     texts = base.join(marked, "blk").select("blk", "pos", F.explode(F.filter(F.array(pick(0, canonical(F.col("text")), "h1", "h2"), pick(1, F.col("edited_canon"), "e1", "e2")), lambda x: x.isNotNull())).alias("x")).select("blk", "pos", "x.*")
     # Byte comparison: copies fold into one row in each task; what is left is a row for each distinct text.
     distinct = texts.groupBy("h1", "h2", "canon").agg(F.count("*").alias("c"))

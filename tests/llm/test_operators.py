@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -63,6 +63,15 @@ def test_fingerprints_compare_bytes_within_equal_hashes(spark, monkeypatch):
     assert f[1].near_edited == f[2].near_edited == 1.0
 
 
+def test_fingerprints_of_many_rows_with_one_id(spark):
+    """All rows are one block, whose marks fill two bitmaps."""
+    df = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text ', lpad(cast(id div 2 AS string), 6, '0')) AS text")
+    got = fingerprint.fingerprints(df).collect()
+    n = Counter(r.fingerprint for r in got)
+    assert len(got) == 20_000 and len(n) == 10_000 and set(n.values()) == {2}
+    assert sum(r.near_next for r in got) == 10_000
+
+
 def test_repeated_rows_and_ids(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2, None)], "doc_id long, text string")
     assert fingerprint.fingerprints(df).count() == suffixes.repeats(df).count() == jaccard.similar(df).count() == 4
