@@ -143,13 +143,18 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """rows with their block, numbered by descending length (within one number of dimensions), and for each number of
     dimensions its levels: (top: greatest length, last: the last cell), longest first. A level is a range of lengths; there
-    are RANGES for each number of dimensions, whatever the size of the table, and as many blocks in each as it needs."""
+    are RANGES for each number of dimensions, whatever the size of the table, and as many blocks in each as it needs.
+
+    A row's block follows from its values alone, so a task that is run again deals its rows as before, whatever their
+    order: the cuts of lengths are fixed first (an approximate percentile depends on the order in which it meets rows), and
+    rows that are equal in id and vector are counted, and stand k times at most, as no query can show more of them."""
     spark = rows.sparkSession
     shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
-    cuts = F.broadcast(rows.groupBy("dims").agg(F.percentile_approx("norm2", shares, F.lit(10_000)).alias("cuts")))
+    cuts = rows.groupBy("dims").agg(F.percentile_approx("norm2", shares, F.lit(10_000)).alias("cuts"))
+    cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
     placed = rows.join(cuts, "dims").withColumn("level", F.size(F.filter(F.array_distinct("cuts"), lambda c: F.col("norm2") < c))).drop("cuts")
     found = placed.groupBy("dims", "level").agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy("dims", "level").collect()
     sizes, levels, at = [], {}, 0
@@ -162,9 +167,11 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         at += parts
     number = spark.createDataFrame(sizes, "dims int, level int, first long, parts long")
     table = spark.createDataFrame([(d, first, x) for d, (first, x) in levels.items()], "dims int, first_cell long, levels array<struct<top:double,last:long>>")
-    # Equal lengths can fill many blocks, and one id many rows: a hash of the row's place deals them out.
-    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts"))
-    return placed.join(F.broadcast(number), ["dims", "level"]).withColumn("block", F.col("first") + part).drop("first", "parts", "level"), table
+    # Equal lengths can fill many blocks, and one id many rows: a hash of the row's values, and of which copy it is, deals them out.
+    copies = placed.groupBy("dims", "level", "vec_id", "norm2", "vec").agg(F.count("*").alias("n"))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k).cast("long")))))
+    part = F.pmod(F.xxhash64("vec_id", "vec", "copy"), F.col("parts"))
+    return copies.join(F.broadcast(number), ["dims", "level"]).withColumn("block", F.col("first") + part).drop("first", "parts", "level", "n", "copy"), table
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -176,11 +183,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE)
     skips all rows of its own id, and rows of a query that repeat count once (the longest). No vectors or no queries
     give no rows; other columns are not read. A score among the best that no long holds fails the job.
 
-    Two tables come to the driver: RANGES numbers, and one matrix, for each number of dimensions."""
+    No step depends on the order of rows, so the input may come out of a shuffle. Two tables come to the driver: RANGES
+    numbers, and one matrix, for each number of dimensions."""
     spark = vectors.sparkSession
     found = whole_vectors(vectors, scale)
     turns = spark.sparkContext.broadcast(rotation(found))
-    keyed, levels = _placed(found)
+    keyed, levels = _placed(found, k)
     blocks = staged(_packed(keyed), "candidates").withColumn("cell", F.floor(F.col("block") / CELL_BLOCKS))
     asked = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("norm2", "vec", "dims")).alias("x")).select("vec_id", "x.*")
     n_asked = max(1, -(-asked.count() // QUERY_BLOCK))

@@ -358,6 +358,24 @@ def test_top_k(spark, monkeypatch, kind):
     assert sorted(map(tuple, topk.top_k(df).collect())) == best_of(data)
 
 
+def test_top_k_deals_rows_by_their_values(spark, monkeypatch):
+    """Blocks hold the same rows however the input is shuffled; of rows that repeat, k copies at most stand in them."""
+    for name, n in (("BLOCK", 16), ("CELL_BLOCKS", 2), ("RANGES", 4)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(7)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)).astype(np.float32).astype(float))] + [(100, [1.0, 2.0, 0.0, 0.5])] * 150
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    dealt, results = [], []
+    for shuffled in (df.repartition(5), df.repartition(2, "vec_id"), df.orderBy(F.desc("vec_id"))):
+        rows = topk._placed(topk.whole_vectors(shuffled), 10)[0].select("block", "vec_id", F.col("vec").cast("string")).collect()
+        dealt.append(sorted(map(tuple, rows)))
+        results.append(sorted(map(tuple, topk.top_k(shuffled).collect())))
+    assert dealt[0] == dealt[1] == dealt[2] and len({b for b, *_ in dealt[0]}) > 4
+    copies = [b for b, i, v in dealt[0] if i == 100 and v == "[1024.0, 2048.0, 0.0, 512.0]"]
+    assert len(copies) == 10 and len(set(copies)) > 1
+    assert results[0] == results[1] == results[2] == best_of(data)
+
+
 def test_top_k_of_few_and_of_large_numbers(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert list(map(tuple, topk.top_k(few).collect())) == [(0, 1, 1, 1024 * 2048)]
