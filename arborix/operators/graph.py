@@ -37,13 +37,16 @@ def paths(seeds: DataFrame, edges: DataFrame, config: EngineConfig, query_tokens
 
     A finite budget scales the proposals of a hop, for each query, to its sum; a gate weighs each step by how the
     query's tokens meet those of the target and the edge's type. Expansions of a query end at their maximum, in the order
-    in which a breadth-first walk from the best seed on meets them."""
+    in which a breadth-first walk from the best seed on meets them. Edges may have weights, a map: what they weigh to queries
+    whose query_id, a struct, has that version."""
     kind = "array<struct<source_id:string,target_id:string,edge_type:string,weight:double,factuality:double>>"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("entry"), "node_id"))
     at = seeds.select("query_id", "node_id", F.col("node_id").alias("seed_id"), F.col("entry").cast("double").alias("contribution"), F.array().cast(kind).alias("steps"), F.lit(0).alias("step"), F.lpad(rank.cast("string"), 9, "0").alias("generation"), F.array("node_id").alias("path"), F.lit(0).cast("long").alias("before"))
     out = at
     for hop in range(1, config.max_hops + 1 if config.use_graph_propagation else 1):
         step = at.join(edges.withColumnRenamed("source_id", "node_id"), "node_id").where(~F.array_contains("path", F.col("target_id")))
+        if "weights" in edges.columns:
+            step = step.withColumn("weight", F.coalesce(F.try_element_at("weights", F.col("query_id.version")), F.col("weight")))
         c = F.col("contribution") * F.col("weight") * F.col("factuality") * config.hop_decay
         if config.activation_strategy == "query_conditioned_transmission":
             none = F.array().cast("array<string>")

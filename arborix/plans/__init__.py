@@ -1,3 +1,3 @@
 """Importing the package registers all queries."""
 
-from . import audits, experiments, searches, selections  # noqa: F401
+from . import audits, experiments, searches, selections, trajectories  # noqa: F401
