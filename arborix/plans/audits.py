@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, judgments, metrics
+from ..operators import corpus, judgments, metrics, snapshots
 from ..sources import store
 from .queries import query, table
 
@@ -221,3 +221,32 @@ def formula_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = metrics.Window.partitionBy("query_id").orderBy(F.desc("final"), "node_id")
     e = e.withColumn("rank", F.row_number().over(w) + F.when(F.col("node_id") % 211 == 7, 1).otherwise(0))
     return metrics.formula_audit(e, 0.55, 0.45)
+
+
+SNAPSHOTS = """WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 500 = 7 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM a WHERE o_orderkey % 1000 <> 3 UNION ALL SELECT * FROM a WHERE o_orderkey % 1000 = 11)
+"""
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and a version of them in which some lost their status, some are gone and some stand twice."""
+    a, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderkey")
+    b = a.where(k % 1000 != 3).withColumn("o_orderstatus", F.when(k % 500 != 7, F.col("o_orderstatus")))
+    return a, b.unionByName(a.where(k % 1000 == 11))
+
+
+@query(SNAPSHOTS + """, x AS (SELECT *, 0 AS v FROM a UNION ALL SELECT *, 1 FROM b),
+t AS (SELECT v, CAST(CAST('0x' || substr(sha256(strlen(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey), 1, 15) AS BIGINT) % 256 AS INTEGER) AS in_bucket,
+  sha256(array_to_string([coalesce(strlen(c) || ':' || c, '-') FOR c IN [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority]], ',')) AS h FROM x),
+d AS (SELECT v, in_bucket, count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) || ':' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) || ':' || sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)) || ':' || sum(CAST('0x' || substr(h, 46, 15) AS HUGEINT)) AS digest FROM t GROUP BY v, in_bucket)
+SELECT in_bucket, n, digest, v = 1 AS changed FROM d""")
+def snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of two versions of the orders, by bucket."""
+    a, b = (snapshots.digests(x, ["o_orderkey"], 256).withColumn("changed", F.lit(c)) for x, c in zip(_orders(spark, sf_dir), (False, True), strict=True))
+    return a.unionByName(b)
+
+
+@query(SNAPSHOTS + "SELECT 'before' AS side, *, 1 AS copies FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'after', *, 1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders in which two versions differ, found in the buckets whose digests do."""
+    return snapshots.located(*_orders(spark, sf_dir), ["o_orderkey"], 256)
