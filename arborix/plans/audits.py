@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, judgments, metrics, snapshots
+from ..functions.text import redacted
+from ..operators import corpus, judgments, metrics, payloads, snapshots
 from ..sources import store
 from .queries import query, table
 
@@ -250,3 +253,26 @@ def snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders in which two versions differ, found in the buckets whose digests do."""
     return snapshots.located(*_orders(spark, sf_dir), ["o_orderkey"], 256)
+
+
+PAYLOADS = """WITH t AS (SELECT conv_id, turn, ['Answer', 'note', 'raw_score'][turn % 3 + 1] AS word, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, '{"role":' || to_json(role) || ',"body":{"parts":[{"text":' || to_json(text) || ',"meta":{"' || word || '":["answer",' || turn || ']}}]}}' AS payload FROM t)
+"""
+
+
+@query(PAYLOADS + """SELECT conv_id, turn, (SELECT count(*) FROM json_tree(payload)) AS n_values, (SELECT count(*) FROM json_tree(payload) j WHERE type = 'VARCHAR') AS n_strings,
+  (SELECT count(*) FROM json_tree(payload) j WHERE try_cast(key AS INTEGER) IS NULL AND (lower(key) = 'answer' OR contains(lower(key), 'score'))) AS n_forbidden, CASE word WHEN 'note' THEN NULL ELSE 5 END AS depth,
+  CAST(len(regexp_extract_all(text, 'e[a-z]+ ')) AS BIGINT) AS n_redacted,
+  sha256('{"body":{"parts":[{"meta":{"' || word || '":["answer",' || turn || ']},"text":' || to_json(regexp_replace(text, 'e[a-z]+ ', '[REDACTED_SECRET]', 'g')) || '}]},"role":' || to_json(role) || '}') AS payload_sha256 FROM p""")
+def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as nested payloads: forbidden keys (and how deep), which as values are allowed, and
+    strings redacted wherever they stand, with the payload written anew."""
+    t = table(spark, sf_dir, "conversations")
+    word = F.element_at(F.array(*map(F.lit, ("Answer", "note", "raw_score"))), (F.col("turn") % 3 + 1).cast("int"))
+    say = lambda c: payloads.quoted(F.coalesce(F.col(c), F.lit("")))
+    payload = F.concat(F.lit('{"role":'), say("role"), F.lit(',"body":{"parts":[{"text":'), say("text"), F.lit(',"meta":{"'), word, F.lit('":["answer",'), F.col("turn").cast("string"), F.lit("]}}]}}"))
+    found = payloads.levels(t.select(F.struct("conv_id", "turn").alias("id"), payload.alias("payload")))
+    counts = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.count("*").alias("n_values"), F.count_if(F.col("kind") == "string").alias("n_strings"))
+    bad = payloads.forbidden_keys(found, ["answer"], ["score"]).groupBy("id").agg(F.count("*").alias("n_forbidden"), F.max("depth").alias("depth"))
+    clean = payloads.changed_strings(found, lambda c: redacted(c, ("e[a-z]+ ",))).select("id", F.col("n").alias("n_redacted"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+    return counts.join(bad, "id", "left").join(clean, "id").fillna(0, ["n_forbidden"]).select("id.conv_id", "id.turn", "n_values", "n_strings", "n_forbidden", "depth", "n_redacted", "payload_sha256")
