@@ -123,3 +123,28 @@ def trajectory_gates(measured: DataFrame, moved: DataFrame, control: str) -> Dat
         line(moved.where(treated), GATES[7], F.col("only_credited")),
     ]
     return reduce(DataFrame.unionByName, rows)
+
+
+def adaptation(scored: DataFrame, moved: DataFrame, control: str, role: str, limit: int) -> DataFrame:
+    """A row for each arm but the control, at the last checkpoint of scores(...) and mutations(...): MRR and recall (the share
+    of cases whose target is shown) of one role's cases, beside those of the control, and what is asked of an adaptation:
+    a higher MRR, no case lost, every expected path shown, and no edge moved but those credited, and none by the control."""
+    end = scored.agg(F.max("checkpoint").alias("checkpoint"))  # one row
+    at = scored.where(F.col("role") == role).join(F.broadcast(end), "checkpoint", "left_semi").withColumn("found", F.col("rank") <= limit)
+    still = at.where(F.col("arm") == control).select("case_id", F.col("rank").alias("rank_0"), F.col("found").alias("found_0"))
+    both = at.where(F.col("arm") != control).join(still, "case_id")
+    near = lambda c: F.round(F.avg(c), ranking.DIGITS)
+    share = lambda c: near(F.col(c).cast("double"))
+    out = both.groupBy("arm").agg(
+        near(1 / F.col("rank_0")).alias("control_mrr"),
+        near(1 / F.col("rank")).alias("mrr"),
+        share("found_0").alias("control_recall"),
+        share("found").alias("recall"),
+        F.bool_and(F.col("found") | ~F.col("found_0")).alias("recall_kept"),
+        F.bool_and("matched").alias("paths_matched"),
+    )
+    edges = moved.join(F.broadcast(end), "checkpoint", "left_semi")
+    held = edges.where(F.col("arm") == control).agg(F.coalesce(F.max("moved"), F.lit(0)).alias("control_moved"))
+    out = out.join(edges.select("arm", "only_credited"), "arm").join(F.broadcast(held))
+    fine = F.col("only_credited") & (F.col("control_moved") == 0)
+    return out.withColumns({"mrr_improved": F.col("mrr") > F.col("control_mrr"), "only_credited": fine}).drop("control_moved")

@@ -64,20 +64,20 @@ def _setting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     return seeds, cases, edges, e, points
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """checkpoints.report and checkpoints.mutations of the arms."""
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """checkpoints.scores and checkpoints.mutations of the arms."""
     seeds, cases, edges, e, points = _setting(spark, sf_dir)
     at = checkpoints.cut(experiments.replayed(edges, e, ARMS, points))
     hits = checkpoints.shown(seeds, cases, edges, at, list(ARMS), POINTS, EngineConfig(max_hops=2), LIMIT)
     credited = e.join(F.broadcast(points), F.col("seq") <= F.col("until"))
-    return checkpoints.report(checkpoints.scores(hits, cases, list(ARMS), POINTS, LIMIT)), checkpoints.mutations(edges, at, credited)
+    return checkpoints.scores(hits, cases, list(ARMS), POINTS, LIMIT), checkpoints.mutations(edges, at, credited)
 
 
 @query(MEASURES + "SELECT arm, checkpoint, role, n_cases, round(mrr, 9) AS mrr, round(mean_margin, 9) AS mean_margin, entered, all_matched FROM m")
 def checkpoint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks, margins, changes of lists and expected paths of all cases, by arm, checkpoint and role: a control,
     reinforcement at once, and reinforcement that takes off siblings; every search runs over the weights of its version."""
-    out = _measured(spark, sf_dir)[0]
+    out = checkpoints.report(_scored(spark, sf_dir)[0])
     return out.select("arm", "checkpoint", "role", "n_cases", F.round("mrr", 9).alias("mrr"), F.round("mean_margin", 9).alias("mean_margin"), "entered", "all_matched")
 
 
@@ -91,4 +91,18 @@ UNION ALL SELECT arm, checkpoint, 'control_feedback_recorded_without_mutation',
 UNION ALL SELECT arm, checkpoint, 'treatment_credited_edges_only', only_credited FROM x WHERE arm <> 'control'""")
 def trajectory_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which gates of a trajectory hold in which arm, at which checkpoint; some fail here, above all those of siblings."""
-    return checkpoints.trajectory_gates(*_measured(spark, sf_dir), "control")
+    scored, moved = _scored(spark, sf_dir)
+    return checkpoints.trajectory_gates(checkpoints.report(scored), moved, "control")
+
+
+@query(MEASURES + """, x AS (SELECT arm, bool_and((w <> 0.5) = (n > 0)) AS ok, count(*) FILTER (w <> 0.5) AS moved FROM w WHERE checkpoint = 100 GROUP BY arm),
+f AS (SELECT t.arm, round(avg(1.0 / c.rank), 12) AS control_mrr, round(avg(1.0 / t.rank), 12) AS mrr, avg(CAST(c.rank <= 3 AS DOUBLE)) AS control_recall, avg(CAST(t.rank <= 3 AS DOUBLE)) AS recall,
+  bool_and(t.rank <= 3 OR c.rank > 3) AS recall_kept, bool_and(t.rank <= 3 AND ok.user_id IS NOT NULL) AS paths_matched
+  FROM sc t JOIN sc c ON c.user_id = t.user_id AND c.checkpoint = 100 AND c.arm = 'control' LEFT JOIN ok ON ok.arm = t.arm AND ok.checkpoint = t.checkpoint AND ok.user_id = t.user_id
+  WHERE t.checkpoint = 100 AND t.arm <> 'control' AND t.role = 'headroom' GROUP BY t.arm)
+SELECT arm, round(control_mrr, 9) AS control_mrr, round(mrr, 9) AS mrr, round(control_recall, 9) AS control_recall, round(recall, 9) AS recall, recall_kept, paths_matched, mrr > control_mrr AS mrr_improved,
+  x.ok AND (SELECT moved = 0 FROM x WHERE arm = 'control') AS only_credited FROM f JOIN x USING (arm)""")
+def adaptation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and recall of arms that learn against the control after all events, and what is asked of them."""
+    out = checkpoints.adaptation(*_scored(spark, sf_dir), "control", "headroom", LIMIT)
+    return out.withColumns({c: F.round(c, 9) for c in ("control_mrr", "mrr", "control_recall", "recall")})

@@ -88,6 +88,23 @@ def test_gates_fail_where_they_must(spark):
     assert got["t", 2, g[1]] and got["t", 2, g[2]] and got["c", 2, g[5]] and not any(x == g[4] for *_, x in got)
 
 
+def test_adaptation_against_its_control(spark):
+    """Arm c loses a case that the control shows, and moves an edge that isn't credited; b shows no more than the control."""
+    ranks = {"a": (2, 3, 4), "b": (1, 1, 4), "c": (4, 1, 1), "d": (2, 2, 2)}  # a is the control; limit 3
+    rows = [(arm, 9, i, "headroom", r, r < 4) for arm, rs in ranks.items() for i, r in enumerate(rs)]
+    rows += [("d", 1, i, "headroom", 4, False) for i in range(3)] + [("b", 9, 7, "control", 4, False)]
+    scored = spark.createDataFrame(rows, "arm string, checkpoint int, case_id long, role string, rank int, matched boolean")
+    moved = spark.createDataFrame([("a", 9, 0, False), ("b", 9, 1, True), ("c", 9, 2, False), ("d", 9, 1, True), ("a", 1, 5, False)], "arm string, checkpoint int, moved long, only_credited boolean")
+    got = {r.arm: r for r in checkpoints.adaptation(scored, moved, "a", "headroom", 3).collect()}
+    assert sorted(got) == ["b", "c", "d"]
+    for arm, r in got.items():
+        assert r.mrr == pytest.approx(sum(1 / x for x in ranks[arm]) / 3) and r.control_mrr == pytest.approx((1 / 2 + 1 / 3 + 1 / 4) / 3)
+        assert r.recall == pytest.approx(sum(x < 4 for x in ranks[arm]) / 3) and r.control_recall == pytest.approx(2 / 3)
+    assert [got[a].recall_kept for a in "bcd"] == [True, False, True]
+    assert [got[a].paths_matched for a in "bcd"] == [False, False, True]
+    assert [got[a].only_credited for a in "bcd"] == [True, False, True] and all(r.mrr_improved for r in got.values())
+
+
 def test_searches_over_empty_tables(spark, graph):
     edges, _, seeds, cases = graph
     frame = spark.createDataFrame([(*e, w, 0.9) for e, w in edges.items()], EDGE + "weight double, factuality double")
