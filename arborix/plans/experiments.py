@@ -21,7 +21,8 @@ k AS (SELECT DISTINCT source_id, edge_type FROM e)
 SELECT 'control' AS arm, CAST(checkpoint AS INTEGER) AS checkpoint, source_id, edge_type, CAST(0.5 AS DOUBLE) AS weight, 0 AS reinforced_count FROM i
 UNION ALL SELECT 'immediate', checkpoint, source_id, edge_type, round(least(2.0, 0.5 + 0.2 * credit), 9), n FROM i""")
 def arm_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A control and a treatment after none, a tenth, three tenths and all of the events."""
+    """Weights of a control and a treatment after none, a tenth, three tenths and all of the events; what searches
+    make of such weights, and gates, are in checkpoint_report, trajectory_gates and adaptation_report."""
     e = event_edges(spark, sf_dir).withColumn("kind", F.lit("success"))
     edges = e.select(*feedback.EDGE).distinct().withColumns({"weight": F.lit(0.5), "reinforced_count": F.lit(0)})
     top = table(spark, sf_dir, "events").agg(F.max("event_id").alias("m"))
