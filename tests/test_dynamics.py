@@ -92,6 +92,17 @@ def test_recurrent_strategies_follow_the_rules(spark, strategy, room):
     assert (d.stop_reason, d.expansions <= room) == ("recurrent_step_limit" if room > 7 else "max_expansions", True)
 
 
+def test_a_hub_keeps_no_more_edges_than_walks_can_take(spark):
+    e = spark.createDataFrame([("a", f"t{i:03d}", f"k{j:02d}", 0.5, 1.0) for i in range(60) for j in range(24)] + [("t000", "a", "x", 0.5, 1.0)], EDGE)
+    c = EngineConfig(activation_strategy="local_neighbor_competition", recurrent_steps=3, max_propagation_expansions=50)
+    at = dynamics.sliced(e, c)
+    assert at.edges.where("node_id = 'a'").count() == 50 + 4 * 24  # 54 targets' edges, 1,296, before
+    seeds = spark.createDataFrame([(1, "a", 1.0), (1, "t000", 1.0)], "query_id long, node_id string, entry double")
+    got = dynamics.propagate(seeds, e, c)
+    assert {r.generation.split("\0")[1] for r in got.paths.where("step = 1").collect()} == {"t000", "t001", "t002"}
+    assert [tuple(r) for r in got.diagnostics.select("steps", "expansions", "stop_reason").collect()] == [(1, 50, "max_expansions")]
+
+
 def test_hop_by_hop_expansions_end_in_the_order_of_a_walk(spark):
     e = spark.createDataFrame([("a", "c", "x", 1.0, 1.0), ("a", "b", "x", 1.0, 1.0), ("b", "d", "x", 1.0, 1.0)], EDGE)
     seeds = spark.createDataFrame([(1, "a", 1.0)], "query_id long, node_id string, entry double")
