@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborix.config import EngineConfig
-from arborix.operators import feedback, graph, metrics, ranking, retrieval
+from arborix.functions.encode import letters
+from arborix.operators import channels, feedback, graph, metrics, ranking, retrieval
 
 
 def test_settings_are_checked():
@@ -66,3 +67,17 @@ def test_cosine_needs_vectors_of_one_size(spark):
     assert of([1.0, 0.0], [1.0, 1.0]) == pytest.approx(0.5**0.5) and of([0.0], [1.0]) == 0.0 and of([1.0], [-1.0]) == 0.0
     with pytest.raises(Exception, match="different sizes"):
         of([1.0], [1.0, 2.0])
+
+
+def test_candidates_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], channels.cut
+    monkeypatch.setattr(channels, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    nodes = spark.createDataFrame([("a", "red dog"), ("b", "blue cat"), ("c", "red cat")], "node_id string, text string")
+    edges = spark.createDataFrame([("a", "b", "x", 0.5, 1.0)], "source_id string, target_id string, edge_type string, weight double, factuality double")
+    queries = spark.createDataFrame([("q", "red dog")], "query_id string, text string")
+    found = channels.search(nodes, edges, queries, EngineConfig(), 1, letters)
+    assert [r.node_id for r in found.collect()] == ["a"]
+    joins = [line for p in plans for line in p.splitlines() if "Join LeftAnti" in line]
+    assert joins and all("rightHint=(strategy=merge)" in line for line in joins)
+    tops = [line for line in plans[0].splitlines() if "Join Inner" in line and "query_id" in line]
+    assert tops and "rightHint=(strategy=broadcast)" in tops[0]
