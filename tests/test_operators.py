@@ -81,3 +81,11 @@ def test_candidates_are_not_broadcast(spark, monkeypatch):
     assert joins and all("rightHint=(strategy=merge)" in line for line in joins)
     tops = [line for line in plans[0].splitlines() if "Join Inner" in line and "query_id" in line]
     assert tops and "rightHint=(strategy=broadcast)" in tops[0]
+
+
+def test_what_equals_the_share_is_inhibited_whatever_was_summed_first(spark):
+    a, b, top = 0.01, 0.05, 0.6
+    assert a + b > 0.1 * top  # by the last bit: the share of ten times their sum
+    found = spark.createDataFrame([(1, "low", a), (1, "low", b), (1, "top", top), (1, "more", a + b + 1e-9)], "query_id long, node_id string, contribution double").repartition(1)
+    got = graph.activation(found, EngineConfig(activation_strategy="lateral_inhibition", inhibition_ratio=0.1)).collect()
+    assert sorted(r.node_id for r in got) == ["more", "top"]
