@@ -193,3 +193,16 @@ def test_superseded_edges_sleep_until_confirmed(spark):
 def test_confirmed_only_schedule(spark):
     c = EngineConfig(confirmed_outcome_reinforcement=True, confirmation_decay_ratio=0.5)
     assert folded(spark, c, ("1", "used"), ("1", "confirmed"), ("2", "confirmed"), ("2", "confirmed"))["t"] == (0.8, 2, False)
+
+
+def test_steps_shuffle_no_states_by_query(spark, monkeypatch):
+    """Of a step, messages are dealt to their queries once, and edges not at all; messages and states stay in their buckets."""
+    plans, write = [], dynamics.dealt
+    monkeypatch.setattr(dynamics, "dealt", lambda keys, *parts: (plans.append([p._jdf.queryExecution().executedPlan().toString() for p in parts]), write(keys, *parts))[1])
+    words, edges, entry, query = case(3)
+    seeds = spark.createDataFrame([(1, n, v) for n, v in entry.items()], "query_id long, node_id string, entry double")
+    c = EngineConfig(activation_strategy="local_neighbor_path_competition", recurrent_steps=2)
+    assert dynamics.propagate(seeds, spark.createDataFrame([(*k, *v) for k, v in edges], EDGE), c).activation.count() > 0
+    first, left, states = plans[2][0], plans[2][1], plans[3][0]
+    assert "SortMergeJoin" in first and first.count("Exchange hashpartitioning(query_id") == 1 and first.count("Exchange hashpartitioning(node_id") == 1
+    assert "Exchange" not in states and "Exchange hashpartitioning" not in left
