@@ -89,3 +89,18 @@ def test_what_equals_the_share_is_inhibited_whatever_was_summed_first(spark):
     found = spark.createDataFrame([(1, "low", a), (1, "low", b), (1, "top", top), (1, "more", a + b + 1e-9)], "query_id long, node_id string, contribution double").repartition(1)
     got = graph.activation(found, EngineConfig(activation_strategy="lateral_inhibition", inhibition_ratio=0.1)).collect()
     assert sorted(r.node_id for r in got) == ["more", "top"]
+
+
+def test_a_hop_is_one_shuffle_of_its_rows(spark):
+    edges = spark.createDataFrame([("a", "b", "x", 0.5, 1.0), ("b", "a", "x", 1.0, 1.0), ("b", "c", "x", 1.0, 0.5), ("c", "d", "y", 1.0, 1.0)], "source_id string, target_id string, edge_type string, weight double, factuality double")
+    seeds = spark.createDataFrame([(1, "a", 1.0)], "query_id long, node_id string, entry double")
+    found = graph.paths(seeds, edges, EngineConfig(max_hops=3))
+    got = {r.node_id: r for r in found.collect()}
+    assert [(n, r.path, r.generation.split("\0")[1:], r.seed_id) for n, r in sorted(got.items())] == [("a", ["a"], [], "a"), ("b", ["a", "b"], ["b", "x"], "a"), ("c", ["a", "b", "c"], ["b", "x", "c", "x"], "a"), ("d", ["a", "b", "c", "d"], ["b", "x", "c", "x", "d", "y"], "a")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph.activation(found, EngineConfig())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "pmod(xxhash64" not in plan and "ReusedExchange" in plan  # before, parts of a query were shuffled first, and a hop once more for the next
+    assert "row_number(), 10000, Partial" in plan  # tasks cut a query's rows before the shuffle
