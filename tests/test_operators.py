@@ -104,3 +104,11 @@ def test_a_hop_is_one_shuffle_of_its_rows(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "pmod(xxhash64" not in plan and "ReusedExchange" in plan  # before, parts of a query were shuffled first, and a hop once more for the next
     assert "row_number(), 10000, Partial" in plan  # tasks cut a query's rows before the shuffle
+
+
+def test_scores_arise_over_all_partitions(spark):
+    nodes = spark.range(400).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_id"), F.lit("red dog").alias("text"))
+    queries = spark.createDataFrame([(i, "red dog") for i in range(50)], "query_id long, text string")
+    got = retrieval.bm25(nodes, queries).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores")).collect()
+    assert sum(r.n for r in got) == 20_000 and len(got) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one task before
+    assert max(r.n for r in got) < 10_000
