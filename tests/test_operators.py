@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborix.config import EngineConfig
+from arborix.functions import encode
 from arborix.functions.encode import letters
+from arborix.functions.text import tokens
 from arborix.operators import channels, feedback, graph, metrics, ranking, retrieval
 
 
@@ -112,3 +114,15 @@ def test_scores_arise_over_all_partitions(spark):
     got = retrieval.bm25(nodes, queries).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("score").alias("scores")).collect()
     assert sum(r.n for r in got) == 20_000 and len(got) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one task before
     assert max(r.n for r in got) < 10_000
+
+
+def test_many_texts_are_hashed_as_each_alone(spark):
+    """Bit by bit, also where texts are short, empty or null, hold far code points, or fall into several chunks."""
+    texts = ["", "a", "ab c", "Ab ab AB", None, "\U00020000\U00020001 x", "z" * 50, "one two three " * 30, "--", "äöü ß"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    made = rows.select("i", tokens(F.col("text")).alias("w"), encode.encoded(F.col("text")).alias("v"), encode.encoded(F.col("text"), encode.letters).alias("l")).collect()
+    for r in made:
+        assert r.v == encode.hashed(r.w or []).tolist() and r.l == encode.letters(r.w or []).tolist()
+    words = ["_".join(r.w or []) for r in made]
+    assert [x.tolist() for x in encode.hashed_rows(words)] == [r.v for r in made]
+    assert sum(map(len, encode._chunks(["a" * (encode.CHUNK - 1)] * 3))) == 3 and len(list(encode._chunks(["a" * encode.CHUNK] * 3))) == 3
