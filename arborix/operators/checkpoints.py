@@ -30,6 +30,8 @@ GATES = (
     "treatment_credited_edges_only",
 )
 VERSION = ("arm", "checkpoint")
+#: Searches of a task.
+SEARCHES = 20_000
 
 
 def _name(arm: Column, checkpoint: Column) -> Column:
@@ -55,14 +57,20 @@ def shown(seeds: DataFrame, cases: DataFrame, edges: DataFrame, at: DataFrame, a
     version, cut at the limit, from seeds(case_id, node_id, entry) and cases(case_id, role, target_id, expected). Nodes count
     that an edge leads to. matched: a path to the node has the steps that the case expects, in any weights.
 
-    One hop is one join for all versions. The rows are written once, and all measures read them."""
+    One hop is one join for all versions. The rows are written once, and all measures read them. Rows of paths hold names
+    once, in their walk, and sums need no sort."""
     asked = seeds.select("case_id", "node_id", "entry", versions(arms, checkpoints))
-    asked = asked.select(F.struct(*VERSION, "case_id", _name(F.col("arm"), F.col("checkpoint")).alias("version")).alias("query_id"), "node_id", "entry")
+    asked = asked.select(F.struct("case_id", _name(F.col("arm"), F.col("checkpoint")).alias("version")).alias("query_id"), "node_id", "entry")
     found = graph.paths(asked, versioned(edges, at), config).where("step > 0")
-    found = found.select("query_id", F.col("query_id.case_id").alias("case_id"), "node_id", "contribution", F.transform("steps", lambda s: F.struct(*(s[c].alias(c) for c in EDGE))).alias("steps"))
-    due = found.join(cases.select("case_id", "role", "target_id", "expected"), "case_id")
-    act = due.groupBy("query_id", "node_id").agg(F.round(F.sum("contribution"), ranking.DIGITS).alias("activation"), F.first("role").alias("role"), F.first("target_id").alias("target_id"), F.bool_or(F.col("steps") == F.col("expected")).alias("matched"))
-    return cut(ranking.top(act, "activation", limit).select("query_id.arm", "query_id.checkpoint", "query_id.case_id", "role", "target_id", "node_id", "activation", "rank", "matched"))
+    ends = F.zip_with(F.slice("path", F.lit(1), F.col("step")), F.slice("path", F.lit(2), F.col("step")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    steps = F.zip_with(ends, "types", lambda x, t: F.struct(x.a.alias("source_id"), x.b.alias("target_id"), t.alias("edge_type")))
+    found = found.select("query_id", F.col("query_id.case_id").alias("case_id"), "node_id", "contribution", steps.alias("steps"))
+    due = found.join(cases.select("case_id", "expected"), "case_id")
+    act = due.groupBy("query_id", "node_id").agg(F.round(F.sum("contribution"), ranking.DIGITS).alias("activation"), F.bool_or(F.col("steps") == F.col("expected")).alias("matched"))
+    name = F.split("query_id.version", "@", 2)
+    best = ranking.top(act, "activation", limit).select(name[1].alias("arm"), name[0].cast("int").alias("checkpoint"), "query_id.case_id", "node_id", "activation", "rank", "matched")
+    best = best.join(cases.select("case_id", "role", "target_id"), "case_id")
+    return cut(best.select(*VERSION, "case_id", "role", "target_id", "node_id", "activation", "rank", "matched"), 1 + cases.count() * len(arms) * len(checkpoints) // SEARCHES)
 
 
 def scores(hits: DataFrame, cases: DataFrame, arms: Sequence[str], checkpoints: Sequence[int], limit: int) -> DataFrame:

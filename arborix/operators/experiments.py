@@ -33,8 +33,8 @@ def replayed(edges: DataFrame, events: DataFrame, arms: dict[str, EngineConfig |
     none = events.where(F.lit(False))
     made = [ledger.fold(edges, none if c is None else events, c or EngineConfig()).withColumn("arm", F.lit(a)) for a, c in arms.items()]
     at = reduce(DataFrame.unionByName, made).join(F.broadcast(checkpoints), F.col("seq") <= F.col("until"))
-    last = at.groupBy("arm", "checkpoint", *EDGE).agg(F.max_by(F.struct("new_weight", "reinforced_count"), "line").alias("x"))
-    return last.select("arm", "checkpoint", *EDGE, F.col("x.new_weight").alias("weight"), "x.reinforced_count")
+    last = lambda c, name: F.max_by(c, "line").alias(name)
+    return at.groupBy("arm", "checkpoint", *EDGE).agg(last("new_weight", "weight"), last("reinforced_count", "reinforced_count"))  # numbers: no sort of the journal
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from .searches import event_edges
 
 ARMS = {"control": None, "immediate": EngineConfig(), "siblings": EngineConfig(sibling_feedback_normalization=0.5)}
 POINTS, LIMIT = (0, 10, 30, 100), 3
+#: Events that a task replays.
+EVENTS = 200_000
 
 WEIGHTS = """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, value, 0.2 * least(1, greatest(0.1, value / 100)) AS up, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL),
 ks AS (SELECT user_id, list(DISTINCT event_type) AS ks FROM e GROUP BY user_id),
@@ -67,7 +69,7 @@ def _setting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """checkpoints.scores and checkpoints.mutations of the arms."""
     seeds, cases, edges, e, points = _setting(spark, sf_dir)
-    at = checkpoints.cut(experiments.replayed(edges, e, ARMS, points))
+    at = checkpoints.cut(experiments.replayed(edges, e, ARMS, points), 1 + e.count() // EVENTS)
     hits = checkpoints.shown(seeds, cases, edges, at, list(ARMS), POINTS, EngineConfig(max_hops=2), LIMIT)
     credited = e.join(F.broadcast(points), F.col("seq") <= F.col("until"))
     return checkpoints.scores(hits, cases, list(ARMS), POINTS, LIMIT), checkpoints.mutations(edges, at, credited)

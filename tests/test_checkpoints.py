@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborix.config import EngineConfig
-from arborix.operators import checkpoints, snapshots
+from arborix.operators import checkpoints, experiments, snapshots
+from arborix.sources.lineage import cut
 
 EDGE = "source_id string, target_id string, edge_type string, "
 ARMS, POINTS = ["none", "some"], [5, 0, 2]  # stated in any order
@@ -130,3 +132,26 @@ def test_versions_that_differ_are_located(spark):
     assert snapshots.located(make([]), make([(1, "x", 2)] * 3), ["k"], 8).first().copies == 3
     assert snapshots.unequal(make([]), make([]), ["k"], 8).count() == 0
     assert 0 < snapshots.unequal(make(rows), make([*rows, (3, "new", 1)]), ["k"], 8).count() == 1
+
+
+def test_tasks_of_searches_stay_small(spark, monkeypatch):
+    """Replays sort no journal for their last lines; what is cut for many searches is shuffled into as many tasks as are asked
+    for, though Spark would put all rows into one; and few nodes that many paths lead to are no few tasks."""
+    edges = spark.createDataFrame([("a", "b", "x", 0.5, 0)], EDGE + "weight double, reinforced_count long")
+    events = spark.createDataFrame([("a", "b", "x", i, str(i), "success", 1.0) for i in range(3)], EDGE + "seq long, trace_id string, kind string, credit double")
+    points = spark.createDataFrame([(0, -1), (9, 1)], "checkpoint int, until long")
+    made = experiments.replayed(edges, events, {"none": None, "some": EngineConfig()}, points)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.split("MapInPandas")[0]
+    assert {(r.arm, r.checkpoint): (round(r.weight, 9), r.reinforced_count) for r in made.collect()} == {("none", 0): (0.5, 0), ("none", 9): (0.5, 0), ("some", 0): (0.5, 0), ("some", 9): (0.9, 2)}
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    few = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    assert len(cut(few, 7).inputFiles()) == 7 and len(cut(few, 1).inputFiles()) == int(before[0]) and len(cut(few).inputFiles()) == 1
+    assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
+    asked = []
+    monkeypatch.setattr(checkpoints, "cut", lambda df, tasks=0: asked.append(tasks) or cut(df, tasks))
+    monkeypatch.setattr(checkpoints, "SEARCHES", 10)
+    cases = spark.createDataFrame([(i, "control", "b", []) for i in range(20)], CASES)
+    seeds = cases.select("case_id", F.lit("a").alias("node_id"), F.lit(1.0).alias("entry"))
+    hits = checkpoints.shown(seeds, cases, edges.withColumn("factuality", F.lit(1.0)), made.where("false"), ["none"], [0, 9], EngineConfig(), 3)
+    assert hits.count() == 40 and asked == [5]
