@@ -126,3 +126,21 @@ def test_many_texts_are_hashed_as_each_alone(spark):
     words = ["_".join(r.w or []) for r in made]
     assert [x.tolist() for x in encode.hashed_rows(words)] == [r.v for r in made]
     assert sum(map(len, encode._chunks(["a" * (encode.CHUNK - 1)] * 3))) == 3 and len(list(encode._chunks(["a" * encode.CHUNK] * 3))) == 3
+
+
+def test_gates_make_no_sets_of_steps(spark):
+    """Two hops through a node whose tokens and type repeat, for queries with tokens, with repeated ones and with none."""
+    edges = spark.createDataFrame([("a", "b", "to red", 0.5, 1.0), ("b", "c", "red red", 0.5, 1.0)], "source_id string, target_id string, edge_type string, weight double, factuality double")
+    seeds = spark.createDataFrame([(i, "a", 1.0) for i in (1, 2, 3)], "query_id long, node_id string, entry double")
+    asked = spark.createDataFrame([(1, ["red", "dog"]), (2, ["red", "red", "cat", "hat"])], "query_id long, query_tokens array<string>")
+    named = spark.createDataFrame([("b", ["red", "dog", "dog"]), ("x", ["red"])], "target_id string, target_tokens array<string>")
+    c = EngineConfig(activation_strategy="query_conditioned_transmission")
+    found = graph.paths(seeds, edges, c, asked, named)
+    floor, power = c.query_transmission_floor, c.query_transmission_power
+    gate = lambda n, q, e: floor + (1 - floor) * (n / math.sqrt(q * e)) ** power
+    want = {1: (gate(2, 2, 3), gate(1, 2, 1)), 2: (gate(1, 3, 3), gate(1, 3, 1)), 3: (floor, floor)}
+    got = {(r.query_id, r.node_id): r.contribution for r in found.where("step > 0").collect()}
+    for q, (one, two) in want.items():
+        assert got[q, "b"] == pytest.approx(0.35 * one) and got[q, "c"] == pytest.approx(0.35**2 * one * two)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and plan.index("seen") > 0
