@@ -196,7 +196,8 @@ def case_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of a benchmark's items with the best documents of each, and whether one holds an answer."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     nodes = text_nodes(spark, sf_dir)
-    best = channels.ranking.top(retrieval.bm25(nodes, asked), "score", 3).join(nodes, "node_id")
+    scores = retrieval.bm25(nodes, asked).withColumn("score", F.round("score", 9))  # copies of a text tie, in whatever order sums are made
+    best = nodes.join(F.broadcast(channels.ranking.top(scores, "score", 3)), "node_id")  # three an item: texts stay where they are
     hits = best.select(F.col("query_id").alias("case_id"), F.lit("lexical").alias("channel"), "rank", F.col("node_id").cast("string").alias("node_id"), "text")
     made = experiments.packets(asked.select(F.col("query_id").alias("case_id"), F.col("text").alias("query")), hits)
     return made.select("case_id", "packet_sha256", corpus.forbidden_keys(F.col("packet"), ["answer", "score", "expected_node_id"]).alias("holds_answer"), checks.private_content(F.col("packet")).alias("private"))

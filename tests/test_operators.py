@@ -7,7 +7,7 @@ from arborix.config import EngineConfig
 from arborix.functions import encode
 from arborix.functions.encode import letters
 from arborix.functions.text import tokens
-from arborix.operators import channels, feedback, graph, metrics, ranking, retrieval
+from arborix.operators import channels, dense, feedback, graph, metrics, ranking, retrieval
 
 
 def test_settings_are_checked():
@@ -144,3 +144,14 @@ def test_gates_make_no_sets_of_steps(spark):
         assert got[q, "b"] == pytest.approx(0.35 * one) and got[q, "c"] == pytest.approx(0.35**2 * one * two)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and plan.index("seen") > 0
+
+
+def test_texts_are_split_once_and_dealt(spark):
+    """Counts of terms are written, and read by frequencies, corpus statistics and scores; nodes of one small file are no one task."""
+    nodes = spark.createDataFrame([(i, "red dog" if i % 3 else "red cat") for i in range(60)], "node_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "red cat"), (2, "dog")], "query_id long, text string")
+    posts, weights = retrieval.term_weights(nodes, asked)
+    assert posts.inputFiles() and set(weights.inputFiles()) >= set(posts.inputFiles())
+    assert posts.where("term = 'red'").count() == 60 and {(r.query_id, r.term) for r in weights.collect()} == {(1, "red"), (1, "cat"), (2, "dog")}
+    lanes = dense.Lanes(nodes, asked)
+    assert lanes.nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and lanes.nodes.count() == 60
