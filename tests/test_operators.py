@@ -155,3 +155,15 @@ def test_texts_are_split_once_and_dealt(spark):
     assert posts.where("term = 'red'").count() == 60 and {(r.query_id, r.term) for r in weights.collect()} == {(1, "red"), (1, "cat"), (2, "dog")}
     lanes = dense.Lanes(nodes, asked)
     assert lanes.nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and lanes.nodes.count() == 60
+
+
+def test_copies_of_a_text_stand_by_their_ids(spark, monkeypatch):
+    """Scores of copies, as sums of the same terms in two orders gave them."""
+    from arborix.plans import queries
+
+    scores = spark.createDataFrame([(0, i, 10.776930138064104 if i < 2 else 10.776930138064106) for i in range(4)] + [(0, 9, 10.8)], "query_id long, node_id long, score double")
+    monkeypatch.setattr(retrieval, "bm25", lambda nodes, asked: scores)
+    best = queries.lexical_channel(spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert [(r.node_id, r["rank"]) for r in best] == [(9, 1), (0, 2), (1, 3), (2, 4), (3, 5)]
+    nodes, asked = scores.select("node_id", F.lit("red").alias("text")), spark.createDataFrame([(0, "red")], "query_id long, text string")
+    assert [r.node_id for r in channels.lexical_channel(nodes, asked, 3).orderBy("rank").collect()] == [9, 0, 1]
