@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborix.config import STRATEGIES, EngineConfig
 from arborix.operators import channels, dynamics, graph, ledger
@@ -206,3 +207,20 @@ def test_steps_shuffle_no_states_by_query(spark, monkeypatch):
     first, left, states = plans[2][0], plans[2][1], plans[3][0]
     assert "SortMergeJoin" in first and first.count("Exchange hashpartitioning(query_id") == 1 and first.count("Exchange hashpartitioning(node_id") == 1
     assert "Exchange" not in states and "Exchange hashpartitioning" not in left
+
+
+def test_a_gate_is_made_once_of_sets_and_a_query_is_sorted_once(spark):
+    e = spark.createDataFrame([("a", "b", "red_of", 0.5, 1.0), ("a", "c", "x", 0.5, 1.0)], EDGE)
+    t = spark.createDataFrame([("b", ["red", "dog", "dog"])], "target_id string, target_tokens array<string>")
+    c = EngineConfig(activation_strategy="local_neighbor_query_competition")
+    at = dynamics.sliced(e, c, t)
+    assert {r.target_id: sorted(r.seen) for r in at.edges.collect()} == {"b": ["dog", "of", "red"], "c": ["x"]}
+    state = spark.createDataFrame([(1, "a", 1.0, "a", [], "a", 1, 9, ["red"])], f"query_id long, node_id string, activation double, seed_id string, steps array<{dynamics.STEP}>, from string, copy int, left long, query_tokens array<string>")
+    sent = dynamics._walked(state.join(at.sources, "node_id").withColumn("old", F.lit(0.0)), c)
+    told = dynamics._messages(dynamics._proposals(sent, at, c), c)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" not in plan and "transform(" not in plan
+    assert plan.count("Sort [query_id") == 2  # states in their order, and what they propose
+    gates = {"b": 0.4 + 0.6 / math.sqrt(3), "c": 0.4}
+    got = {r.node_id: r.value for r in told.collect()}
+    assert got["b"] == pytest.approx(0.5 * 0.7 * (gates["b"] - c.inhibition_ratio * gates["b"])) and set(got) == {"b", "c"}
