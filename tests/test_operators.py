@@ -167,3 +167,21 @@ def test_copies_of_a_text_stand_by_their_ids(spark, monkeypatch):
     assert [(r.node_id, r["rank"]) for r in best] == [(9, 1), (0, 2), (1, 3), (2, 4), (3, 5)]
     nodes, asked = scores.select("node_id", F.lit("red").alias("text")), spark.createDataFrame([(0, "red")], "query_id long, text string")
     assert [r.node_id for r in channels.lexical_channel(nodes, asked, 3).orderBy("rank").collect()] == [9, 0, 1]
+
+
+def test_ranks_are_made_where_a_query_lies(spark, monkeypatch):
+    """One shuffle by query, and none after it; a query of many rows, which is no one task's, gets the same ranks."""
+    entry = spark.createDataFrame([(q, f"n{i}", [0.5, 1.0][i % 2]) for q in range(3) for i in range(4 + q)], "query_id long, node_id string, entry double")
+    act = spark.createDataFrame([(q, f"n{i}", x) for q in range(3) for i, x in enumerate((0.0, 2.0, 0.4, 0.4 + 1e-15, 1e-12))] + [(2, "m", 3.0)], "query_id long, node_id string, activation double")
+    for kind in ("max", "l1_mass", "none"):
+        c = EngineConfig(final_fusion_strategy="rrf", graph_normalization=kind)
+        monkeypatch.setattr(ranking, "LARGE", 1 << 20)
+        one = ranking.fused(entry, act, c)
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+        shown = lambda df: {(r.query_id, r.node_id): r for r in df.select("query_id", "node_id", "re", "rg", "final").collect()}
+        rows = shown(one)
+        assert [rows[0, n].rg for n in ("n0", "n1", "n2", "n3", "n4")] == [None, 1, 2, 3, 5]  # to 9 digits n2 and n3 tie, and n4 and n0
+        assert [rows[0, n].re for n in ("n1", "n3", "n0", "n2", "n4")] == [1, 2, 3, 4, 5]
+        for most in (5, 0):  # some queries, all queries
+            monkeypatch.setattr(ranking, "LARGE", most)
+            assert shown(ranking.fused(entry, act, c)) == rows
