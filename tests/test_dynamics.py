@@ -224,3 +224,26 @@ def test_a_gate_is_made_once_of_sets_and_a_query_is_sorted_once(spark):
     gates = {"b": 0.4 + 0.6 / math.sqrt(3), "c": 0.4}
     got = {r.node_id: r.value for r in told.collect()}
     assert got["b"] == pytest.approx(0.5 * 0.7 * (gates["b"] - c.inhibition_ratio * gates["b"])) and set(got) == {"b", "c"}
+
+
+@pytest.mark.parametrize("strategy", ["recurrent_competition", "local_neighbor_path_competition"])
+@pytest.mark.parametrize(("room", "steps"), [(10_000, 3), (5, 1)])
+def test_states_of_the_last_step_carry_no_paths(spark, monkeypatch, strategy, room, steps):
+    """Of the last step, or of that which uses up the expansions of all queries."""
+    _, edges, entry, _ = case(3)
+    seen = []
+
+    def spied(keys, first, *parts):
+        out = real(keys, first, *parts)
+        seen.append((out[0], first.columns))
+        return out
+
+    real = dynamics.dealt
+    monkeypatch.setattr(dynamics, "dealt", spied)
+    c = EngineConfig(activation_strategy=strategy, recurrent_steps=3, max_propagation_expansions=room)
+    e = spark.createDataFrame([(*k, *v) for k, v in edges], EDGE)
+    q, t = spark.createDataFrame([(1, ["red"])], "query_id long, query_tokens array<string>"), spark.createDataFrame([("n1", ["red"])], "target_id string, target_tokens array<string>")
+    dynamics.propagate(spark.createDataFrame([(1, n, v) for n, v in entry.items()], "query_id long, node_id string, entry double"), e, c, q, t)
+    told, states = seen[2::2], seen[3::2]  # after edges and seeds
+    assert len(states) == steps and [set(names) == {"query_id", "node_id", "activation", "old"} for _, names in states] == [False] * (steps - 1) + [True]
+    assert [rows.where("not fresh and steps is not null").count() > 0 for rows, _ in told] == [True] * (steps - 1) + [False]
